@@ -111,9 +111,8 @@ def explode_segments(pages: DataFrame) -> DataFrame:
 def prose_chunks(pages: DataFrame, splitter: str = "recursive") -> DataFrame:
     """(doc_name, page, seg, split, text) of at least the minimum length."""
     prose = explode_segments(pages).where(~F.col("is_table"))
-    parts = prose.withColumn("_parts", SPLITTERS[splitter](F.col("text")))
     return (
-        parts.select("doc_name", "page", "seg", F.posexplode("_parts").alias("split", "text"))
+        prose.select("doc_name", "page", "seg", F.posexplode(SPLITTERS[splitter](F.col("text"))).alias("split", "text"))
         .withColumn("text", strip(F.col("text")))
         .where(F.length("text") >= fixed.MIN_CHUNK_CHARS)
     )

@@ -7,8 +7,10 @@ with the hits that lie across page borders, so no document is ever assembled.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docmill import fixed
+from docmill.functions.stage import computed
 from docmill.functions.text import let, normalise_terms
-from docmill.operators.ordering import DOC, doc_heads, page_seams
+from docmill.operators.ordering import DOC, doc_heads, seams_of
+from docmill.session import cut_lineage
 from docmill.taxonomy import Category, all_terms, has_term, load_taxonomy, term_hits
 
 
@@ -55,9 +57,13 @@ def category_scores_column(name_hits, head_hits, body_hits, taxonomy: list[Categ
 def body_terms(pages: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
     """(doc_name, hits): terms anywhere in the joined normalised text."""
     longest = max(map(len, terms))
-    normal = pages.select(DOC, "page", normalise_terms(F.col(text)).alias("_norm"))
-    inside = normal.select(DOC, F.explode(term_hits(F.col("_norm"), terms)).alias("term"))
-    seams = page_seams(normal, "_norm", longest, " ")
+    normal = computed(pages.select(DOC, "page", text), _norm=normalise_terms(F.col(text)))
+    slim = cut_lineage(normal.select(
+        DOC, "page", term_hits(F.col("_norm"), terms).alias("hits"),
+        F.left("_norm", F.lit(longest)).alias("_head"), F.right("_norm", F.lit(longest)).alias("_tail"),
+    ))  # read twice, and far smaller than the text
+    inside = slim.select(DOC, F.explode("hits").alias("term"))
+    seams = seams_of(slim.where(F.col("_head") != "").drop("hits"), longest, " ")
     across = seams.select(DOC, F.explode(term_hits(F.col("seam"), terms)).alias("term"))
     return inside.unionByName(across).groupBy(DOC).agg(F.collect_set("term").alias("body_hits"))
 
@@ -77,9 +83,9 @@ def score_documents(
         .withColumn("_head_hits", term_hits(normalise_terms(F.col("head")), terms))
     )
     scores = category_scores_column(
-        F.col("_name_hits"), F.col("_head_hits"), F.coalesce("body_hits", F.lit(none)), taxonomy
+        F.col("_name_hits"), F.col("_head_hits"), F.coalesce("body_hits", none), taxonomy
     )
-    return docs.select(DOC, scores.alias("scores"))
+    return computed(docs, scores=scores).select(DOC, "scores")
 
 
 def category_scores(pages: DataFrame, **kw) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from docmill import fixed
 from docmill.functions.labels import is_noise_line
+from docmill.functions.stage import computed
 from docmill.functions.text import let, lines, strip
 
 # ASCII and the Latin-1 characters that NFKC leaves alone
@@ -161,11 +162,11 @@ def prepare_pages(pages: DataFrame) -> DataFrame:
         page_parts(F.col("text")),
         lambda a: F.struct(_every_other(a, 0).alias("prose"), _every_other(a, 1).alias("tables")),
     )
-    split = pages.withColumn("_parts", parts)
+    split = computed(pages, _parts=parts)
     fixed_prose = F.transform(
         fix_unicode_parts(F.col("_parts.prose")), lambda p: normalise_bullets(join_hyphens(p))
     )
-    return split.withColumn("_prose", fixed_prose).withColumn("_tables", F.col("_parts.tables")).drop("_parts")
+    return computed(split, _prose=fixed_prose).withColumn("_tables", F.col("_parts.tables")).drop("_parts")
 
 
 def unwanted_lines(prepared: DataFrame, boilerplate: DataFrame) -> DataFrame:
@@ -200,9 +201,5 @@ def clean_pages(pages: DataFrame) -> DataFrame:
         ),
         lambda s: _assemble(s["prose"], s["tables"], s["unwanted"]),
     )
-    return (
-        prepared.join(unwanted, ["doc_name", "page"], "left")
-        .withColumn("text", text)
-        .where(strip(F.col("text")) != "")
-        .select(*pages.columns)
-    )
+    joined = prepared.join(unwanted, ["doc_name", "page"], "left")
+    return computed(joined, text=text).where(strip(F.col("text")) != "").select(*pages.columns)

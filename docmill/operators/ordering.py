@@ -42,6 +42,11 @@ def page_seams(pages: DataFrame, text: str, chars: int, sep: str, block: int = B
     slim = pages.where(F.length(text) > 0).select(
         DOC, PAGE, F.left(text, F.lit(chars)).alias("_head"), F.right(text, F.lit(chars)).alias("_tail")
     )
+    return seams_of(slim, chars, sep, block)
+
+
+def seams_of(slim: DataFrame, chars: int, sep: str, block: int = BLOCK) -> DataFrame:
+    """Seams from (doc_name, page, _head, _tail) of the pages with text."""
     # every page adds a separator and at least one character
     joined = preceding(slim, "_tail", chars // 2 + 1, block).where(F.size("prev") > 0)
     before = F.right(F.array_join("prev", sep), F.lit(chars))
@@ -49,20 +54,22 @@ def page_seams(pages: DataFrame, text: str, chars: int, sep: str, block: int = B
 
 
 def head_pages(pages: DataFrame, text: str, chars: int, block: int = BLOCK) -> DataFrame:
-    """(doc_name, page) of the pages that reach into a document's first ``chars``."""
+    """(doc_name, page) of the pages that reach into a document's first ``chars``.
+
+    A page that starts exactly there still brings its separator."""
     sizes = pages.select(DOC, PAGE, page_block(block).alias("_blk"), (F.length(text) + 1).cast("long").alias("_n"))
     inside = Window.partitionBy(DOC, "_blk").orderBy(PAGE).rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(DOC).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    near = sizes.withColumn("_before", before).where(F.col("_before") < chars)
+    near = sizes.withColumn("_before", before).where(F.col("_before") <= chars)
     starts = (
         sizes.groupBy(DOC, "_blk").agg(F.sum("_n").alias("_n"))
         .select(DOC, "_blk", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_start"))
-        .where(F.col("_start") < chars)
+        .where(F.col("_start") <= chars)
     )
     return (
         near.join(starts, [DOC, "_blk"])
-        .where(F.col("_start") + F.col("_before") < chars)
+        .where(F.col("_start") + F.col("_before") <= chars)
         .select(DOC, PAGE)
     )
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docmill import fixed
+from docmill.functions.stage import computed
 from docmill.functions.text import basename, collapse_ws, let, strip
 
 BOX = "x0:double,y0:double,x1:double,y1:double"
@@ -181,11 +182,10 @@ def assemble_pages(elements: DataFrame) -> DataFrame:
     markdown = F.array_join(F.transform("tables", lambda t: table_markdown(t["headers"], t["rows"])), "\n\n")
     has_tables = F.coalesce(F.size("tables") > 0, F.lit(False))
     raw = strip(F.when(has_tables, unmasked_text(F.col("blocks"), F.col("tables"))).otherwise(F.coalesce("plain", F.lit(""))))
+    good = elements.where(F.col("error").isNull() & F.col("page").isNotNull())
+    text = page_text(raw, F.when(has_tables, markdown).otherwise(""))
     return (
-        elements.where(F.col("error").isNull() & F.col("page").isNotNull())
-        .withColumn("_p", with_ocr_fallback(
-            page_text(raw, F.when(has_tables, markdown).otherwise("")), ocr_text(F.col("ocr"))
-        ))
+        computed(good, _p=with_ocr_fallback(text, ocr_text(F.col("ocr"))))
         .select(
             basename(F.col("doc_path")).alias("doc_name"), "doc_path", "page",
             F.col("_p.text").alias("text"), has_tables.alias("has_tables"),
