@@ -3,7 +3,7 @@ from importlib import import_module
 
 from pyspark.sql import functions as F
 
-_MODULES = ["text", "category", "tables"]
+_MODULES = ["text", "category", "tables", "meta", "chunks", "store"]
 QUERIES: dict = {}
 for _name in _MODULES:
     QUERIES.update(import_module(f"docmill.checks.{_name}").QUERIES)

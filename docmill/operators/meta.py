@@ -117,7 +117,7 @@ def vendor_from_filename(filename) -> Column:
         title = lambda p: F.concat_ws("", F.transform(
             F.regexp_extract_all(p, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1)), F.initcap
         ))
-        return out.otherwise(F.coalesce(title(F.get(words, F.lit(0))), stem(filename)))
+        return out.otherwise(F.when(F.size(words) > 0, title(F.get(words, F.lit(0)))).otherwise(stem(filename)))
 
     return let(dashed_stem(filename), pick)
 
