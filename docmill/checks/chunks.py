@@ -87,9 +87,9 @@ SELECT doc_id, i::INT AS i, CASE WHEN na = 0 AND nb = 0 THEN 1 ELSE round(shared
 
 
 def near_dedup(spark, folder):
-    """Page blocks of 64, so that starting windows travel between blocks."""
+    """A source spans several page blocks, so starting windows travel."""
     rows = dedup.exact_dedup(raw_chunks(spark, folder))
-    return dedup.near_dedup(rows, block=64).select("doc_name", "page", "split")
+    return dedup.near_dedup(rows).select("doc_name", "page", "split")
 
 
 # the sequential rule as a recursion: one chunk per source and step
@@ -100,11 +100,13 @@ NEAR_SQL = f"""WITH RECURSIVE {WINDOWS_SQL},
  grams AS (SELECT doc_name, n, len(g) AS z, unnest(g) AS w FROM seq),
  freq AS (SELECT w, count(*) AS f FROM grams GROUP BY w),
  -- sets with Jaccard 0.92 share one of their rarest grams
- rare AS (SELECT doc_name, n, w FROM (SELECT grams.*, row_number() OVER (PARTITION BY doc_name, n ORDER BY f, w) AS r FROM grams JOIN freq USING (w))
+ rare AS (SELECT doc_name, n, z, w FROM (SELECT grams.*, row_number() OVER (PARTITION BY doc_name, n ORDER BY f, w) AS r FROM grams JOIN freq USING (w))
           WHERE r <= z - ceil(0.92 * z) + 1),
- cand AS (SELECT DISTINCT a.doc_name, b.n AS n, a.n AS m FROM rare a JOIN rare b ON a.doc_name = b.doc_name AND a.w = b.w AND a.n < b.n),
- pairs AS MATERIALIZED (SELECT cand.* FROM cand JOIN seq a ON a.doc_name = cand.doc_name AND a.n = m JOIN seq b ON b.doc_name = cand.doc_name AND b.n = cand.n
-         WHERE len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) >= 0.92),
+ cand AS (SELECT DISTINCT a.doc_name, b.n AS n, a.n AS m FROM rare a JOIN rare b ON a.doc_name = b.doc_name AND a.w = b.w AND a.n < b.n
+          WHERE a.z >= 0.92 * b.z AND b.z >= 0.92 * a.z),
+ pairs AS MATERIALIZED (SELECT c.doc_name, c.n, c.m FROM cand c JOIN grams a ON a.doc_name = c.doc_name AND a.n = c.m
+           JOIN grams b ON b.doc_name = c.doc_name AND b.n = c.n AND b.w = a.w
+         GROUP BY c.doc_name, c.n, c.m, a.z, b.z HAVING count(*) / (a.z + b.z - count(*)) >= 0.92),
  near AS MATERIALIZED (SELECT seq.doc_name, seq.n, page, split, coalesce(list(m) FILTER (m IS NOT NULL), []) AS ms
           FROM seq LEFT JOIN pairs USING (doc_name, n) GROUP BY ALL),
  walk AS (SELECT doc_name, 0::BIGINT AS n, []::BIGINT[] AS kept, -1::BIGINT AS page, -1::INT AS split, false AS keep FROM (SELECT DISTINCT doc_name FROM seq)

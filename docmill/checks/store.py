@@ -7,7 +7,7 @@ from docmill.checks.common import PAGES_SQL, documents, pages, strip_sql, table
 from docmill.functions.vectors import l2_normalise, norm
 from docmill.operators import dedup
 from docmill.plans import stats
-from docmill.plans.pipeline import ingest_report
+from docmill.plans.pipeline import build_chunks, ingest_report
 from docmill.plans.retrieval import top_k
 from docmill.sources import documents as src
 from docmill.sources.embedders import hashing_embedding
@@ -222,7 +222,13 @@ def text_retrieval(spark, folder):
     return top_k(chunks, queries)
 
 
+def corpus_ingest(spark, folder):
+    """Raw pages to numbered chunks: cleaning, metadata, categories, dedup, tables."""
+    return build_chunks(pages(spark, folder), "window")[0].drop("text")
+
+
 QUERIES = {
+    "corpus_ingest": (corpus_ingest, None),
     "page_scan": (
         page_scan,
         f"WITH {PAGES_SQL} SELECT doc_name, page, length(text)::INT AS n, contains(text, '{fixed.TABLE_MARKER}') AS has_tables FROM pages",
