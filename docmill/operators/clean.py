@@ -49,19 +49,15 @@ def map_characters(c) -> Column:
 
 def _fix_plain(c) -> Column:
     spaced = F.regexp_replace(c, r"[\r\x0b\x0c\x1c-\x1f]+", " ")
-    return F.regexp_replace(spaced, r"[\x00-\x08\x0e-\x1b\x7f]+", "")
+    dropped = F.regexp_replace(spaced, r"[\x00-\x08\x0e-\x1b\x7f]+", "")
+    return F.when(c.rlike(r"[\x00-\x08\x0b-\x1f\x7f]"), dropped).otherwise(c)
 
 
-def fix_unicode_parts(parts) -> Column:
-    """Fix every string of an array; only text outside Latin-1 visits Python."""
-    mapped = F.transform(parts, map_characters)
-    risky = let(
-        mapped,
-        lambda a: F.when(
-            F.exists(a, lambda t: t.rlike(_NEEDS_NFKC)),
-            F.transform(a, lambda t: F.when(t.rlike(_NEEDS_NFKC), t)),
-        ),
-    )
+def fix_unicode_parts(mapped) -> Column:
+    """Fix every string of an array of mapped texts; only text with characters
+    outside Latin-1 visits Python. Give a stored column: it is used twice."""
+    beyond = lambda t: (F.octet_length(t) != F.length(t)) & t.rlike(_NEEDS_NFKC)
+    risky = F.transform(mapped, lambda t: F.when(beyond(t), t))
     return let(
         F.struct(mapped.alias("m"), _nfkc(risky).alias("u")),
         lambda s: F.transform(s["m"], lambda t, i: F.coalesce(F.get(s["u"], i), _fix_plain(t))),
@@ -69,7 +65,7 @@ def fix_unicode_parts(parts) -> Column:
 
 
 def fix_unicode(c) -> Column:
-    return F.get(fix_unicode_parts(F.array(c)), F.lit(0))
+    return F.get(fix_unicode_parts(F.array(map_characters(c))), F.lit(0))
 
 
 def join_hyphens(c) -> Column:
@@ -90,9 +86,8 @@ def drop_lines(c, unwanted) -> Column:
 
 
 def clean_whitespace(c) -> Column:
-    blank = rf"[{fixed.WS}&&[^\n]]"
     out = F.regexp_replace(c, r"\n{3,}", "\n\n")
-    out = F.regexp_replace(out, rf"(?<!{blank}){blank}++(?=\n|\z)", "")
+    out = F.array_join(F.transform(lines(out), lambda l: F.rtrim(l, F.lit(fixed.WS_CHARS))), "\n")
     return strip(F.regexp_replace(out, r"[ \t]{2,}", " "))
 
 
@@ -160,7 +155,9 @@ def prepare_pages(pages: DataFrame) -> DataFrame:
     """Split pages into ``_prose`` and ``_tables`` and fix the prose characters."""
     parts = let(
         page_parts(F.col("text")),
-        lambda a: F.struct(_every_other(a, 0).alias("prose"), _every_other(a, 1).alias("tables")),
+        lambda a: F.struct(
+            F.transform(_every_other(a, 0), map_characters).alias("prose"), _every_other(a, 1).alias("tables")
+        ),
     )
     split = computed(pages, _parts=parts)
     fixed_prose = F.transform(
