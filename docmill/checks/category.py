@@ -32,7 +32,7 @@ def document_heads(spark, folder):
 
 
 def leading_pages(spark, folder):
-    return first_pages(pages(spark, folder), 3).select("doc_name", "page")
+    return first_pages(pages(spark, folder), 3)
 
 
 def norm_sql(x):

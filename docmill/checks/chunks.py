@@ -7,6 +7,7 @@ from docmill.functions.text import chunk_id, exact_hash, jaccard, let, trigrams
 from docmill.operators import chunk, dedup
 from docmill.operators.ordering import dense_index
 from docmill.plans.pipeline import with_display_family
+from docmill.session import cut_lineage
 
 STEP = fixed.CHUNK_SIZE - fixed.CHUNK_OVERLAP
 
@@ -47,7 +48,7 @@ def chunk_ids(spark, folder):
 
 def chunk_index(spark, folder):
     """Small page blocks, so that many of them follow each other."""
-    rows = dedup.exact_dedup(raw_chunks(spark, folder)).select("doc_name", "page", "seg", "split")
+    rows = cut_lineage(dedup.exact_dedup(raw_chunks(spark, folder)).select("doc_name", "page", "seg", "split"))
     return dense_index(rows, ["page", "seg", "split"], "chunk_idx", block=64).select("doc_name", "page", "split", "chunk_idx")
 
 

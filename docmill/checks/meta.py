@@ -4,20 +4,19 @@ from pyspark.sql import functions as F
 
 from docmill.checks.common import PAGES_SQL, pages, table
 from docmill.operators import meta
-from docmill.operators.ordering import page_seams
 from docmill.sources.documents import pages_table
 
 
 def part_pages(spark, folder):
     """A brand is a file and a part is a page. Pages end in the middle of a
-    two-word code, and every tenth size names a family or a document id."""
+    two-word code, and large sizes name a family, small ones a document id."""
     part = table(spark, folder, "part").withColumn("n", F.lpad(F.col("p_partkey").cast("string"), 5, "0"))
     text = F.concat(
         F.concat(F.lit("i7"), F.col("n"), F.lit(" units\nThe FG-"), F.col("n"), F.lit("F and FG-"), F.col("n")),
         F.concat(F.lit("F-DC with fim-"), F.col("n"), F.lit(" card, SHA-256, SRX-"), F.col("n"), F.lit(" and ")),
-        F.when(F.col("p_size") % 10 == 3, F.concat(F.lit("XA-"), F.col("n"), F.lit(" series. XA-"), F.col("n"))).otherwise(
+        F.when(F.col("p_size") > 40, F.concat(F.lit("XA-"), F.col("n"), F.lit(" series. XA-"), F.col("n"))).otherwise(
             F.concat(F.lit("XB-"), F.col("n"))),
-        F.when(F.col("p_size") % 10 == 4, F.concat(F.lit(" FG-"), F.col("n"), F.lit("F-DS-R1"))).otherwise(""),
+        F.when(F.col("p_size") < 8, F.concat(F.lit(" FG-"), F.col("n"), F.lit("F-DS-R1"))).otherwise(""),
         F.lit(" next BIG-IP"),
     )
     return pages_table(part, F.concat(F.col("p_brand"), F.lit(".pdf")), F.col("p_partkey"), text).withColumn(
@@ -51,16 +50,16 @@ CODES_SQL = f"""p AS (SELECT p_brand || '.pdf' AS doc_name, p_partkey, p_size, {
     row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part),
  head AS (SELECT doc_name, n FROM (SELECT *, sum(len(t) + 1) OVER (PARTITION BY doc_name ORDER BY p_partkey) - len(t) - 1 AS start FROM (
    SELECT *, 'i' || n || ' units The FG-' || n || 'F and FG-' || n || 'F-DC with fim-' || n || ' card, SHA-256, SRX-' || n || ' and ' ||
-     CASE WHEN p_size % 10 = 3 THEN 'XA-' || n || ' series. XA-' || n ELSE 'XB-' || n END ||
-     CASE WHEN p_size % 10 = 4 THEN ' FG-' || n || 'F-DS-R1' ELSE '' END || ' next BIG-IP' AS t FROM p))
-   WHERE p_size % 10 = 3 AND start + instr(t, ' series.') + 6 <= 4000)"""
+     CASE WHEN p_size > 40 THEN 'XA-' || n || ' series. XA-' || n ELSE 'XB-' || n END ||
+     CASE WHEN p_size < 8 THEN ' FG-' || n || 'F-DS-R1' ELSE '' END || ' next BIG-IP' AS t FROM p))
+   WHERE p_size > 40 AND start + instr(t, ' series.') + 6 <= 4000)"""
 
 MODELS_SQL = f"""WITH {CODES_SQL}
 SELECT doc_name, CASE WHEN r > 1 THEN 'BIG-IP i' ELSE 'i' END || n AS model FROM p UNION
-SELECT doc_name, 'FG-' || n || 'F' FROM p WHERE p_size % 10 <> 4 UNION
+SELECT doc_name, 'FG-' || n || 'F' FROM p WHERE p_size >= 8 UNION
 SELECT doc_name, 'FG-' || n || 'F-DC' FROM p UNION
-SELECT doc_name, CASE WHEN p_size % 10 = 3 THEN 'XA-' ELSE 'XB-' END || n FROM p
-  WHERE p_size % 10 <> 3 OR (doc_name, n) NOT IN (SELECT doc_name, n FROM head)"""
+SELECT doc_name, CASE WHEN p_size > 40 THEN 'XA-' ELSE 'XB-' END || n FROM p
+  WHERE p_size <= 40 OR (doc_name, n) NOT IN (SELECT doc_name, n FROM head)"""
 
 # --- vendors -----------------------------------------------------------------
 
@@ -78,7 +77,7 @@ def vendor_pages(spark, folder):
         F.concat(F.lit("© Gartner. © "), F.initcap("c_mktsegment"), F.lit(" Networks, Inc.")).alias("body"),
         F.lit(1).alias("kind"),
     )
-    rows = supplier.unionByName(customer).join(F.broadcast(nation), F.col("k") == F.col("n_nationkey"))
+    rows = supplier.unionByName(customer).join(nation, F.col("k") == F.col("n_nationkey"))
     return pages_table(
         rows, F.concat("n_name", F.lit(".pdf")), F.col("page"),
         F.concat(F.lit("Guide by "), F.col("land"), F.lit(" Group | "), F.col("land"), F.lit(" Box | Data Sheet\nAcme® and "),
@@ -90,9 +89,9 @@ def vendor_candidates(spark, folder):
     """Copyright lines of all pages; head signals of every page by itself."""
     raw = vendor_pages(spark, folder)
     single = raw.withColumn("doc_name", F.concat("doc_name", F.lit("#"), F.col("page").cast("string")))
-    seams = page_seams(single, "text", 128, "")
+    facts = meta.page_facts(single)
     heads = single.select("doc_name", F.col("text").alias("head"))
-    found = meta.vendor_candidates(single, heads, seams)
+    found = meta.vendor_candidates(facts, heads, meta.fact_seams(facts))
     return found.groupBy("name").agg(
         F.max("weight").cast("bigint").alias("weight"), F.sum("freq").alias("freq"), F.count(F.lit(1)).alias("docs")
     )
@@ -181,11 +180,11 @@ QUERIES = {
     ),
     "doc_id_prefixes": (
         doc_id_prefixes,
-        f"SELECT DISTINCT p_brand || '.pdf' AS doc_name, 'FG-' || {_N} || 'F' AS prefix FROM part WHERE p_size % 10 = 4",
+        f"SELECT DISTINCT p_brand || '.pdf' AS doc_name, 'FG-' || {_N} || 'F' AS prefix FROM part WHERE p_size < 8",
     ),
     "family_identifiers": (
         family_identifiers,
-        f"SELECT p_partkey AS page, 'FG-7000F' AS code FROM part UNION ALL SELECT p_partkey, 'XA-' || {_N} FROM part WHERE p_size % 10 = 3",
+        f"SELECT p_partkey AS page, 'FG-7000F' AS code FROM part UNION ALL SELECT p_partkey, 'XA-' || {_N} FROM part WHERE p_size > 40",
     ),
     "vendor_candidates": (vendor_candidates, CANDIDATES_SQL),
     "vendor_best": (vendor_best, BEST_SQL),

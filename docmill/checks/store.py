@@ -53,16 +53,16 @@ SELECT chunk_id, chunk_idx, payload FROM a QUALIFY row_number() OVER (PARTITION
 
 def ocr_tokens(spark, folder):
     """Words with a confidence made from their length, blank tokens included."""
-    words = F.transform(F.split("text", " ", -1), lambda w: F.struct(w.alias("text"), ((F.length(w) % 10) / 10).alias("conf")))
+    words = F.transform(F.split("text", " ", -1), lambda w: F.struct(w.alias("text"), (F.least(F.length(w), F.lit(9)) / 10).alias("conf")))
     blank = F.array(F.struct(F.lit(" \t").alias("text"), F.lit(0.9).alias("conf")))
     return documents(spark, folder).select(
         "doc_id", src.ocr_text(F.concat(blank, words)).alias("text"), src.ocr_text(F.concat(blank, words), True).alias("logo"),
     )
 
 
-_SURE = "array_to_string(list_filter(string_split(text, ' '), lambda w: length(w) % 10 > 6 {}), ' ')"
+_SURE = "array_to_string(list_filter(string_split(text, ' '), lambda w: length(w) > 6 {}), ' ')"
 OCR_SQL = f"""SELECT doc_id, {_SURE.format(f"AND {strip_sql('w')} <> ''")} AS text,
-  array_to_string(list_concat([' ' || chr(9)], list_filter(string_split(text, ' '), lambda w: length(w) % 10 > 6)), ' ') AS logo FROM documents"""
+  array_to_string(list_concat([' ' || chr(9)], list_filter(string_split(text, ' '), lambda w: length(w) > 6)), ' ') AS logo FROM documents"""
 
 
 def ocr_fallback(spark, folder):
@@ -211,13 +211,13 @@ UNION ALL SELECT n_name || '.pdf', 'failed', NULL, NULL, 0, 0, 0, 0, CASE WHEN n
 
 
 def text_retrieval(spark, folder):
-    """Benchmark texts as queries over the documents' embedded chunks."""
+    """The probe questions over the documents' embedded chunks."""
     chunks = raw_chunks(spark, folder).select(
         F.concat_ws("/", "doc_name", F.col("page").cast("string"), F.col("split").cast("string")).alias("chunk_id"),
         hashing_embedding(F.col("text")).alias("embedding"),
     )
-    queries = table(spark, folder, "benchmark").select(
-        F.col("item_id").alias("query_id"), hashing_embedding(F.col("text")).alias("embedding")
+    queries = spark.createDataFrame([(q,) for q in fixed.PROBE_QUERIES], "query_id string").withColumn(
+        "embedding", hashing_embedding(F.col("query_id"))
     )
     return top_k(chunks, queries)
 

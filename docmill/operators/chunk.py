@@ -9,6 +9,7 @@ from docmill.functions.text import chunk_id, let, strip
 from docmill.operators.dedup import exact_dedup, near_dedup
 from docmill.operators.ordering import dense_index
 from docmill.operators.tables import attach_page_models, known_models, table_specs
+from docmill.session import cut_lineage
 
 CHUNK_COLUMNS = [
     "chunk_id", "chunk_type", "vendor", "family", "product_family", "display_family", "model", "component",
@@ -173,6 +174,8 @@ def chunk_pages(
     prose = near_dedup(exact_dedup(prose_chunks(pages, splitter)))
     tables = table_specs(attach_page_models(page_tables(pages), models), preserve_thousands, keep_edge_cells)
     spec_type = "struct<model:string,spec_name:string,value:string>"
+    # numbering reads these rows twice
+    tables = cut_lineage(tables.select("doc_name", "page", "seg", "text", "specs"))
     rows = tables.select(
         "doc_name", "page", "seg", "text",
         F.posexplode(F.concat(F.array(F.lit(None).cast(spec_type)), "specs")).alias("sub", "spec"),

@@ -54,16 +54,25 @@ def category_scores_column(name_hits, head_hits, body_hits, taxonomy: list[Categ
     )
 
 
-def body_terms(pages: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
-    """(doc_name, hits): terms anywhere in the joined normalised text."""
+def page_evidence(pages: DataFrame, terms: list[str], text: str = "text") -> DataFrame:
+    """One pass over the text: per page its size, terms, first and last characters.
+
+    Read several times and far smaller than the text, so it is stored."""
     longest = max(map(len, terms))
-    normal = computed(pages.select(DOC, "page", text), _norm=normalise_terms(F.col(text)))
-    slim = cut_lineage(normal.select(
-        DOC, "page", term_hits(F.col("_norm"), terms).alias("hits"),
+    normal = computed(
+        pages.select(DOC, "page", F.length(text).alias("n_chars"), text), _norm=normalise_terms(F.col(text))
+    )
+    return cut_lineage(normal.select(
+        DOC, "page", "n_chars", term_hits(F.col("_norm"), terms).alias("hits"),
         F.left("_norm", F.lit(longest)).alias("_head"), F.right("_norm", F.lit(longest)).alias("_tail"),
-    ))  # read twice, and far smaller than the text
-    inside = slim.select(DOC, F.explode("hits").alias("term"))
-    seams = seams_of(slim.where(F.col("_head") != "").drop("hits"), longest, " ")
+    ))
+
+
+def body_terms(evidence: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc_name, body_hits): terms anywhere in the joined normalised text."""
+    inside = evidence.select(DOC, F.explode("hits").alias("term"))
+    edges = evidence.where(F.col("_head") != "").select(DOC, "page", "_head", "_tail")
+    seams = seams_of(edges, max(map(len, terms)), " ")
     across = seams.select(DOC, F.explode(term_hits(F.col("seam"), terms)).alias("term"))
     return inside.unionByName(across).groupBy(DOC).agg(F.collect_set("term").alias("body_hits"))
 
@@ -76,9 +85,10 @@ def score_documents(
     terms = all_terms(taxonomy)
     filename = F.col(DOC) if filename is None else filename
     none = F.array().cast("array<string>")
+    evidence = page_evidence(pages, terms, text)
     docs = (
-        doc_heads(pages, text, fixed.HEAD_CHARS)
-        .join(body_terms(pages, terms, text), DOC, "left")
+        doc_heads(pages, text, fixed.HEAD_CHARS, sizes=evidence)
+        .join(body_terms(evidence, terms), DOC, "left")
         .withColumn("_name_hits", term_hits(normalise_terms(filename), terms))
         .withColumn("_head_hits", term_hits(normalise_terms(F.col("head")), terms))
     )

@@ -18,7 +18,7 @@ from docmill.operators.ordering import DOC, PAGE, page_block
 from docmill.session import cut_lineage
 
 ORDER = [PAGE, "seg", "split"]
-DEDUP_BLOCK = 256
+BLOCK_ROWS = 1024
 _RUN = (
     "doc_name string, _blk bigint, assumed array<string>, tail array<string>, "
     "kept array<struct<page:bigint,seg:int,split:int>>, flags array<boolean>"
@@ -127,13 +127,24 @@ def _run_blocks(chunks: DataFrame, starts: DataFrame, threshold: float, window:
     return chunks.groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInPandas(block, _RUN)
 
 
+def _pages_per_block(chunks: DataFrame) -> int:
+    spans = chunks.groupBy(DOC).agg(
+        F.count(F.lit(1)).alias("n"), (F.max(PAGE) - F.min(PAGE) + 1).alias("span")
+    ).agg(F.sum("n").alias("n"), F.sum("span").alias("span")).first()
+    return max(1, round(BLOCK_ROWS * (spans["span"] or 1) / (spans["n"] or 1)))
+
+
 def near_dedup(
     chunks: DataFrame, threshold: float = fixed.DEDUP_THRESHOLD, window: int = fixed.DEDUP_WINDOW,
-    block: int = DEDUP_BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
-    """Greedy near-duplicate removal over (doc_name, page, seg, split, text)."""
+    """Greedy near-duplicate removal over (doc_name, page, seg, split, text).
+
+    ``block`` is the number of page numbers per block; by default blocks hold
+    about ``BLOCK_ROWS`` chunks, far more than the window.
+    """
     chunks = cut_lineage(chunks)  # read in every round and for the result
-    blocked = chunks.withColumn("_blk", page_block(block))
+    blocked = chunks.withColumn("_blk", page_block(block or _pages_per_block(chunks)))
     keys = [DOC, "_blk"]
     no_start = blocked.sparkSession.createDataFrame(
         [], "doc_name string, _blk bigint, start array<string>, flags array<boolean>"

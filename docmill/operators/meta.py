@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from docmill import fixed
 from docmill.functions.labels import is_component_code, is_valid_model
 from docmill.functions.text import collapse_ws, dashed_stem, let, lines, normalise_label, stem, strip
-from docmill.operators.ordering import DOC, PAGE, doc_heads, first_pages, join_pages, page_seams
+from docmill.operators.ordering import DOC, PAGE, first_pages, head_pages, join_pages, seams_of
+from docmill.session import cut_lineage
 
 HEAD = 5000
 _SEAM = "\ue000"  # a private-use character stands for the page border
@@ -78,14 +79,12 @@ def _across(seams: DataFrame, pattern: str) -> DataFrame:
     ).select(DOC, F.replace("match", F.lit(_SEAM), F.lit("\n")).alias("match"))
 
 
-def vendor_candidates(pages: DataFrame, heads: DataFrame, seams: DataFrame) -> DataFrame:
+def vendor_candidates(facts: DataFrame, heads: DataFrame, seams: DataFrame) -> DataFrame:
     """(doc_name, name, weight, freq): best weight and number of mentions."""
     signals = heads.select(DOC, F.explode(head_vendor_signals(F.col("head"))).alias("s")).select(
         DOC, "s.name", "s.weight"
     )
-    on_page = pages.where(F.contains("text", F.lit("©"))).select(
-        DOC, F.explode(copyright_names(F.col("text"))).alias("name")
-    )
+    on_page = facts.select(DOC, F.explode("names").alias("name"))
     across = _across(seams.where(F.contains("seam", F.lit("©"))), fixed.COPYRIGHT).select(
         DOC, F.explode(copyright_names(F.col("match"))).alias("name")
     )
@@ -199,13 +198,13 @@ def family_identifiers(head, family) -> Column:
     return F.array_sort(F.array_distinct(F.concat(of(family), of(F.left(head, F.lit(4000))))))
 
 
-def code_counts(pages: DataFrame, seams: DataFrame) -> DataFrame:
+def code_counts(facts: DataFrame, seams: DataFrame) -> DataFrame:
     """(doc_name, code): distinct product codes of the joined text.
 
     Only a two-word code can cross a page border; it takes the place of the
     one-word code the next page would show on its own.
     """
-    on_page = pages.select(DOC, F.explode(product_codes(F.col("text"))).alias("code")).withColumn("n", F.lit(1))
+    on_page = facts.select(DOC, F.explode("codes").alias("code")).withColumn("n", F.lit(1))
     two_words = _across(seams.where(F.col("seam").rlike("(?i)BIG-IP")), fixed.CODE)
     whole = two_words.select(DOC, F.explode(product_codes(F.col("match"))).alias("code"))
     alone = whole.select(DOC, F.regexp_extract("code", r"(\S+)$", 1).alias("code"))
@@ -218,7 +217,7 @@ def code_counts(pages: DataFrame, seams: DataFrame) -> DataFrame:
     )
 
 
-def document_codes(pages: DataFrame, heads: DataFrame, codes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def document_codes(facts: DataFrame, heads: DataFrame, codes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_name, model) and (doc_name, component) relations.
 
     ``heads`` has doc_name, head and product_family.
@@ -226,7 +225,7 @@ def document_codes(pages: DataFrame, heads: DataFrame, codes: DataFrame) -> tupl
     components = codes.where(is_component_code(F.col("code"))).select(DOC, F.col("code").alias("component"))
     flat = F.replace(F.col("head"), F.lit("\n"), F.lit(" "))
     taken = heads.select(DOC, F.explode(family_identifiers(flat, F.col("product_family"))).alias("upper"))
-    prefixes = pages.select(DOC, F.explode(doc_id_prefixes(F.col("text"))).alias("upper"))
+    prefixes = facts.select(DOC, F.explode("prefixes").alias("upper"))
     excluded = taken.unionByName(prefixes).distinct()
     models = (
         codes.where(~is_component_code(F.col("code")) & is_valid_model(F.col("code")))
@@ -237,32 +236,52 @@ def document_codes(pages: DataFrame, heads: DataFrame, codes: DataFrame) -> tupl
     return models, components
 
 
-def document_heads(pages: DataFrame) -> DataFrame:
+def page_facts(pages: DataFrame) -> DataFrame:
+    """One pass over the text: what each page contributes, as small arrays.
+
+    Everything below reads this; the text is read once more, for the heads."""
+    edge = F.translate("text", _SEAM, "\ufffd")
+    return cut_lineage(pages.select(
+        DOC, PAGE, F.length("text").alias("n_chars"),
+        F.left(edge, F.lit(_SEAM_CHARS)).alias("_head"), F.right(edge, F.lit(_SEAM_CHARS)).alias("_tail"),
+        product_codes(F.col("text")).alias("codes"),
+        doc_id_prefixes(F.col("text")).alias("prefixes"),
+        F.when(F.contains("text", F.lit("©")), copyright_names(F.col("text"))).alias("names"),
+    ))
+
+
+def fact_seams(facts: DataFrame) -> DataFrame:
+    edges = facts.where(F.col("n_chars") > 0).select(DOC, PAGE, "_head", "_tail")
+    return seams_of(edges, _SEAM_CHARS, _SEAM)
+
+
+def document_heads(pages: DataFrame, facts: DataFrame) -> DataFrame:
     """(doc_name, head, family_text): the first characters of the joined pages,
     and the same behind a copy of the first three pages."""
-    first = first_pages(pages, 3).select(DOC, PAGE, F.left("text", F.lit(HEAD)).alias("_t")).groupBy(DOC).agg(
-        join_pages("_t").alias("_first")
-    )
+    wanted = head_pages(facts, HEAD).withColumn("_in", F.lit("head")).unionByName(
+        first_pages(facts, 3).withColumn("_in", F.lit("first"))
+    ).groupBy(DOC, PAGE).agg(F.collect_set("_in").alias("_in"))
+    texts = pages.select(DOC, PAGE, F.left("text", F.lit(HEAD)).alias("_t")).join(wanted, [DOC, PAGE])
     # a page cut at HEAD already fills the family text, whatever comes behind it
-    return doc_heads(pages, "text", HEAD).join(first, DOC).select(
-        DOC, "head", F.left(F.concat_ws("\n", "_first", "head"), F.lit(HEAD)).alias("family_text")
-    )
+    return texts.groupBy(DOC).agg(
+        F.left(join_pages("_t", F.array_contains("_in", "head")), F.lit(HEAD)).alias("head"),
+        join_pages("_t", F.array_contains("_in", "first")).alias("_first"),
+    ).select(DOC, "head", F.left(F.concat_ws("\n", "_first", "head"), F.lit(HEAD)).alias("family_text"))
 
 
 def doc_meta_relations(pages: DataFrame, filename: Column | None = None) -> dict[str, DataFrame]:
     """Relations ``docs``, ``models`` and ``components`` of raw pages."""
     filename = F.col(DOC) if filename is None else filename
-    seams = page_seams(
-        pages.withColumn("text", F.translate("text", _SEAM, "\ufffd")), "text", _SEAM_CHARS, _SEAM
-    )
-    heads = document_heads(pages)
-    vendors = best_vendor(vendor_candidates(pages, heads, seams))
+    facts = page_facts(pages)
+    seams = fact_seams(facts)
+    heads = cut_lineage(document_heads(pages, facts))  # a few thousand characters per document
+    vendors = best_vendor(vendor_candidates(facts, heads, seams))
     docs = (
         heads.join(vendors, DOC, "left")
         .withColumn("_stated", F.coalesce("vendor", F.lit("")))
         .withColumn("product_family", product_family(F.col("family_text"), F.col("_stated"), filename))
     )
-    models, components = document_codes(pages, docs, code_counts(pages, seams))
+    models, components = document_codes(facts, docs, code_counts(facts, seams))
     named = docs.select(
         DOC,
         F.when(F.col("_stated") != "", F.col("_stated")).otherwise(vendor_from_filename(filename)).alias("vendor"),

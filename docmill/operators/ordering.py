@@ -11,7 +11,7 @@ DOC, PAGE, BLOCK = "doc_name", "page", 4096
 
 
 def page_block(size: int = BLOCK) -> Column:
-    return F.floor(F.col(PAGE) / size)
+    return F.expr(f"{PAGE} div {int(size)}")
 
 
 def preceding(df: DataFrame, value: str, n: int, block: int = BLOCK) -> DataFrame:
@@ -53,11 +53,16 @@ def seams_of(slim: DataFrame, chars: int, sep: str, block: int = BLOCK) -> DataF
     return joined.select(DOC, PAGE, F.concat(before, F.lit(sep), F.col("_head")).alias("seam"))
 
 
-def head_pages(pages: DataFrame, text: str, chars: int, block: int = BLOCK) -> DataFrame:
+def page_sizes(pages: DataFrame, text: str) -> DataFrame:
+    """(doc_name, page, n_chars)."""
+    return pages.select(DOC, PAGE, F.length(text).alias("n_chars"))
+
+
+def head_pages(sizes: DataFrame, chars: int, block: int = BLOCK) -> DataFrame:
     """(doc_name, page) of the pages that reach into a document's first ``chars``.
 
     A page that starts exactly there still brings its separator."""
-    sizes = pages.select(DOC, PAGE, page_block(block).alias("_blk"), (F.length(text) + 1).cast("long").alias("_n"))
+    sizes = sizes.select(DOC, PAGE, page_block(block).alias("_blk"), (F.col("n_chars") + 1).cast("long").alias("_n"))
     inside = Window.partitionBy(DOC, "_blk").orderBy(PAGE).rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(DOC).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_n").over(inside), F.lit(0))
@@ -74,28 +79,30 @@ def head_pages(pages: DataFrame, text: str, chars: int, block: int = BLOCK) -> D
     )
 
 
-def join_pages(text: str, sep: str = "\n") -> Column:
+def join_pages(text: str, where: Column | None = None, sep: str = "\n") -> Column:
     """Aggregate: page texts in page order. Only for a bounded set of pages."""
-    return F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct(PAGE, F.col(text).alias("t")))), lambda p: p["t"]), sep
-    )
+    page = F.struct(PAGE, F.col(text).alias("t"))
+    chosen = F.collect_list(page if where is None else F.when(where, page))
+    return F.array_join(F.transform(F.array_sort(chosen), lambda p: p["t"]), sep)
 
 
-def doc_heads(pages: DataFrame, text: str, chars: int, block: int = BLOCK) -> DataFrame:
+def doc_heads(
+    pages: DataFrame, text: str, chars: int, block: int = BLOCK, sizes: DataFrame | None = None
+) -> DataFrame:
     """(doc_name, head): the first ``chars`` characters of the joined pages."""
+    sizes = page_sizes(pages, text) if sizes is None else sizes
     return (
         pages.select(DOC, PAGE, F.left(text, F.lit(chars)).alias("_t"))
-        .join(head_pages(pages, text, chars, block), [DOC, PAGE])
+        .join(head_pages(sizes, chars, block), [DOC, PAGE])
         .groupBy(DOC)
         .agg(F.left(join_pages("_t"), F.lit(chars)).alias("head"))
     )
 
 
 def first_pages(pages: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` pages of each document; ranks are cut before the shuffle."""
+    """(doc_name, page) of the first ``n`` pages; ranks are cut before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(DOC).orderBy(PAGE))
-    keys = pages.select(DOC, PAGE).withColumn("_rank", rank).where(F.col("_rank") <= n)
-    return pages.join(keys.drop("_rank"), [DOC, PAGE])
+    return pages.select(DOC, PAGE).withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
 def dense_index(df: DataFrame, order: list, name: str, lead: str | None = None, block: int = BLOCK) -> DataFrame:
@@ -103,6 +110,7 @@ def dense_index(df: DataFrame, order: list, name: str, lead: str | None = None,
 
     ``lead`` is an optional column that sorts before the page. Row numbers run
     inside (lead, page block); a running sum over block sizes gives the offsets.
+    ``df`` is evaluated twice, so store it first if it is costly.
     """
     keys = [DOC] + ([lead] if lead else []) + ["_blk"]
     rows = df.withColumn("_blk", page_block(block)).withColumn(

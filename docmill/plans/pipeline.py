@@ -8,11 +8,12 @@ from docmill.operators.classify import detect_category
 from docmill.operators.clean import clean_pages
 from docmill.operators.meta import extract_doc_meta
 from docmill.plans.stats import page_summary, stats_report
-from docmill.session import cut_lineage
+from docmill.session import cut_lineage, session_setting
 from docmill.sources.documents import assemble_pages, decode_files, scan_directory, spread
 from docmill.sources.embedders import model_embedding
 from docmill.sources.store import VectorStore
 
+FILES_PER_BATCH = "8"
 log = logging.getLogger("docmill")
 
 
@@ -95,7 +96,9 @@ def ingest_directory(
     store = VectorStore(spark, store_path)
     if reset:
         store.reset()
-    elements = cut_lineage(decode_files(spread(scan_directory(spark, folder)), decoder))
+    # files are large: hand them to the decoder a few at a time
+    with session_setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", FILES_PER_BATCH):
+        elements = cut_lineage(decode_files(spread(scan_directory(spark, folder)), decoder))
     raw = cut_lineage(assemble_pages(elements))
     names = elements.select(F.regexp_extract("doc_path", r"([^/]*)$", 1).alias("doc_name"), "error")
     failures = names.groupBy("doc_name").agg(F.max("error").alias("error")).join(

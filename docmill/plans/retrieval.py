@@ -74,7 +74,7 @@ def retrieve(store, texts: list[str], embed, k: int = fixed.TOP_K, preview: int
     hits = top_k(store.read(columns=["chunk_id", "embedding"]), queries, k)
     chunks = store.read(columns=["chunk_id", "chunk_type", "doc_name", "page", "text"])
     return (
-        chunks.join(F.broadcast(hits.withColumnRenamed("id", "chunk_id")), "chunk_id")
+        chunks.join(hits.withColumnRenamed("id", "chunk_id"), "chunk_id")
         .select("query_id", "rank", "similarity", "chunk_id", "chunk_type", "doc_name", "page",
                 F.left("text", F.lit(preview)).alias("preview"))
         .orderBy("query_id", "rank")

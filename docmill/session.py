@@ -1,5 +1,7 @@
 """Session helpers."""
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,18 +26,40 @@ def local_session(cores="*", app="docmill", **conf) -> SparkSession:
     return spark
 
 
+_LOCAL_FOLDERS: dict = {}
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the session names in ``spark.checkpoint.dir``. Only a
+    local session without that setting gets a folder of its own."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="docmill-")
+        folder = _LOCAL_FOLDERS[app]
+    return folder.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so a lost executor costs no recomputation.
+    """Write ``df`` as a table in the checkpoint folder and read it back.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only a
-    local session without that setting gets one of its own.
+    A lost executor then repeats nothing that came before, and later steps read
+    only the columns they need.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="docmill-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_folder(df.sparkSession)}/docmill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def session_setting(spark: SparkSession, key: str, value: str):
+    """Set a session option for the actions inside the block."""
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)

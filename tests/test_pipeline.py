@@ -173,9 +173,9 @@ def test_top_k_breaks_ties_by_id(spark):
 
 def test_few_chars_are_counted_on_every_boundary(spark):
     """Category terms across page borders, also over very short pages."""
-    from docmill.operators.classify import body_terms
+    from docmill.operators.classify import body_terms, page_evidence
 
     pages = [("d", 1, "a load"), ("d", 2, "Balancer x web"), ("d", 3, "application"), ("d", 4, "..."), ("d", 5, "firewall")]
     df = spark.createDataFrame(pages, "doc_name string, page long, text string")
     terms = ["load balancer", "web application firewall", "waf", "x w"]
-    assert sorted(body_terms(df, terms).first()["body_hits"]) == ["load balancer", "web application firewall", "x w"]
+    assert sorted(body_terms(page_evidence(df, terms), terms).first()["body_hits"]) == ["load balancer", "web application firewall", "x w"]
