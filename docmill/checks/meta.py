@@ -4,13 +4,13 @@ from pyspark.sql import functions as F
 
 from docmill.checks.common import PAGES_SQL, pages, table
 from docmill.operators import meta
-from docmill.sources.documents import pages_table
+from docmill.sources.documents import pages_table, spread
 
 
 def part_pages(spark, folder):
     """A brand is a file and a part is a page. Pages end in the middle of a
     two-word code, and large sizes name a family, small ones a document id."""
-    part = table(spark, folder, "part").withColumn("n", F.lpad(F.col("p_partkey").cast("string"), 5, "0"))
+    part = spread(table(spark, folder, "part")).withColumn("n", F.lpad(F.col("p_partkey").cast("string"), 5, "0"))
     text = F.concat(
         F.concat(F.lit("i7"), F.col("n"), F.lit(" units\nThe FG-"), F.col("n"), F.lit("F and FG-"), F.col("n")),
         F.concat(F.lit("F-DC with fim-"), F.col("n"), F.lit(" card, SHA-256, SRX-"), F.col("n"), F.lit(" and ")),

@@ -295,7 +295,12 @@ def doc_meta_relations(pages: DataFrame, filename: Column | None = None) -> dict
 
 def extract_doc_meta(pages: DataFrame, filename: Column | None = None) -> DataFrame:
     """One row per document; models and components are sorted distinct codes."""
-    parts = doc_meta_relations(pages, filename)
+    return with_code_lists(doc_meta_relations(pages, filename))
+
+
+def with_code_lists(parts: dict[str, DataFrame]) -> DataFrame:
+    """The documents with their code lists. The relations hold distinct codes
+    already; use those instead where a document may name very many."""
     none = F.array().cast("array<string>")
     models = parts["models"].groupBy(DOC).agg(F.array_sort(F.collect_set("model")).alias("models"))
     components = parts["components"].groupBy(DOC).agg(F.array_sort(F.collect_set("component")).alias("components"))

@@ -14,25 +14,23 @@ def page_block(size: int = BLOCK) -> Column:
     return F.expr(f"{PAGE} div {int(size)}")
 
 
-def preceding(df: DataFrame, value: str, n: int, block: int = BLOCK) -> DataFrame:
-    """Add ``prev``: up to ``n`` values of the pages before, oldest first.
+def _text_before(rows: DataFrame, keys: list, order: str, chars: int, sep: str) -> DataFrame:
+    """Add ``_before``: the last ``chars`` characters of the ``_tail`` texts that
+    precede each row, joined by ``sep``; "" on the first row.
 
-    ``df`` has one row per (doc_name, page) and a non-null ``value``.
+    Tails are cut at ``chars``. One of that length hides everything before it,
+    so a row looks back to the last such tail and the short ones behind it.
     """
-    rows = df.withColumn("_blk", page_block(block))
-    inside = Window.partitionBy(DOC, "_blk").orderBy(PAGE).rowsBetween(-n, -1)
-    rows = rows.withColumn("_in", F.collect_list(value).over(inside))
-    ends = rows.groupBy(DOC, "_blk").agg(
-        F.max_by(F.concat("_in", F.array(value)), PAGE).alias("_end")
-    )
-    across = Window.partitionBy(DOC).orderBy("_blk").rowsBetween(-n, -1)
-    carried = ends.select(DOC, "_blk", F.flatten(F.collect_list("_end").over(across)).alias("_carry"))
-    both = F.concat("_carry", "_in")
-    return (
-        rows.join(carried, [DOC, "_blk"])
-        .withColumn("prev", F.slice(both, F.greatest(F.size(both) - n + 1, F.lit(1)), n))
-        .drop("_blk", "_in", "_carry")
+    earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    full = F.length("_tail") >= chars
+    rows = rows.withColumn("_full", F.last(F.when(full, F.col("_tail")), ignorenulls=True).over(earlier)).withColumn(
+        "_run", F.coalesce(F.sum(full.cast("long")).over(earlier), F.lit(0))
     )
+    # every short tail adds a separator and at least one character
+    short = Window.partitionBy(*keys, "_run").orderBy(order).rowsBetween(-(chars // 2 + 1), -1)
+    behind = F.collect_list("_tail").over(short)
+    joined = F.array_join(F.concat(F.filter(F.array("_full"), lambda t: t.isNotNull()), behind), sep)
+    return rows.withColumn("_before", F.right(joined, F.lit(chars))).drop("_full", "_run")
 
 
 def page_seams(pages: DataFrame, text: str, chars: int, sep: str, block: int = BLOCK) -> DataFrame:
@@ -47,10 +45,17 @@ def page_seams(pages: DataFrame, text: str, chars: int, sep: str, block: int = B
 
 def seams_of(slim: DataFrame, chars: int, sep: str, block: int = BLOCK) -> DataFrame:
     """Seams from (doc_name, page, _head, _tail) of the pages with text."""
-    # every page adds a separator and at least one character
-    joined = preceding(slim, "_tail", chars // 2 + 1, block).where(F.size("prev") > 0)
-    before = F.right(F.array_join("prev", sep), F.lit(chars))
-    return joined.select(DOC, PAGE, F.concat(before, F.lit(sep), F.col("_head")).alias("seam"))
+    def joined(*parts):
+        return F.right(F.concat_ws(sep, *[F.nullif(p, F.lit("")) for p in parts]), F.lit(chars))
+
+    rows = _text_before(slim.withColumn("_blk", page_block(block)), [DOC, "_blk"], PAGE, chars, sep)
+    ends = rows.groupBy(DOC, "_blk").agg(F.max_by(joined(F.col("_before"), F.col("_tail")), PAGE).alias("_tail"))
+    carried = _text_before(ends, [DOC], "_blk", chars, sep).select(DOC, "_blk", F.col("_before").alias("_carry"))
+    before = joined(F.col("_carry"), F.col("_before"))
+    return (
+        rows.join(carried, [DOC, "_blk"]).where((F.col("_carry") != "") | (F.col("_before") != ""))
+        .select(DOC, PAGE, F.concat(before, F.lit(sep), F.col("_head")).alias("seam"))
+    )
 
 
 def page_sizes(pages: DataFrame, text: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from docmill.operators.chunk import chunk_pages
 from docmill.operators.classify import detect_category
 from docmill.operators.clean import clean_pages
-from docmill.operators.meta import extract_doc_meta
+from docmill.operators.meta import doc_meta_relations, with_code_lists
 from docmill.plans.stats import page_summary, stats_report
 from docmill.session import cut_lineage, session_setting
 from docmill.sources.documents import assemble_pages, decode_files, scan_directory, spread
@@ -24,20 +24,25 @@ def with_display_family(meta: DataFrame) -> DataFrame:
     )
 
 
-def document_meta(raw: DataFrame, clean: DataFrame, filename: Column | None = None) -> DataFrame:
-    """Metadata from raw pages, category from cleaned ones; one row per document."""
-    meta = extract_doc_meta(raw, filename).join(
+def document_meta(
+    raw: DataFrame, clean: DataFrame, filename: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Metadata from raw pages with the category from cleaned ones, one row per
+    document, and the relation (doc_name, model)."""
+    parts = doc_meta_relations(raw, filename)
+    parts["models"] = cut_lineage(parts["models"])
+    meta = with_code_lists(parts).join(
         detect_category(clean, filename=filename).select("doc_name", "category", "confidence"), "doc_name"
     )
-    return with_display_family(meta)
+    return cut_lineage(with_display_family(meta)), parts["models"]
 
 
 def build_chunks(raw: DataFrame, splitter: str = "recursive", filename: Column | None = None, **options):
     """(chunks, meta, clean) of raw pages. Intermediate results that several
     steps read are checkpointed, so a lost executor repeats little."""
     clean = cut_lineage(clean_pages(raw))
-    meta = cut_lineage(document_meta(raw, clean, filename))
-    return chunk_pages(clean, meta, splitter, **options), meta, clean
+    meta, models = document_meta(raw, clean, filename)
+    return chunk_pages(clean, meta, splitter, models=models, **options), meta, clean
 
 
 def ingest_report(

@@ -18,6 +18,8 @@ def local_session(cores="*", app="docmill", **conf) -> SparkSession:
         # rows are few and costly here: do not merge small shuffle partitions into one task
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # no call-site capture for every column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

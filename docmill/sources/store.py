@@ -62,8 +62,11 @@ class VectorStore:
             stream.write(bytearray(version.encode()))
         finally:
             stream.close()
-        if old:
-            self._fs.delete(self._path(old), True)
+        # one older version stays for scans that are still running
+        for entry in self._fs.listStatus(self._path(self.path)):
+            name = entry.getPath().getName()
+            if name.startswith("v-") and name != version and not (old and old.endswith(name)):
+                self._fs.delete(entry.getPath(), True)
 
     def upsert(self, chunks: DataFrame, replace_documents: bool = False) -> None:
         """Insert or replace by chunk_id. Chunks of edited documents stay unless
