@@ -13,7 +13,7 @@ from docmill.session import local_session  # noqa: E402
 HEADLINES = [
     "clean_pages", "header_footer_lines", "raw_table_islands", "unicode_fix", "category_best", "category_scores",
     "model_codes", "vendor_best", "window_chunks", "recursive_chunks", "exact_dedup", "near_dedup", "chunk_index",
-    "ngram_jaccard", "markdown_parse", "spec_column_tables", "spec_grouped_headers", "corpus_ingest",
+    "ngram_jaccard", "markdown_parse", "spec_column_tables", "spec_grouped_headers", "corpus_chunks",
     "upsert_latest", "kb_stats", "topk_cosine", "text_retrieval",
 ]
 

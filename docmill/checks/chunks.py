@@ -2,25 +2,32 @@
 from pyspark.sql import functions as F
 
 from docmill import fixed
+from docmill.checks.category import RANKED_SQL, scores_sql
 from docmill.checks.common import PAGES_SQL, collapse_sql, documents, pages, strip_sql, table
+from docmill.checks.text import CLEAN_SQL
 from docmill.functions.text import chunk_id, exact_hash, jaccard, let, trigrams
 from docmill.operators import chunk, dedup
 from docmill.operators.ordering import dense_index
-from docmill.plans.pipeline import with_display_family
+from docmill.plans.pipeline import build_chunks, with_display_family
 from docmill.session import cut_lineage
 
 STEP = fixed.CHUNK_SIZE - fixed.CHUNK_OVERLAP
 
-# windows(doc_name, page, seg, split, text) of the pages' raw texts
-WINDOWS_SQL = f"""{PAGES_SQL},
- whole AS (SELECT doc_name, page, {strip_sql('text')} AS t FROM pages),
- cut AS (SELECT doc_name, page, 0 AS seg, i, {strip_sql(f'substring(t, i * {STEP} + 1, {fixed.CHUNK_SIZE})')} AS text
+def windows_sql(whole: str) -> str:
+    """CTEs windows, long_enough and uniq of a query of (doc_name, page, seg, t)."""
+    return f"""
+ whole AS ({whole}),
+ cut AS (SELECT doc_name, page, seg, i, {strip_sql(f'substring(t, i * {STEP} + 1, {fixed.CHUNK_SIZE})')} AS text
          FROM whole, LATERAL (SELECT unnest(range(0, greatest(ceil((length(t) - {fixed.CHUNK_SIZE}) / {STEP}), 0)::BIGINT + 1)) AS i)),
- windows AS (SELECT doc_name, page, seg, (row_number() OVER (PARTITION BY doc_name, page ORDER BY i) - 1)::INT AS split, text
+ windows AS (SELECT doc_name, page, seg, (row_number() OVER (PARTITION BY doc_name, page, seg ORDER BY i) - 1)::INT AS split, text
              FROM cut WHERE text <> ''),
  long_enough AS (SELECT * FROM windows WHERE length(text) >= {fixed.MIN_CHUNK_CHARS}),
- uniq AS (SELECT * FROM long_enough QUALIFY row_number() OVER (
-            PARTITION BY doc_name, md5(lower({strip_sql('text')})) ORDER BY page, split) = 1)"""
+ uniq AS MATERIALIZED (SELECT * FROM long_enough QUALIFY row_number() OVER (
+            PARTITION BY doc_name, md5(lower({strip_sql('text')})) ORDER BY page, seg, split) = 1)"""
+
+
+# of the pages' raw texts
+WINDOWS_SQL = PAGES_SQL + "," + windows_sql(f"SELECT doc_name, page, 0 AS seg, {strip_sql('text')} AS t FROM pages")
 
 
 def window_chunks(spark, folder):
@@ -93,9 +100,9 @@ def near_dedup(spark, folder):
     return dedup.near_dedup(rows).select("doc_name", "page", "split")
 
 
-# the sequential rule as a recursion: one chunk per source and step
-NEAR_SQL = f"""WITH RECURSIVE {WINDOWS_SQL},
- seq AS MATERIALIZED (SELECT doc_name, page, split, row_number() OVER (PARTITION BY doc_name ORDER BY page, split) AS n,
+# the sequential rule as a recursion over ``uniq``: one chunk per file and step
+KEPT_SQL = f"""
+ seq AS MATERIALIZED (SELECT doc_name, page, seg, split, row_number() OVER (PARTITION BY doc_name ORDER BY page, seg, split) AS n,
           list_distinct(list_transform(range(1, length(s) - 1), lambda i: substring(s, i, 3))) AS g
         FROM (SELECT *, {collapse_sql(f'lower({strip_sql("text")})')} AS s FROM uniq)),
  grams AS (SELECT doc_name, n, len(g) AS z, unnest(g) AS w FROM seq),
@@ -103,19 +110,21 @@ NEAR_SQL = f"""WITH RECURSIVE {WINDOWS_SQL},
  -- sets with Jaccard 0.92 share one of their rarest grams
  rare AS (SELECT doc_name, n, z, w FROM (SELECT grams.*, row_number() OVER (PARTITION BY doc_name, n ORDER BY f, w) AS r FROM grams JOIN freq USING (w))
           WHERE r <= z - ceil(0.92 * z) + 1),
- cand AS (SELECT DISTINCT a.doc_name, b.n AS n, a.n AS m FROM rare a JOIN rare b ON a.doc_name = b.doc_name AND a.w = b.w AND a.n < b.n
+ close AS (SELECT DISTINCT a.doc_name, b.n AS n, a.n AS m FROM rare a JOIN rare b ON a.doc_name = b.doc_name AND a.w = b.w AND a.n < b.n
           WHERE a.z >= 0.92 * b.z AND b.z >= 0.92 * a.z),
- pairs AS MATERIALIZED (SELECT c.doc_name, c.n, c.m FROM cand c JOIN grams a ON a.doc_name = c.doc_name AND a.n = c.m
+ pairs AS MATERIALIZED (SELECT c.doc_name, c.n, c.m FROM close c JOIN grams a ON a.doc_name = c.doc_name AND a.n = c.m
            JOIN grams b ON b.doc_name = c.doc_name AND b.n = c.n AND b.w = a.w
          GROUP BY c.doc_name, c.n, c.m, a.z, b.z HAVING count(*) / (a.z + b.z - count(*)) >= 0.92),
- near AS MATERIALIZED (SELECT seq.doc_name, seq.n, page, split, coalesce(list(m) FILTER (m IS NOT NULL), []) AS ms
+ near AS MATERIALIZED (SELECT seq.doc_name, seq.n, coalesce(list(m) FILTER (m IS NOT NULL), []) AS ms
           FROM seq LEFT JOIN pairs USING (doc_name, n) GROUP BY ALL),
- walk AS (SELECT doc_name, 0::BIGINT AS n, []::BIGINT[] AS kept, -1::BIGINT AS page, -1::INT AS split, false AS keep FROM (SELECT DISTINCT doc_name FROM seq)
+ walk AS (SELECT doc_name, 0::BIGINT AS n, []::BIGINT[] AS kept, false AS keep FROM (SELECT DISTINCT doc_name FROM seq)
    UNION ALL
    SELECT w.doc_name, x.n, CASE WHEN len(list_intersect(w.kept, x.ms)) = 0 THEN list_append(w.kept, x.n)[-{fixed.DEDUP_WINDOW}:] ELSE w.kept END,
-     x.page, x.split, len(list_intersect(w.kept, x.ms)) = 0
-   FROM walk w JOIN near x ON x.doc_name = w.doc_name AND x.n = w.n + 1)
-SELECT doc_name, page, split FROM walk WHERE keep"""
+     len(list_intersect(w.kept, x.ms)) = 0
+   FROM walk w JOIN near x ON x.doc_name = w.doc_name AND x.n = w.n + 1),
+ kept AS (SELECT doc_name, page, seg, split FROM walk JOIN seq USING (doc_name, n) WHERE keep)"""
+
+NEAR_SQL = f"WITH RECURSIVE {WINDOWS_SQL},{KEPT_SQL} SELECT doc_name, page, split FROM kept"
 
 
 def base_meta(spark, folder):
@@ -149,7 +158,29 @@ def recursive_chunks(spark, folder):
     return chunk.prose_chunks(pages(spark, folder)).select("doc_name", "page", "split", "text")
 
 
+def corpus_chunks(spark, folder):
+    """Raw pages to numbered chunks: cleaning, metadata, categories, dedup, tables."""
+    chunks = build_chunks(pages(spark, folder), "window")[0]
+    return chunks.select("doc_name", "page", "chunk_idx", "chunk_type", "chunk_id", "has_table", "category", "vendor")
+
+
+_BLOCK_RE = r"'(?s)\[TABLE\].*?\[/TABLE\]'"
+CORPUS_SQL = f"""WITH RECURSIVE {CLEAN_SQL.replace('kept', 'clean_lines')},
+ pr AS (SELECT doc_name, page, unnest(string_split_regex(text, {_BLOCK_RE})) AS s, generate_subscripts(string_split_regex(text, {_BLOCK_RE}), 1) * 2 AS seg FROM cleaned),
+ tb AS (SELECT doc_name, page, unnest(regexp_extract_all(text, {_BLOCK_RE})) AS s, generate_subscripts(regexp_extract_all(text, {_BLOCK_RE}), 1) * 2 + 1 AS seg FROM cleaned),
+ {windows_sql(f"SELECT doc_name, page, seg, {strip_sql('s')} AS t FROM pr WHERE {strip_sql('s')} <> ''").lstrip()},{KEPT_SQL},
+ a AS (SELECT doc_name, page, seg, split, text, 0 AS phase FROM kept JOIN uniq USING (doc_name, page, seg, split) UNION ALL
+       SELECT doc_name, page, seg, 0, {strip_sql('s')}, 1 FROM tb),
+ {scores_sql("SELECT doc_name, string_agg(text, chr(10) ORDER BY page) AS text FROM cleaned GROUP BY doc_name")}, {RANKED_SQL}
+SELECT a.doc_name, page, row_number() OVER (PARTITION BY a.doc_name ORDER BY phase, page, seg, split) - 1 AS chunk_idx,
+  CASE WHEN phase = 1 THEN 'table_full' ELSE 'semantic' END AS chunk_type, md5(a.doc_name || '|' || page || '|' || text) AS chunk_id,
+  phase = 1 AS has_table, CASE WHEN score > 0 THEN category ELSE 'GENERAL' END AS category,
+  upper(a.doc_name[1]) || string_split(a.doc_name, '.')[1][2:] AS vendor
+FROM a JOIN ranked ON ranked.doc_name = a.doc_name AND r = 1"""
+
+
 QUERIES = {
+    "corpus_chunks": (corpus_chunks, CORPUS_SQL),
     "window_chunks": (window_chunks, f"WITH {WINDOWS_SQL} SELECT doc_name, page, split, text FROM windows"),
     "min_length_chunks": (
         min_length_chunks, f"WITH {WINDOWS_SQL} SELECT doc_name, page, split, length(text)::INT AS n FROM long_enough"

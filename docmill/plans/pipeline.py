@@ -111,6 +111,6 @@ def ingest_directory(
     )
     report = ingest_pages(raw, store, embed, failures, **options)
     log.info("documents: %d, vectors: %d", report.count(), store.count())
-    for row in stats_report(store.read()).limit(1000).collect():
+    for row in stats_report(store.read()).toLocalIterator():
         log.info("%s %s: %d", row["dimension"], row["value"], row["n"])
     return report
