@@ -7,10 +7,9 @@ from docmill.checks.common import (
     WS_RE, collapse_sql, documents, label_sql, lines_sql, sql_text, strip_sql, table, values_sql,
 )
 from docmill.functions import labels
-from docmill.functions.text import clean_cell_value, clean_metric_name
+from docmill.functions.text import chunk_id, clean_cell_value, clean_metric_name
 from docmill.operators import tables as tb
-from docmill.operators.chunk import spec_text
-from docmill.functions.text import chunk_id
+from docmill.operators.chunk import chunk_pages, spec_text
 
 NL = "chr(10)"
 
@@ -352,7 +351,33 @@ SPEC_TEXT_SQL = """WITH t AS (SELECT p_partkey, p_brand, 'Vendor: ' || p_brand |
   || chr(10) || chr(10) || 'Feature: Size' || chr(10) || 'Value: ' || p_size || chr(10) || chr(10) || 'Context: ' || p_type AS text FROM part)
 SELECT p_partkey, text, md5(p_brand || '|' || p_partkey || '|' || text) AS chunk_id FROM t"""
 
+def sheet_chunks(spark, folder):
+    """All chunks of one large file of spec tables: the table, then its spec rows."""
+    sheets, models = column_sheets(spark, folder)
+    info = sheets.select("doc_name").distinct().select(
+        "doc_name", F.lit("Acme").alias("vendor"), F.lit("Wares").alias("product_family"), F.lit("NGFW").alias("category")
+    )
+    chunks = chunk_pages(sheets.select("doc_name", "page", "text"), info, "window", models=models)
+    return chunks.select("page", "chunk_idx", "chunk_type", "chunk_id", "family", "display_family", "model", "spec_name", "spec_value", "text")
+
+
+SHEET_SQL = f"""WITH {_PART},
+ t AS (SELECT grp AS page, '[TABLE]' || chr(10) || 'Specification | ' || string_agg(code, ' | ' ORDER BY p_partkey)
+    || chr(10) || '--- | ' || string_agg('---', ' | ')
+    || chr(10) || 'Size rating | ' || string_agg(p_size::VARCHAR, ' | ' ORDER BY p_partkey)
+    || chr(10) || 'Performance | ' || string_agg('n/a', ' | ')
+    || chr(10) || 'Brand name 2 | ' || string_agg(p_brand, ' | ' ORDER BY p_partkey)
+    || chr(10) || 'Type class | ' || string_agg(lower(p_type), ' | ' ORDER BY p_partkey)
+    || chr(10) || 'Model | ' || string_agg('77', ' | ') || chr(10) || '[/TABLE]' AS text FROM p GROUP BY grp),
+ a AS (SELECT page, -1 AS ord, '' AS model, NULL AS spec_name, NULL AS value, text FROM t UNION ALL
+   SELECT page, ord, model, spec_name, value, 'Vendor: Acme' || chr(10) || 'Family: Wares' || chr(10) || 'Model: ' || model || chr(10) || chr(10)
+     || 'Feature: ' || spec_name || chr(10) || 'Value: ' || value || chr(10) || chr(10) || 'Context: Acme Wares NGFW technical specification'
+   FROM ({COLUMN_SQL}))
+SELECT page, row_number() OVER (ORDER BY page, ord) - 1 AS chunk_idx, CASE WHEN ord < 0 THEN 'table_full' ELSE 'spec_row' END AS chunk_type,
+  md5('columns.pdf|' || page || '|' || text) AS chunk_id, 'Wares' AS family, 'Wares' AS display_family, model, spec_name, value AS spec_value, text FROM a"""
+
 QUERIES = {
+    "sheet_chunks": (sheet_chunks, SHEET_SQL),
     "label_predicates": (label_predicates, LABELS_SQL),
     "clean_cell_values": (
         clean_values,
