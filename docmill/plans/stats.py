@@ -19,19 +19,22 @@ def model_combo(columns: list[str]) -> Column:
 def collection_stats(chunks: DataFrame) -> DataFrame:
     """(dimension, value, n) for category, vendor, chunk type, model combo, total.
 
-    One pass: each row expands to its labels and partial counts combine before
-    the shuffle."""
+    One pass over the chunks counts the combinations of all four; only those few
+    rows expand to their labels."""
     unknown = F.lit("UNKNOWN")
-    labels = F.array(
-        F.struct(F.lit("by_category").alias("dimension"), F.coalesce("category", unknown).alias("value")),
-        F.struct(F.lit("by_vendor").alias("dimension"), F.coalesce("vendor", unknown).alias("value")),
-        F.struct(F.lit("by_chunk_type").alias("dimension"), F.coalesce("chunk_type", unknown).alias("value")),
-        F.struct(F.lit("by_model_combo").alias("dimension"), model_combo(chunks.columns).alias("value")),
-        F.struct(F.lit("total").alias("dimension"), F.lit("").alias("value")),
+    dimensions = {
+        "by_category": F.coalesce("category", unknown), "by_vendor": F.coalesce("vendor", unknown),
+        "by_chunk_type": F.coalesce("chunk_type", unknown), "by_model_combo": model_combo(chunks.columns),
+    }
+    combined = chunks.groupBy(*[value.alias(name) for name, value in dimensions.items()]).agg(
+        F.count(F.lit(1)).alias("n")
     )
+    labels = F.array(*[
+        F.struct(F.lit(name).alias("dimension"), F.col(name).alias("value")) for name in dimensions
+    ], F.struct(F.lit("total").alias("dimension"), F.lit("").alias("value")))
     return (
-        chunks.select(F.explode(labels).alias("l")).select("l.*")
-        .groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"))
+        combined.select(F.explode(labels).alias("l"), "n").select("l.*", "n")
+        .groupBy("dimension", "value").agg(F.sum("n").alias("n"))
     )
 
 

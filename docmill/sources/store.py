@@ -3,9 +3,10 @@
 Every write makes a new version folder; a small pointer file names the current
 one and is replaced last, so readers and failed writes never see half a store.
 """
+import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from docmill.operators.chunk import CHUNK_COLUMNS
 
@@ -40,14 +41,16 @@ class VectorStore:
     def _pointer(self):
         return self._path(f"{self.path}/CURRENT")
 
-    def current(self) -> str | None:
+    def current(self) -> tuple[str, T.StructType] | None:
+        """Folder and schema of the content, or None."""
         if not self._fs.exists(self._pointer()):
             return None
         stream = self._fs.open(self._pointer())
         try:
-            return f"{self.path}/{bytes(stream.readAllBytes()).decode()}"
+            version, schema = bytes(stream.readAllBytes()).decode().split("\n", 1)
         finally:
             stream.close()
+        return f"{self.path}/{version}", T.StructType.fromJson(json.loads(schema))
 
     def exists(self) -> bool:
         return self.current() is not None
@@ -59,13 +62,13 @@ class VectorStore:
         old = self.current()
         stream = self._fs.create(self._pointer(), True)
         try:
-            stream.write(bytearray(version.encode()))
+            stream.write(bytearray(f"{version}\n{rows.schema.json()}".encode()))
         finally:
             stream.close()
         # one older version stays for scans that are still running
         for entry in self._fs.listStatus(self._path(self.path)):
             name = entry.getPath().getName()
-            if name.startswith("v-") and name != version and not (old and old.endswith(name)):
+            if name.startswith("v-") and name != version and not (old and old[0].endswith(name)):
                 self._fs.delete(entry.getPath(), True)
 
     def upsert(self, chunks: DataFrame, replace_documents: bool = False) -> None:
@@ -81,7 +84,8 @@ class VectorStore:
         """Scan with metadata equality filters and column pruning."""
         if not self.exists():
             raise FileNotFoundError(f"no store at {self.path}")
-        df = self.spark.read.parquet(self.current())
+        folder, schema = self.current()
+        df = self.spark.read.schema(schema).parquet(folder)
         for name, value in (where or {}).items():
             df = df.where(F.col(name) == value)
         return df.select(*columns) if columns else df

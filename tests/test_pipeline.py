@@ -179,3 +179,14 @@ def test_few_chars_are_counted_on_every_boundary(spark):
     df = spark.createDataFrame(pages, "doc_name string, page long, text string")
     terms = ["load balancer", "web application firewall", "waf", "x w"]
     assert sorted(body_terms(page_evidence(df, terms), terms).first()["body_hits"]) == ["load balancer", "web application firewall", "x w"]
+
+
+def test_nothing_readable(spark, folder, tmp_path):
+    """Every file fails: the report says so, the store stays empty but usable."""
+    store_path = str(tmp_path / "none")
+    report = pipeline.ingest_directory(spark, folder, store_path, embed=hashing_embedding)
+    assert {r["status"] for r in report.collect()} == {"failed"} and report.count() == 5
+    store = VectorStore(spark, store_path)
+    assert store.count() == 0
+    pipeline.ingest_directory(spark, folder, store_path, decoder=decode, embed=hashing_embedding)
+    assert store.count() > 0
