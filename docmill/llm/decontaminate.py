@@ -237,12 +237,12 @@ def without_spans(docs: DataFrame, items: DataFrame, text: str = "text", item: s
     stands between; a document with hits on ``coverage`` of its words or more
     goes. Texts without a hit stay as they are, null ones too.
     """
-    where = docs.columns.index(text)
+    where, own = docs.columns.index(text), len(docs.columns)
 
     def cut(batches):
         for batch in batches:
             texts, keep = [], []
-            for content, match in zip(batch.column(where), batch.column(len(docs.columns))):
+            for content, match in zip(batch.column(where), batch.column(own)):
                 content, match = content.as_py(), match.as_py()
                 spans = match["spans"] if match else []
                 keep.append(not spans or sum(s["end"] - s["first"] for s in spans) < coverage * match["n_words"])
@@ -254,9 +254,9 @@ def without_spans(docs: DataFrame, items: DataFrame, text: str = "text", item: s
                         begin = at[s["end"] - 1][1]
                     content = "".join([*parts, content[begin:]])
                 texts.append(content)
-            columns = batch.columns[: len(docs.columns)]
+            columns = batch.columns[:own]
             columns[where] = pa.array(texts, batch.schema.field(where).type)
-            out = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[: len(docs.columns)])
+            out = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:own])
             yield out.filter(pa.array(keep, pa.bool_()))
 
     return _matched(docs, items, text, item, item_text, window, block_words).mapInArrow(cut, docs.schema)

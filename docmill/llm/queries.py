@@ -1,7 +1,10 @@
 """Registered queries of the operators and their SQL."""
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docmill.llm import decontaminate, lines, pieces, quality, sharding
+from docmill.llm import decontaminate, lines, minhash, neighbours, pieces, pii, quality, sharding, spans, tokenfiles
+from docmill.session import checkpoint_folder
 
 SHARDS, SLOTS = 48, 5003
 #: Labels whose key falls into this remainder are held out.
@@ -39,6 +42,12 @@ SELECT k.doc_id, k.slot, c.shard FROM keyed k LEFT JOIN claims c ON c.slot = k.s
 """
 
 
+def op2_neighbours(spark, folder):
+    """The 20 nearest vectors found of every twentieth vector."""
+    vectors = _table(spark, folder, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0").select("vec_id"))
+
+
 def op3_decontamination(spark, folder):
     """Hit words and benchmark items of every document."""
     found = decontaminate.matches(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -73,6 +82,53 @@ FROM w LEFT JOIN hit USING (doc) LEFT JOIN items USING (doc)
 """
 
 
+def op4_token_files(spark, folder):
+    """Ids of every document, written to files and read back; ``by_key`` tells
+    whether the index finds the document under its id."""
+    import public_tokenizers
+
+    store = f"{checkpoint_folder(spark)}/docmill-ids-{uuid.uuid4().hex}"
+    tokenfiles.write(_table(spark, folder, "documents"), store, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    stored = tokenfiles.TokenStore(spark, store)
+    there = (F.col("first") <= F.col("ordinal")) & (F.col("ordinal") < F.col("first") + F.col("copies"))
+    return stored.found(stored.documents()).select(
+        F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), F.col("crc32").alias("ids_crc32"), there.alias("by_key")
+    )
+
+
+def _joined(found):
+    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op5_personal_data(spark, folder):
+    """Personal data of every document: numbers and hash of plain spans, all spans."""
+    found = pii.personal_data(_table(spark, folder, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(count, pii.KINDS), F.sha2(F.encode(_joined("base"), "UTF-8"), 256).alias("base_sha256"), _joined("spans").alias("spans"),
+    )
+
+
+def op6_span_dedup(spark, folder):
+    """Documents without sentences that repeat in runs."""
+    return spans.without_repeats(_table(spark, folder, "documents")).select("doc_id", "n_sentences", "n_removed", "text")
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT *, row_number() OVER () AS r FROM documents),
+s AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '[^.!?\n]*[.!?\n]+[ \t\r\n]*|[^.!?\n]+')) AS part, generate_subscripts(regexp_extract_all(text, '[^.!?\n]*[.!?\n]+[ \t\r\n]*|[^.!?\n]+'), 1) AS i
+  FROM (SELECT DISTINCT doc_id, text FROM d WHERE text IS NOT NULL)),
+w AS (SELECT *, trim(part, chr(32) || chr(9) || chr(13) || chr(10)) AS x, lead(trim(part, chr(32) || chr(9) || chr(13) || chr(10))) OVER (PARTITION BY doc_id, text ORDER BY i) AS y FROM s),
+p AS (SELECT doc_id, text, i, count(*) OVER (PARTITION BY x, y) AS n,
+    row_number() OVER (PARTITION BY x, y ORDER BY doc_id NULLS FIRST, i) AS k FROM w WHERE y IS NOT NULL AND length(x) + length(y) >= 40),
+c AS (SELECT DISTINCT doc_id, text, unnest([i, i + 1]) AS i FROM p WHERE n > 1 AND k > 1),
+m AS (SELECT s.doc_id, s.text, count(*) AS n, count(c.i) AS gone, coalesce(string_agg(s.part, '' ORDER BY s.i) FILTER (c.i IS NULL), '') AS kept
+  FROM s LEFT JOIN c ON c.doc_id IS NOT DISTINCT FROM s.doc_id AND c.text = s.text AND c.i = s.i GROUP BY s.doc_id, s.text)
+SELECT d.doc_id, coalesce(m.n, 0)::BIGINT AS n_sentences, coalesce(m.gone, 0)::BIGINT AS n_removed, CASE WHEN coalesce(m.gone, 0) = 0 THEN d.text ELSE m.kept END AS text
+FROM d LEFT JOIN m ON m.doc_id IS NOT DISTINCT FROM d.doc_id AND m.text = d.text
+"""
+
+
 def op7_line_dedup(spark, folder):
     """Documents without the boilerplate lines of their source."""
     docs = _table(spark, folder, "documents")
@@ -113,6 +169,14 @@ def op8_pieces(spark, folder):
     )
 
 
+def op9_near_duplicates(spark, folder):
+    """Component of every document, and whether it is its component's first."""
+    found = minhash.near_duplicates(_table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept")
+    )
+
+
 def held_out(key):
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(FOLDS)) == 0
 
@@ -133,8 +197,13 @@ def op10_quality(spark, folder):
 
 QUERIES = {
     "op1_sharding": (op1_sharding, OP1_SQL),
+    "op2_neighbours": (op2_neighbours, None),
     "op3_decontamination": (op3_decontamination, OP3_SQL),
+    "op4_token_files": (op4_token_files, None),
+    "op5_personal_data": (op5_personal_data, None),
+    "op6_span_dedup": (op6_span_dedup, OP6_SQL),
     "op7_line_dedup": (op7_line_dedup, OP7_SQL),
     "op8_pieces": (op8_pieces, None),
+    "op9_near_duplicates": (op9_near_duplicates, None),
     "op10_quality": (op10_quality, None),
 }
