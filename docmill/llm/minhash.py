@@ -13,9 +13,10 @@ How hot groups are handled, without emitting a group's pairs or cutting any:
 2. Keys of A that one document has alone are left out before they are combined.
 3. Each document is compared with the smallest member of its tables that looks
    closest: linear in the group, and it joins the bulk of each group of copies.
-4. In tables that still hold several components, documents are compared in
-   blocks of about ``BLOCK``, by signature, within tasks. Only pairs of
-   different components that may be similar leave a task, to be confirmed.
+4. Documents of tables that still hold several components meet by their keys of
+   A, in blocks, and are compared within tasks: first by signature, and those
+   with a likely partner on full sets. Only confirmed links leave a task, and of
+   these enough to connect the components.
 
 Components come from star contractions on tables of links.
 """
@@ -30,7 +31,8 @@ WORDS, SHARE = 5, 75
 TABLES, ROWS = 18, 3
 #: Signatures that agree less aren't confirmed: 4.8 standard errors under 0.75.
 LIKELY = 0.55
-BLOCK = 256
+#: Documents compared by signature, and shingles compared in full, in a block.
+BLOCK, BLOCK_SHINGLES = 1024, 500_000
 _HASHES = 2 * TABLES * ROWS
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MASKS = np.random.default_rng(5).integers(0, 2**64, _HASHES, np.uint64)
@@ -83,14 +85,19 @@ def _keys(collection: int, *first) -> Column:
     return F.array(*[F.xxhash64(*first, F.lit(collection * TABLES + t), F.slice("signature", begin + t * ROWS + 1, ROWS)) for t in range(TABLES)])
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, share: int) -> DataFrame:
-    """Those of the pairs (x, y) whose full sets are similar."""
+def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """The full sets of documents; of repeated ids, each row's."""
     def sets(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([shingles(t.as_py(), size).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "set"]
             )
 
+    return cut_lineage(docs.join(ids, "id", "left_semi").mapInArrow(sets, "id bigint, set binary"))
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, share: int) -> DataFrame:
+    """Those of the pairs (x, y) whose full sets are similar."""
     def similar(batches):
         for batch in batches:
             keep = []
@@ -102,9 +109,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, share: int) -> Data
                 keep.append(100 * same >= share * (len(a) + len(b) - same))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    # of repeated ids, each row's set
-    own = cut_lineage(docs.join(ids, "id", "left_semi").mapInArrow(sets, "id bigint, set binary"))
+    own = _sets(docs, pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), size)
     joined = pairs.join(own.toDF("x", "a"), "x").join(own.toDF("y", "b"), "y").select("x", "y", "a", "b")
     return cut_lineage(joined.mapInArrow(similar, "x bigint, y bigint"))
 
@@ -132,46 +137,98 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _may_be_similar(share: int):
-    """Comparison of the signatures of a table's blocks, within tasks."""
+def _groups(batches):
+    """(key, rows) of neighbouring rows that agree in their first three columns."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:3] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:3], []
+            rows.append(row[3:])
+    if rows:
+        yield key, rows
+
+
+class _Block:
+    """Rows (block, id, component, n, table, signature, set) that share a key of A."""
+
+    def __init__(self, key, rows, share):
+        self.inner, self.share = key[1] == key[2], share
+        self.block, self.ids, self.parts, self.n = (np.array([r[i] for r in rows]) for i in range(4))
+        self.table = rows[0][4]
+        self.signatures = np.array([r[5] for r in rows])
+
+    def maybe(self, i: int) -> np.ndarray:
+        """Rows that row i is to be compared with: of other components, behind
+        it, of like size and signature, with a combined key in common, and with
+        no earlier key of A, so that each pair comes up once."""
+        after = self.ids > self.ids[i] if self.inner else self.block > self.block[i]
+        other = np.flatnonzero(after & (self.parts != self.parts[i]))
+        other = other[100 * np.minimum(self.n[other], self.n[i]) >= self.share * np.maximum(self.n[other], self.n[i])]
+        same = self.signatures[other] == self.signatures[i]
+        tables = same.reshape(len(other), 2, TABLES, ROWS).all(3)
+        return other[(same.mean(1) >= LIKELY) & (tables[:, 0].argmax(1) == self.table) & tables[:, 1].any(1)]
+
+
+def _open_cases(share: int):
+    """Key of A and id of documents with a pair to be confirmed there."""
     def run(batches):
-        group, key = [], None
-
-        def pairs():
-            x, y = [], []
-            if len(group) > 1:
-                ids = np.array([g[1] for g in group])
-                blocks = np.array([g[0] for g in group])
-                comps = np.array([g[2] for g in group])
-                n = np.array([g[3] for g in group])
-                s = np.array([g[4] for g in group])
-                inner = key[1] == key[2]
-                for i in range(len(ids)):
-                    other = np.flatnonzero((comps != comps[i]) & (ids > ids[i] if inner else blocks > blocks[i]))
-                    other = other[100 * np.minimum(n[other], n[i]) >= share * np.maximum(n[other], n[i])]
-                    if len(other):
-                        other = other[(s[other] == s[i]).mean(1) >= LIKELY]
-                        x += np.minimum(ids[i], ids[other]).tolist()
-                        y += np.maximum(ids[i], ids[other]).tolist()
-            return x, y
-
-        xs, ys = [], []
-        for batch in batches:
-            for k, i, j, block, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                if (k, i, j) != key:
-                    a, b = pairs()
-                    xs, ys = xs + a, ys + b
-                    group, key = [], (k, i, j)
-                    if len(xs) > 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
-                        xs, ys = [], []
-                group.append((block, *rest))
-        a, b = pairs()
-        yield pa.RecordBatch.from_arrays([pa.array(xs + a, pa.int64()), pa.array(ys + b, pa.int64())], names=["x", "y"])
+        for key, rows in _groups(batches):
+            if len(rows) > 1:
+                block, found = _Block(key, rows, share), np.zeros(len(rows), bool)
+                for i in range(len(rows)):
+                    other = block.maybe(i)
+                    found[other] = True
+                    found[i] |= len(other) > 0
+                ids = block.ids[found]
+                if len(ids):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), key[0])), pa.array(ids)], names=["a", "id"])
 
     return run
 
 
+def _links_between(share: int):
+    """Links between components within blocks, confirmed on full sets; enough to
+    connect what belongs together."""
+    def run(batches):
+        for key, rows in _groups(batches):
+            if len(rows) < 2:
+                continue
+            block, found = _Block(key, rows, share), []
+            sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+            for i in range(len(rows)):
+                other = block.maybe(i)
+                if not len(other):
+                    continue
+                starts = np.cumsum([0, *[len(sets[o]) for o in other[:-1]]])
+                every = np.concatenate([sets[o] for o in other])
+                at = np.searchsorted(sets[i], every)
+                hit = sets[i][np.minimum(at, len(sets[i]) - 1)] == every
+                same = np.add.reduceat(hit.astype(np.int64), starts)
+                for o in other[100 * same >= share * (block.n[other] + block.n[i] - same)]:
+                    if block.parts[o] != block.parts[i]:
+                        found.append((block.ids[i], block.ids[o]))
+                        block.parts[block.parts == block.parts[o]] = block.parts[i]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(c)) for c in zip(*found)], names=["x", "y"])
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, weight: Column, most: int, *columns) -> DataFrame:
+    """Rows of a key ``a`` dealt to blocks of about ``most`` in weight, and
+    those to tasks by pairs of blocks."""
+    blocks = rows.groupBy("a").agg(F.ceil(F.sum(weight) / most).cast("int").alias("blocks"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    return (
+        rows.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("a", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", *columns)
+        .repartition("a", "i", "j").sortWithinPartitions("a", "i", "j")
+    )
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS, share: int = SHARE) -> DataFrame:
     """``key``, ``n_shingles`` and ``component`` (smallest key reachable over
     links of similarity ``share`` percent or more) of every row.
@@ -186,13 +243,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     unique = cut_lineage(sets.groupBy("print").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")))
 
     # keys of A that several documents have
-    a = unique.select("id", F.explode(_keys(0)).alias("a"))
+    a = unique.select("id", F.posexplode(_keys(0)).alias("t", "a"))
     shared = a.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a")
-    own = a.join(shared, "a").groupBy("id").agg(F.collect_list("a").alias("own"))  # at most TABLES each
-    combined = unique.join(own, "id").select("id", "signature", F.explode("own").alias("a")).select("id", F.explode(_keys(1, F.col("a"))).alias("k"))
-    tables = combined.groupBy("k").agg(
-        F.min("id").alias("pivot"), F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members")
-    ).where("c > 1")
+    own = a.join(shared, "a").groupBy("id").agg(F.collect_list(F.struct("t", "a")).alias("own"))  # at most TABLES each
+    own = cut_lineage(own)
+    combined = (
+        unique.join(own, "id").select("id", "signature", F.explode("own").alias("o")).select("id", "signature", "o.a")
+        .select("id", F.explode(_keys(1, F.col("a"))).alias("k"))
+    )
+    tables = combined.groupBy("k").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("k", "pivot")
     rows = cut_lineage(combined.join(tables, "k"))
 
     brief = unique.select("id", "n", "signature")
@@ -207,21 +266,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     links = _confirmed(docs, cut_lineage(closest), size, share)
     parts = components(links)
 
-    # tables that hold several components; of tables with the same members, one
-    with_parts = rows.join(parts, "id", "left").select("id", "k", "c", "members", F.coalesce("component", "id").alias("component"))
-    mixed = (
-        with_parts.groupBy("k", "c", "members").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q")
-        .groupBy("c", "members").agg(F.min("k").alias("k")).select("k", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    )
-    blocks = (
-        with_parts.join(mixed, "k").join(brief, "id")
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("k", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "component", "n", "signature")
+    # documents in tables that hold several components
+    part = F.coalesce("component", "id")
+    with_parts = rows.join(parts, "id", "left").select("id", "k", part.alias("component"))
+    mixed = with_parts.groupBy("k").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("k")
+    open_ids = cut_lineage(rows.join(mixed, "k", "left_semi").select("id").distinct())
+    cases = (
+        own.join(open_ids, "id", "left_semi").select("id", F.explode("own").alias("o")).select("id", "o.t", "o.a")
+        .join(unique.select("id", "n", "signature"), "id").join(parts, "id", "left").withColumn("component", part)
     )
-    dealt = blocks.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
-    more = dealt.mapInArrow(_may_be_similar(share), "x bigint, y bigint").distinct()
-    links = cut_lineage(links.union(_confirmed(docs, cut_lineage(more), size, share)))
+    columns = ["id", "component", "n", "t", "signature"]
+    opened = _in_blocks(cases, F.lit(1), BLOCK, *columns).mapInArrow(_open_cases(share), "a bigint, id bigint").distinct()
+    opened = cut_lineage(opened)
+    sets = _sets(docs, opened.select("id").distinct(), size)
+    full = cases.join(opened, ["a", "id"], "left_semi").join(sets, "id")
+    found = _in_blocks(full, F.col("n"), BLOCK_SHINGLES, *columns, "set").mapInArrow(_links_between(share), "x bigint, y bigint")
+    links = cut_lineage(links.union(found.select(F.least("x", "y"), F.greatest("x", "y"))).distinct())
     parts = components(links)
     by_set = unique.select("print", "id").join(parts, "id", "left").select("print", F.coalesce("component", "id").alias("component"))
     return features.select("id", "n", "print").join(by_set, "print", "left").select(
