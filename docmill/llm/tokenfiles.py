@@ -19,6 +19,7 @@ all executors share. Keys are dealt by range with the text's hash behind the
 key, so that a key of many rows is spread over shards.
 """
 import os
+import re
 import uuid
 import zlib
 
@@ -29,8 +30,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Keys per index bucket, about.
 BUCKET_KEYS = 100_000
-#: Words that a worker remembers the ids of.
-REMEMBERED = 200_000
+#: Words that a worker remembers the ids of, per generation (of two).
+REMEMBERED = 400_000
+#: Signs behind the last letter of a word: a word of their own to the tokenizer.
+_CLOSING = re.compile(rb"(?<=[A-Za-z])[.,!?;:]+(?=\s|$)")
 _MAGIC = 0x31534449
 
 
@@ -122,8 +125,9 @@ class Index:
 class Coder:
     """Ids of texts from a file of the tokenizers library.
 
-    ``by_word``: the tokenizer drops white space and looks at each word between
-    spaces for itself, so words' ids can be remembered.
+    ``by_word``: the tokenizer ignores case, drops white space and looks at each
+    word between spaces, and at each run of signs, for itself; so words' ids can
+    be remembered.
     """
 
     def __init__(self, path: str, end_id: int, width: int, by_word: bool):
@@ -133,7 +137,7 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype(f"<u{width}")
         self.end = np.array([end_id], self.type).tobytes()
-        self.by_word, self.known = by_word, {}
+        self.by_word, self.known, self.older = by_word, {}, {}
 
     def _coded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -143,16 +147,23 @@ class Coder:
             return [x + self.end for t in texts for x in self._coded([t])]
         out = []
         for text in texts:
-            words = text.encode().split()
-            known = self.known
-            new = list({w for w in words if w not in known})
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(words))
+            data = text.encode()
+            if b"<|" not in data:  # the form of special tokens, which keep their case
+                data = data.lower()
+            words = _CLOSING.sub(rb" \g<0>", data).split()
+            known, older = self.known, self.older
+            new = []
+            for w in {w for w in words if w not in known}:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
             for k in range(0, len(new), 10_000):
                 part = new[k : k + 10_000]
                 known.update(zip(part, self._coded([w.decode() for w in part])))
             out.append(b"".join([*map(known.__getitem__, words), self.end]))
+            if len(known) > REMEMBERED:
+                self.older, self.known = known, {}
         return out
 
 
