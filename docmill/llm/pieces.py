@@ -24,8 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Remembered strings per generation (of two) and their greatest length.
-REMEMBERED, SHORT = 150_000, 48
+REMEMBERED, SHORT = 250_000, 48
 _SPACE = "▁"
+_FACTOR, _PLACES = np.uint64(0x9E3779B97F4A7C15), 1 << 18
+
+
+def _place(h: np.ndarray) -> np.ndarray:
+    return (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(46)).astype(np.int64)
 
 
 class Pieces:
@@ -52,6 +57,9 @@ class Pieces:
         line_feed = any("\n" in p for p in self.score)
         #: strings between places where all paths meet
         self.apart = None if crossing else re.compile(" *[^ ]+| +") if line_feed else re.compile("\n| *[^ \n]+| +")
+        #: signs that no piece has behind a letter: paths meet before them too
+        self.signs = "".join(x for x in ".,;:!?" if not any(re.search(rf"[^\W\d_]{re.escape(x)}", p) for p in self.score))
+        self._layers = self._hashed()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -111,29 +119,90 @@ class Pieces:
             ids += [i] if i is not None else [self.byte_id[x] for x in text[a:b].encode() if self.byte_id[x] >= 0]
         return ids
 
-    def _packed(self, part: str) -> bytes:
-        found = self.older.get(part)
-        if found is None:
-            found = np.array(self.search(part), np.int32).tobytes()
-        if len(part) <= SHORT:
-            if len(self.known) >= REMEMBERED:
-                self.older, self.known = self.known, {}
-            self.known[part] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        """Ids as 32-bit integers in the machine's order."""
-        if not text:
-            return b""
-        if self.dummy_prefix:
-            text = " " + text
+    def _hashed(self):
+        """The pieces by the hash of their characters: tables of hashes and
+        scores, a further one for what falls on the same place."""
+        pieces = list(self.score)
+        h = np.zeros(len(pieces), np.uint64)
+        for n in {len(p) for p in pieces}:
+            at = [i for i, p in enumerate(pieces) if len(p) == n]
+            c = np.array([pieces[i] for i in at], f"<U{n}").view(np.uint32).reshape(-1, n)
+            for k in range(n):
+                h[at] = h[at] * _FACTOR + c[:, k] + np.uint64(1)
+        scores, layers = np.array([self.score[p] for p in pieces]), []
+        while len(h):
+            keys, values = np.zeros(_PLACES, np.uint64), np.full(_PLACES, -np.inf)
+            _, first = np.unique(_place(h), return_index=True)
+            keys[_place(h[first])], values[_place(h[first])] = h[first], scores[first]
+            layers.append((keys, values))
+            h, scores = np.delete(h, first), np.delete(scores, first)
+        return layers
+
+    def _scores(self, h: np.ndarray) -> np.ndarray:
+        place = _place(h)
+        out = np.full(h.shape, -np.inf)
+        for keys, values in self._layers:
+            out = np.where(keys[place] == h, values[place], out)
+        return out
+
+    def search_many(self, parts: list[str]) -> list[bytes]:
+        """The ids of many short strings: the same search, for all strings of a
+        length at once."""
+        out = [b""] * len(parts)
+        lengths = np.array([len(p) for p in parts])
+        for n in np.unique(lengths):
+            at = np.flatnonzero(lengths == n)
+            c = np.array([parts[i] for i in at], f"<U{n}").view(np.uint32).reshape(-1, n).astype(np.uint64) + np.uint64(1)
+            h, scores = np.zeros(c.shape, np.uint64), [None]
+            for k in range(1, min(self.longest, n) + 1):
+                h = h[:, : n - k + 1] * _FACTOR + c[:, k - 1 :]
+                scores.append(self._scores(h).T.copy())
+            scores[1] = np.where(np.isfinite(scores[1]), scores[1], self.unknown)
+            best, back = np.full((n + 1, len(at)), -np.inf), np.zeros((n + 1, len(at)), np.int32)
+            best[0] = 0
+            for end in range(1, n + 1):
+                for k in range(min(self.longest, end), 0, -1):
+                    new = best[end - k] + scores[k][end - k]
+                    better = new > best[end]
+                    best[end][better] = new[better]
+                    back[end][better] = end - k
+            for i, own in zip(at, back.T.tolist()):
+                out[i] = np.array(self._ids(parts[i], own, 0, n), np.int32).tobytes()
+        return out
+
+    def _learn(self, parts: set[str]) -> None:
+        """Remember the ids of short strings; those of a word with signs behind it are put together."""
+        signed, new = [], set()
+        for p in parts:
+            if (found := self.older.get(p)) is not None:
+                self.known[p] = found
+                continue
+            core = p.rstrip(self.signs) if self.signs else p
+            if core and core != p and core[-1].isalpha():
+                signed.append((p, core, p[len(core) :]))
+                new.update(x for x in (core, p[len(core) :]) if x not in self.known)
+            else:
+                new.add(p)
+        new = list(new)
+        self.known.update(zip(new, self.search_many(new)))
+        for p, core, tail in signed:
+            self.known[p] = self.known[core] + self.known[tail]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts as 32-bit integers in the machine's order."""
+        texts = [" " + t if t and self.dummy_prefix else t for t in texts]
         if self.apart is None:
-            return np.array(self.search(text), np.int32).tobytes()
-        out = []
-        for part in self.apart.findall(text):
-            found = self.known.get(part)
-            out.append(found if found is not None else self._packed(part))
-        return b"".join(out)
+            return [np.array(self.search(t), np.int32).tobytes() for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        split = [self.apart.findall(t) for t in texts]
+        known = self.known
+        new = {p for parts in split for p in parts if p not in known}
+        long = {p: np.array(self.search(p), np.int32).tobytes() for p in new if len(p) > SHORT}
+        self._learn(new - long.keys())
+        return [
+            b"".join([known[p] if p in known else long[p] for p in parts] if long else map(known.__getitem__, parts)) for parts in split
+        ]
 
     def decode(self, ids) -> str:
         n = len(self.bytes)
@@ -152,7 +221,7 @@ def encode(docs: DataFrame, model: Pieces, text: str = "text", ids: str = "ids")
     def run(batches):
         pieces = shared.value
         for batch in batches:
-            coded = [pieces.encode(x.as_py() or "") for x in batch.column(where)]
+            coded = [b for k in range(0, batch.num_rows, 512) for b in pieces.encode_many([x.as_py() or "" for x in batch.column(where).slice(k, 512)])]
             offsets = np.zeros(len(coded) + 1, np.int32)
             np.cumsum([len(x) // 4 for x in coded], out=offsets[1:])
             array = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), np.int32)))
@@ -171,13 +240,7 @@ def decode(docs: DataFrame, model: Pieces, ids: str = "ids", text: str = "decode
     def run(batches):
         pieces = shared.value
         for batch in batches:
-            column = batch.column(where)
-            values = column.flatten().to_pylist() if not column.null_count else None
-            ends = column.offsets.to_numpy() - column.offsets[0].as_py() if values is not None else None
-            texts = (
-                [pieces.decode(values[a:b]) for a, b in zip(ends[:-1], ends[1:])] if values is not None
-                else [pieces.decode(x.as_py() or []) for x in column]
-            )
+            texts = [pieces.decode(x.values.to_pylist() if x.is_valid else []) for x in batch.column(where)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
 
     return docs.mapInArrow(run, docs.withColumn(text, F.lit("x")).schema)
