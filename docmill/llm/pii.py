@@ -98,8 +98,10 @@ _WORD = "(?:" + "|".join(_SPELLED) + ")"
 _RUN = re.compile(rf"(?i)(?:\b(?:plus[\s-]+)|\+\s*)?\b{_WORD}(?:[\s,-]+(?:(?:dot|point|dash)[\s,-]+)?(?:{_WORD}|[0-9]{{1,3}})){{2,}}\b")
 _TOKEN = re.compile(rf"(?i)plus|\+|dot|point|dash|{_WORD}|[0-9]")
 _BRACKET = re.compile(r"(?i)\s*(?:\[\s*(?:(at)|@|(dot)|\.)\s*\]|\(\s*(?:(at)|@|(dot)|\.)\s*\)|\{\s*(?:(at)|@|(dot)|\.)\s*\}|<\s*(?:(at)|@|(dot)|\.)\s*>)\s*")
+# Last names of domains, for addresses in bare words, which plain prose may resemble.
+_LAST = "com org net edu gov info biz io dev app test example de fr es uk eu us ca au it nl ch at be br ru jp cn in".split()
 #: An address with its signs written out as words of their own.
-_ADDRESS = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:(?:\.|\s+dot\s+)[A-Za-z0-9_%+-]++)*+(?:\s+at\s+|@)[A-Za-z0-9-]++(?:(?:\.|\s+dot\s+)[A-Za-z0-9-]++)++")
+_ADDRESS = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:(?:\.|\s+dot\s+)[A-Za-z0-9_%+-]++)*+(?:\s+at\s+|@)[A-Za-z0-9-]++(?:(?:\.|\s+dot\s+)[A-Za-z0-9-]++)*(?:\.|\s+dot\s+)(?:" + "|".join(_LAST) + r")\b")
 _SIGN = re.compile(r"(?i)\s+(at|dot)\s+")
 
 
