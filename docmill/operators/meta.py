@@ -14,7 +14,10 @@ from docmill.session import cut_lineage
 
 HEAD = 5000
 _SEAM = "\ue000"  # a private-use character stands for the page border
-_SEAM_CHARS = 128
+# A match holds at most 70 characters besides white space (the longest: a
+# copyright line), so page edges are cut by these; white space counts nothing.
+_SEAM_CHARS = 80
+_BLANK = f"[{fixed.WS}{_SEAM}]"
 
 
 def _all(c, pattern, group=1) -> Column:
@@ -71,6 +74,15 @@ def copyright_names(text) -> Column:
     return F.filter(names, lambda n: _usable(n, 3, 50))
 
 
+def _first_chars(text) -> Column:
+    """The start of a text up to its ``_SEAM_CHARS``-th character that isn't white space."""
+    return _one(text, f"(?s)^(?:{_BLANK}*+.){{1,{_SEAM_CHARS}}}", 0)
+
+
+def _last_chars(text) -> Column:
+    return F.reverse(_first_chars(F.reverse(text)))
+
+
 def _across(seams: DataFrame, pattern: str) -> DataFrame:
     """(doc_name, match): matches of ``pattern`` that contain the page border."""
     bridged = pattern.replace(f"[{fixed.WS}]", f"[{fixed.WS}{_SEAM}]")
@@ -243,7 +255,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
     edge = F.translate("text", _SEAM, "\ufffd")
     return cut_lineage(pages.select(
         DOC, PAGE, F.length("text").alias("n_chars"),
-        F.left(edge, F.lit(_SEAM_CHARS)).alias("_head"), F.right(edge, F.lit(_SEAM_CHARS)).alias("_tail"),
+        _first_chars(edge).alias("_head"), _last_chars(edge).alias("_tail"),
         product_codes(F.col("text")).alias("codes"),
         doc_id_prefixes(F.col("text")).alias("prefixes"),
         F.when(F.contains("text", F.lit("©")), copyright_names(F.col("text"))).alias("names"),
@@ -251,8 +263,9 @@ def page_facts(pages: DataFrame) -> DataFrame:
 
 
 def fact_seams(facts: DataFrame) -> DataFrame:
-    edges = facts.where(F.col("n_chars") > 0).select(DOC, PAGE, "_head", "_tail")
-    return seams_of(edges, _SEAM_CHARS, _SEAM)
+    """Seams of the pages that hold more than white space."""
+    edges = facts.where(F.col("_head") != "").select(DOC, PAGE, "_head", "_tail")
+    return seams_of(edges, _SEAM_CHARS, _SEAM, last=_last_chars, size=lambda c: F.length(F.regexp_replace(c, _BLANK, "")))
 
 
 def document_heads(pages: DataFrame, facts: DataFrame) -> DataFrame:

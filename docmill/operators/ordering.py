@@ -14,23 +14,23 @@ def page_block(size: int = BLOCK) -> Column:
     return F.expr(f"{PAGE} div {int(size)}")
 
 
-def _text_before(rows: DataFrame, keys: list, order: str, chars: int, sep: str) -> DataFrame:
-    """Add ``_before``: the last ``chars`` characters of the ``_tail`` texts that
-    precede each row, joined by ``sep``; "" on the first row.
+def _text_before(rows: DataFrame, keys: list, order: str, chars: int, sep: str, last, size) -> DataFrame:
+    """Add ``_before``: the end of the ``_tail`` texts that precede each row,
+    joined by ``sep`` and cut by ``last`` to ``chars`` in ``size``; "" on the first row.
 
-    Tails are cut at ``chars``. One of that length hides everything before it,
-    so a row looks back to the last such tail and the short ones behind it.
+    Tails are cut too. One of that size hides everything before it, so a row
+    looks back to the last such tail and the short ones behind it.
     """
     earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    full = F.length("_tail") >= chars
+    full = size(F.col("_tail")) >= chars
     rows = rows.withColumn("_full", F.last(F.when(full, F.col("_tail")), ignorenulls=True).over(earlier)).withColumn(
         "_run", F.coalesce(F.sum(full.cast("long")).over(earlier), F.lit(0))
     )
-    # every short tail adds a separator and at least one character
-    short = Window.partitionBy(*keys, "_run").orderBy(order).rowsBetween(-(chars // 2 + 1), -1)
+    # every short tail adds at least one to the size
+    short = Window.partitionBy(*keys, "_run").orderBy(order).rowsBetween(-(chars + 1), -1)
     behind = F.collect_list("_tail").over(short)
     joined = F.array_join(F.concat(F.filter(F.array("_full"), lambda t: t.isNotNull()), behind), sep)
-    return rows.withColumn("_before", F.right(joined, F.lit(chars))).drop("_full", "_run")
+    return rows.withColumn("_before", last(joined)).drop("_full", "_run")
 
 
 def page_seams(pages: DataFrame, text: str, chars: int, sep: str, block: int = BLOCK) -> DataFrame:
@@ -43,14 +43,17 @@ def page_seams(pages: DataFrame, text: str, chars: int, sep: str, block: int = B
     return seams_of(slim, chars, sep, block)
 
 
-def seams_of(slim: DataFrame, chars: int, sep: str, block: int = BLOCK) -> DataFrame:
-    """Seams from (doc_name, page, _head, _tail) of the pages with text."""
+def seams_of(slim: DataFrame, chars: int, sep: str, block: int = BLOCK, last=None, size=F.length) -> DataFrame:
+    """Seams from (doc_name, page, _head, _tail) of the pages with text. ``last``
+    cuts a text to its end of ``chars`` in ``size``; by default, characters."""
+    last = last or (lambda c: F.right(c, F.lit(chars)))
+
     def joined(*parts):
-        return F.right(F.concat_ws(sep, *[F.nullif(p, F.lit("")) for p in parts]), F.lit(chars))
+        return last(F.concat_ws(sep, *[F.nullif(p, F.lit("")) for p in parts]))
 
-    rows = _text_before(slim.withColumn("_blk", page_block(block)), [DOC, "_blk"], PAGE, chars, sep)
+    rows = _text_before(slim.withColumn("_blk", page_block(block)), [DOC, "_blk"], PAGE, chars, sep, last, size)
     ends = rows.groupBy(DOC, "_blk").agg(F.max_by(joined(F.col("_before"), F.col("_tail")), PAGE).alias("_tail"))
-    carried = _text_before(ends, [DOC], "_blk", chars, sep).select(DOC, "_blk", F.col("_before").alias("_carry"))
+    carried = _text_before(ends, [DOC], "_blk", chars, sep, last, size).select(DOC, "_blk", F.col("_before").alias("_carry"))
     before = joined(F.col("_carry"), F.col("_before"))
     return (
         rows.join(carried, [DOC, "_blk"]).where((F.col("_carry") != "") | (F.col("_before") != ""))

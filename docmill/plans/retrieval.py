@@ -1,6 +1,5 @@
 """Exact top-k cosine retrieval."""
 from collections.abc import Iterator
-from functools import reduce
 from itertools import batched
 
 import numpy as np
@@ -9,10 +8,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from docmill import fixed
 from docmill.plans.stats import chunk_type_counts, samples
+from docmill.session import cut_lineage, new_table_folder
 
 # queries scored in one pass over the vectors; 512 x 768 doubles are 3 MB
 QUERY_BATCH = 512
-_HIT = "query_id string, id string, similarity double"
+_HIT = "n bigint, id string, similarity double"
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -20,26 +20,27 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
-def _partition_hits(vectors: DataFrame, names: list, matrix: list, k: int) -> DataFrame:
-    """The best ``k`` vectors per query of every partition."""
+def _partition_hits(vectors: DataFrame, first: int, matrix: list, k: int) -> DataFrame:
+    """The best ``k`` vectors of every partition for each of the questions
+    numbered from ``first``."""
     unit = _unit
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted = unit(np.array(matrix, np.float64))
-        best = None
+        best = [([], []) for _ in matrix]
         for batch in batches:
             if batch.empty:
                 continue
-            scores = unit(np.stack(batch["embedding"].to_list()).astype(np.float64)) @ wanted.T
-            found = pd.DataFrame({
-                "query_id": np.repeat(names, len(batch)),
-                "id": np.tile(batch["id"].to_numpy(), len(names)),
-                "similarity": scores.T.ravel(),
-            })
-            pool = found if best is None else pd.concat([best, found])
-            best = pool.sort_values(["similarity", "id"], ascending=[False, True]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
+            ids = batch["id"].to_numpy()
+            scores = wanted @ unit(np.stack(batch["embedding"].to_list()).astype(np.float64)).T
+            take = min(k, len(ids))
+            least = -np.partition(-scores, take - 1, 1)[:, take - 1]
+            for n, row in enumerate(scores):
+                at = np.flatnonzero(row >= least[n])  # ties too: ids decide
+                pool = list(zip((-row[at]).tolist(), ids[at])) + list(zip(*best[n]))
+                best[n] = tuple(zip(*sorted(pool)[:k]))
+        rows = [(first + n, i, -s) for n, own in enumerate(best) if own and own[0] for s, i in zip(*own)]
+        yield pd.DataFrame(rows, columns=["n", "id", "similarity"])
 
     return vectors.mapInPandas(scan, _HIT)
 
@@ -49,32 +50,53 @@ def top_k(
 ) -> DataFrame:
     """(query_id, id, similarity, rank) of the ``k`` nearest vectors per query.
 
-    Queries come to the driver in batches of fixed size, and each batch is one
+    Queries are numbered; those with equal ids get an answer each. They pass
+    the driver one batch of fixed size at a time, and each batch is one
     pass over the vectors: every task scores its vectors against the batch with
-    one matrix product and keeps ``k`` per query, so the shuffle carries at most
-    tasks x queries x k rows. Ties go to the smaller id.
+    one matrix product and keeps ``k`` per query. Of several batches, the hits
+    are appended to a table. Ties go to the smaller id.
     """
+    spark = vectors.sparkSession
     slim = vectors.select(F.col(id_col).cast("string").alias("id"), "embedding")
-    rows = queries.select(F.col(query_id).cast("string").alias("q"), "embedding").toLocalIterator()
-    passes = [
-        _partition_hits(slim, [r["q"] for r in batch], [list(r["embedding"]) for r in batch], k)
-        for batch in batched(rows, QUERY_BATCH)
-    ]
-    hits = reduce(DataFrame.unionByName, passes) if passes else vectors.sparkSession.createDataFrame([], _HIT)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+    numbered = cut_lineage(queries.select(F.monotonically_increasing_id().alias("n"), F.col(query_id).cast("string").alias("query_id"), "embedding"))
+    rows = numbered.select("n", "embedding").toLocalIterator()
+    folder, hits = None, None
+    for at, batch in enumerate(batched(rows, QUERY_BATCH)):
+        if hits is not None:
+            folder = folder or new_table_folder(spark)
+            hits.write.mode("append").parquet(folder)
+        numbers = spark.createDataFrame([(at * QUERY_BATCH + i, r["n"]) for i, r in enumerate(batch)], "m bigint, n bigint")
+        found = _partition_hits(slim, at * QUERY_BATCH, [list(r["embedding"]) for r in batch], k)
+        # QUERY_BATCH rows
+        hits = found.withColumnRenamed("n", "m").join(F.broadcast(numbers), "m").select("n", "id", "similarity")
+    if hits is None:
+        hits = spark.createDataFrame([], _HIT)
+    elif folder:
+        hits.write.mode("append").parquet(folder)
+        hits = spark.read.schema(hits.schema).parquet(folder)
+    rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("similarity"), "id"))
+    best = hits.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.join(numbered.select("n", "query_id"), "n").select("query_id", "id", "similarity", "rank")
+
+
+#: Hits up to this number are broadcast to the store's texts.
+MOST_HITS = 10_000
 
 
 def retrieve(store, texts: list[str], embed, k: int = fixed.TOP_K, preview: int = 800) -> DataFrame:
-    """Answer text queries from a store, with previews of the chunks found."""
+    """Answer text queries from a store, with previews of the chunks found. A
+    text that is asked twice is answered once."""
     spark = store.spark
+    texts = list(dict.fromkeys(texts))
     queries = spark.createDataFrame([(t,) for t in texts], "query_id string").withColumn(
         "embedding", embed(F.col("query_id"))
     )
-    hits = top_k(store.read(columns=["chunk_id", "embedding"]), queries, k)
+    hits = top_k(store.read(columns=["chunk_id", "embedding"]), queries, k).withColumnRenamed("id", "chunk_id")
+    if len(texts) * k <= MOST_HITS:
+        hits = F.broadcast(hits)
     chunks = store.read(columns=["chunk_id", "chunk_type", "doc_name", "page", "text"])
     return (
-        chunks.join(hits.withColumnRenamed("id", "chunk_id"), "chunk_id")
+        chunks.join(hits, "chunk_id")
         .select("query_id", "rank", "similarity", "chunk_id", "chunk_type", "doc_name", "page",
                 F.left("text", F.lit(preview)).alias("preview"))
         .orderBy("query_id", "rank")

@@ -32,8 +32,10 @@ def collection_stats(chunks: DataFrame) -> DataFrame:
     labels = F.array(*[
         F.struct(F.lit(name).alias("dimension"), F.col(name).alias("value")) for name in dimensions
     ], F.struct(F.lit("total").alias("dimension"), F.lit("").alias("value")))
+    # an empty store has a total too
+    nothing = chunks.sparkSession.range(1).select(F.lit("total").alias("dimension"), F.lit("").alias("value"), F.lit(0).cast("long").alias("n"))
     return (
-        combined.select(F.explode(labels).alias("l"), "n").select("l.*", "n")
+        combined.select(F.explode(labels).alias("l"), "n").select("l.*", "n").unionByName(nothing)
         .groupBy("dimension", "value").agg(F.sum("n").alias("n"))
     )
 

@@ -1,4 +1,6 @@
 """Session helpers."""
+import atexit
+import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -33,7 +35,8 @@ _LOCAL_FOLDERS: dict = {}
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the session names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a folder of its own."""
+    local session without that setting gets a folder of its own, which goes
+    when the program ends."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
@@ -41,17 +44,23 @@ def checkpoint_folder(spark: SparkSession) -> str:
         app = spark.sparkContext.applicationId
         if app not in _LOCAL_FOLDERS:
             _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="docmill-")
+            atexit.register(shutil.rmtree, _LOCAL_FOLDERS[app], ignore_errors=True)
         folder = _LOCAL_FOLDERS[app]
     return folder.rstrip("/")
 
 
+def new_table_folder(spark: SparkSession) -> str:
+    """A name for a table in the checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/docmill-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and read it back.
 
     A lost executor then repeats nothing that came before, and later steps read
     only the columns they need.
     """
-    path = f"{checkpoint_folder(df.sparkSession)}/docmill-{uuid.uuid4().hex}"
+    path = new_table_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

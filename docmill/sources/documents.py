@@ -92,8 +92,6 @@ def pymupdf_decoder(dpi: int = fixed.OCR_DPI, threshold: int = fixed.OCR_CHAR_TH
                 visible = plain if plain is not None else "".join(
                     b[4] for b in blocks if not any(fitz.Rect(b[:4]).intersects(x) for x in boxes)
                 )
-                # a table's Markdown counts too; two cells and a rule exceed its length bound
-                extent = len(visible.strip()) + sum(len(str(t["headers"])) + len(str(t["rows"])) for t in found)
                 top = fitz.Rect(0, 0, page.rect.width, page.rect.height * 0.30)
                 yield {
                     "page": number,
@@ -102,7 +100,7 @@ def pymupdf_decoder(dpi: int = fixed.OCR_DPI, threshold: int = fixed.OCR_CHAR_TH
                     ],
                     "plain": plain,
                     "tables": found,
-                    "ocr": tokens(fitz, page) if extent < threshold + 64 else [],
+                    "ocr": tokens(fitz, page) if len(visible.strip()) < threshold else [],
                     "logo": tokens(fitz, page, top) if number == 1 else [],
                 }
 

@@ -38,14 +38,20 @@ class VectorStore:
         self._path = hadoop.Path
         self._fs = hadoop.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _pointer(self):
-        return self._path(f"{self.path}/CURRENT")
+    def _pointers(self) -> list[str]:
+        """Pointer files by number: each is written aside and then renamed, so
+        that one that is there is complete, and the last one counts."""
+        if not self._fs.exists(self._path(self.path)):
+            return []
+        names = [e.getPath().getName() for e in self._fs.listStatus(self._path(self.path))]
+        return sorted(n for n in names if n.startswith("CURRENT-"))
 
     def current(self) -> tuple[str, T.StructType] | None:
         """Folder and schema of the content, or None."""
-        if not self._fs.exists(self._pointer()):
+        pointers = self._pointers()
+        if not pointers:
             return None
-        stream = self._fs.open(self._pointer())
+        stream = self._fs.open(self._path(f"{self.path}/{pointers[-1]}"))
         try:
             version, schema = bytes(stream.readAllBytes()).decode().split("\n", 1)
         finally:
@@ -60,11 +66,18 @@ class VectorStore:
         version = f"v-{uuid.uuid4().hex}"
         rows.write.partitionBy("chunk_type").parquet(f"{self.path}/{version}")
         old = self.current()
-        stream = self._fs.create(self._pointer(), True)
+        pointers = self._pointers()
+        number = int(pointers[-1].rpartition("-")[2]) + 1 if pointers else 1
+        aside, pointer = self._path(f"{self.path}/_pointer-{version}"), self._path(f"{self.path}/CURRENT-{number:012d}")
+        stream = self._fs.create(aside, True)
         try:
             stream.write(bytearray(f"{version}\n{rows.schema.json()}".encode()))
         finally:
             stream.close()
+        if self._fs.exists(pointer) or not self._fs.rename(aside, pointer):
+            raise RuntimeError(f"another writer has published version {number} of {self.path}")
+        for name in pointers[:-1]:
+            self._fs.delete(self._path(f"{self.path}/{name}"), False)
         # one older version stays for scans that are still running
         for entry in self._fs.listStatus(self._path(self.path)):
             name = entry.getPath().getName()
