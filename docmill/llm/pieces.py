@@ -57,8 +57,8 @@ class Pieces:
         line_feed = any("\n" in p for p in self.score)
         #: strings between places where all paths meet
         self.apart = None if crossing else re.compile(" *[^ ]+| +") if line_feed else re.compile("\n| *[^ \n]+| +")
-        #: signs that no piece has behind a letter: paths meet before them too
-        self.signs = "".join(x for x in ".,;:!?" if not any(re.search(rf"[^\W\d_]{re.escape(x)}", p) for p in self.score))
+        #: characters that pieces have next to each other; between others, paths meet
+        self.pairs = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         self._layers = self._hashed()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -177,8 +177,8 @@ class Pieces:
             if (found := self.older.get(p)) is not None:
                 self.known[p] = found
                 continue
-            core = p.rstrip(self.signs) if self.signs else p
-            if core and core != p and core[-1].isalpha():
+            core = p.rstrip(".,;:!?")
+            if core.strip() and core != p and p[len(core) - 1 : len(core) + 1] not in self.pairs:
                 signed.append((p, core, p[len(core) :]))
                 new.update(x for x in (core, p[len(core) :]) if x not in self.known)
             else:
