@@ -9,21 +9,35 @@ from docmill.operators import dedup
 from docmill.plans import stats
 from docmill.plans.pipeline import ingest_report
 from docmill.plans.retrieval import top_k
+from docmill.session import new_table_folder
 from docmill.sources import documents as src
 from docmill.sources.embedders import hashing_embedding
-from docmill.sources.store import batch_number, upsert
+from docmill.sources.store import VectorStore, batch_number, upsert
+
+
+def _written(spark, rows, kind):
+    """A store of rows, with their kind as chunk type."""
+    store = VectorStore(spark, new_table_folder(spark))
+    store.write(rows.withColumn("chunk_type", kind))
+    return store
 
 
 def page_scan(spark, folder):
-    return pages(spark, folder).select("doc_name", "page", F.length("text").alias("n"), "has_tables")
+    """Pages written to a store and read back, two columns worked out from them."""
+    store = _written(spark, pages(spark, folder), F.lit("page"))
+    return store.read(columns=["doc_name", "page", "text", "has_tables"]).select("doc_name", "page", F.length("text").alias("n"), "has_tables")
+
+
+def _vectors(spark, folder):
+    return _written(spark, table(spark, folder, "embeddings"), F.concat(F.lit("label "), F.col("label").cast("string")))
 
 
 def metadata_filter(spark, folder):
-    return table(spark, folder, "embeddings").where(F.col("label") == 3).select("vec_id", "label")
+    return _vectors(spark, folder).read({"label": 3, "chunk_type": "label 3"}, ["vec_id", "label"])
 
 
 def vector_count(spark, folder):
-    return table(spark, folder, "embeddings").agg(F.count(F.lit(1)).alias("n"))
+    return spark.createDataFrame([(_vectors(spark, folder).count(),)], "n bigint")
 
 
 def upsert_latest(spark, folder):
