@@ -121,7 +121,7 @@ class Pieces:
 
     def _hashed(self):
         """The pieces by the hash of their characters: tables of hashes and
-        scores, a further one for what falls on the same place."""
+        places in the list of pieces, a further one for what falls on the same place."""
         pieces = list(self.score)
         h = np.zeros(len(pieces), np.uint64)
         for n in {len(p) for p in pieces}:
@@ -129,18 +129,22 @@ class Pieces:
             c = np.array([pieces[i] for i in at], f"<U{n}").view(np.uint32).reshape(-1, n)
             for k in range(n):
                 h[at] = h[at] * _FACTOR + c[:, k] + np.uint64(1)
-        scores, layers = np.array([self.score[p] for p in pieces]), []
-        while len(h):
-            keys, values = np.zeros(_PLACES, np.uint64), np.full(_PLACES, -np.inf)
-            _, first = np.unique(_place(h), return_index=True)
-            keys[_place(h[first])], values[_place(h[first])] = h[first], scores[first]
+        # the last entry is for strings that are no piece
+        self._score_at = np.array([*self.score.values(), -np.inf])
+        self._id_at = np.array([*(self.id[p] for p in pieces), -1], np.int32)
+        left, layers = np.arange(len(pieces), dtype=np.int32), []
+        while len(left):
+            keys, values = np.zeros(_PLACES, np.uint64), np.full(_PLACES, -1, np.int32)
+            place, first = np.unique(_place(h[left]), return_index=True)
+            keys[place], values[place] = h[left[first]], left[first]
             layers.append((keys, values))
-            h, scores = np.delete(h, first), np.delete(scores, first)
+            left = np.delete(left, first)
         return layers
 
-    def _scores(self, h: np.ndarray) -> np.ndarray:
+    def _pieces(self, h: np.ndarray) -> np.ndarray:
+        """The place of the piece with each hash; -1 where there is none."""
         place = _place(h)
-        out = np.full(h.shape, -np.inf)
+        out = np.full(h.shape, -1, np.int32)
         for keys, values in self._layers:
             out = np.where(keys[place] == h, values[place], out)
         return out
@@ -153,21 +157,36 @@ class Pieces:
         for n in np.unique(lengths):
             at = np.flatnonzero(lengths == n)
             c = np.array([parts[i] for i in at], f"<U{n}").view(np.uint32).reshape(-1, n).astype(np.uint64) + np.uint64(1)
-            h, scores = np.zeros(c.shape, np.uint64), [None]
+            h, found = np.zeros(c.shape, np.uint64), [None]
             for k in range(1, min(self.longest, n) + 1):
                 h = h[:, : n - k + 1] * _FACTOR + c[:, k - 1 :]
-                scores.append(self._scores(h).T.copy())
-            scores[1] = np.where(np.isfinite(scores[1]), scores[1], self.unknown)
+                found.append(self._pieces(h).T.copy())
             best, back = np.full((n + 1, len(at)), -np.inf), np.zeros((n + 1, len(at)), np.int32)
+            # the piece that ends at a boundary on the best path to it
+            ids = np.full((n + 1, len(at)), -1, np.int32)
             best[0] = 0
             for end in range(1, n + 1):
                 for k in range(min(self.longest, end), 0, -1):
-                    new = best[end - k] + scores[k][end - k]
+                    piece = found[k][end - k]
+                    score = self._score_at[piece]
+                    new = best[end - k] + (score if k > 1 else np.where(piece < 0, self.unknown, score))
                     better = new > best[end]
                     best[end][better] = new[better]
                     back[end][better] = end - k
-            for i, own in zip(at, back.T.tolist()):
-                out[i] = np.array(self._ids(parts[i], own, 0, n), np.int32).tobytes()
+                    ids[end][better] = piece[better]
+            columns, cut = np.arange(len(at)), np.full(len(at), n)
+            on_path, strange = np.zeros((n + 1, len(at)), bool), np.zeros(len(at), bool)
+            while len(columns):
+                on_path[cut, columns] = True
+                strange[columns] |= ids[cut, columns] < 0
+                cut = back[cut, columns]
+                columns, cut = columns[cut > 0], cut[cut > 0]
+            coded = self._id_at[ids.T[on_path.T]].tobytes()
+            ends = (4 * np.cumsum(on_path.sum(0))).tolist()
+            for i, a, b in zip(at.tolist(), [0, *ends], ends):
+                out[i] = coded[a:b]
+            for j in np.flatnonzero(strange).tolist():  # characters that become bytes
+                out[at[j]] = np.array(self._ids(parts[at[j]], back[:, j].tolist(), 0, n), np.int32).tobytes()
         return out
 
     def _learn(self, parts: set[str]) -> None:
