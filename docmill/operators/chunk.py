@@ -183,7 +183,10 @@ def chunk_pages(
     ordered = prose.select(
         "doc_name", "page", "seg", F.col("split").alias("sub"), F.lit(0).alias("phase"), "text",
         F.lit(None).cast(spec_type).alias("spec"),
-    ).unionByName(rows.withColumn("phase", F.lit(1)))
+    ).unionByName(
+        # the text stays with the table's own row; its spec rows don't carry copies of it
+        rows.withColumn("phase", F.lit(1)).withColumn("text", F.when(F.col("spec").isNull(), F.col("text")))
+    )
     numbered = dense_index(ordered, ["page", "seg", "sub"], "chunk_idx", lead="phase")
     full = numbered.join(with_base_meta(doc_meta), "doc_name")
     is_spec = F.col("spec").isNotNull()

@@ -1,5 +1,6 @@
 """Embedders: functions that add an ``embedding`` column to (…, text)."""
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -30,14 +31,19 @@ def hashing_embedding(text, dims: int = 64) -> Column:
     return encode(collapse_ws(F.lower(strip(text))))
 
 
+@cache
+def _model(name: str):
+    from sentence_transformers import SentenceTransformer
+
+    return SentenceTransformer(name)
+
+
 def model_embedding(text, model_name: str = fixed.EMBED_MODEL, batch: int = fixed.EMBED_BATCH) -> Column:
-    """Unit vectors of a sentence-transformers model, loaded once per task."""
+    """Unit vectors of a sentence-transformers model, loaded once per worker."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from sentence_transformers import SentenceTransformer
-
-        model = SentenceTransformer(model_name)
+        model = _model(model_name)
         for texts in batches:
             vectors = model.encode(
                 texts.tolist(), batch_size=batch, show_progress_bar=False, normalize_embeddings=True
