@@ -6,15 +6,15 @@
   inner product is the smallest distance.
 * Centroids come from k-means with a penalty on large clusters, on a sample of
   at most ``MOST_SAMPLE`` vectors; there is one for ``PER_LIST`` vectors, at
-  most ``MOST_LISTS``. With a graph of their neighbours they are of bounded
-  size and broadcast.
+  most ``MOST_LISTS``, so they are of bounded size and broadcast.
 * Every vector goes to the list of its closest centroid, and a vector near a
   boundary also to others within ``NEAR`` times that distance, but not to one
   that lies closer to a list chosen before than to the vector.
-* A query searches the graph best-first and takes the lists within ``FAR``
-  times the distance of the closest one.
-* Lists and their queries meet in blocks of at most about ``BLOCK`` rows, so a
-  large list or a popular one is many small tasks; each yields its best few.
+* A query takes all lists within ``FAR`` times the distance up to which the
+  closest lists hold enough vectors for an answer, however many these are.
+* Neighbouring small lists share a bin. Bins and their queries meet in blocks of
+  about ``BLOCK`` rows, so a large list or a popular one is many small tasks and
+  a query goes once to each bin; a block yields each query's best few.
 
 Scores are inner products of the original vectors in double precision.
 """
@@ -27,15 +27,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 from docmill.session import cut_lineage
 
 MOST_SAMPLE, PER_LIST, MOST_LISTS = 40_000, 64, 4096
-COPIES, NEAR, FAR, BEAM, BLOCK = 4, 1.1, 1.35, 96, 4096
+COPIES, NEAR, FAR, BLOCK = 4, 1.1, 1.35, 4096
 
 
 @dataclass
 class Lists:
-    """Centroids in the longer space, and the graph of their neighbours."""
+    """Centroids in the longer space."""
 
     centroids: np.ndarray
-    graph: np.ndarray
     length: float
 
     @staticmethod
@@ -53,70 +52,45 @@ class Lists:
                 new += np.bincount(own, minlength=len(c))
             c = np.where(new[:, None] > 0, sums / new.clip(1)[:, None], x[random.choice(len(x), len(c))]).astype(np.float32)
             sizes = new
-        degree = min(24, len(c) - 1)
-        graph = np.zeros((len(c), degree + min(4, len(c))), np.int32)
-        for k in range(0, len(c), 512):
-            d = _distances(c[k : k + 512], c)
-            d[np.arange(len(d)), np.arange(k, k + len(d))] = np.inf
-            graph[k : k + 512, :degree] = np.argpartition(d, degree - 1, 1)[:, :degree] if degree else 0
-        graph[:, degree:] = random.integers(0, len(c), (len(c), graph.shape[1] - degree))  # a few long links
-        return Lists(c, graph, length)
-
-    def search(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Best-first over the graph, a batch at a time: the closest centroids
-        found and their squared distances, closest first."""
-        n, count = len(x), len(self.centroids)
-        beam = min(beam, count)
-        first = np.unique(np.linspace(0, count - 1, min(count, max(beam, 16))).astype(np.int64))
-        seen = np.zeros((n, count), bool)
-        seen[:, first] = True
-        ids = np.broadcast_to(first, (n, len(first))).copy()
-        d = _distances(x, self.centroids[first])
-        done = np.zeros(ids.shape, bool)
-        rows = np.arange(n)[:, None]
-        while True:
-            order = np.argsort(d, 1, kind="stable")[:, :beam]
-            ids, d, done = ids[rows, order], d[rows, order], done[rows, order]
-            # the best few that weren't followed yet
-            open_ = np.where(done, np.inf, d)
-            pick = np.argsort(open_, 1, kind="stable")[:, :4]
-            live = np.isfinite(open_[rows, pick])
-            if not live.any():
-                return ids, d
-            done[rows, pick] = True
-            near = self.graph[ids[rows, pick]]
-            near = np.where(live[:, :, None], near, ids[:, :1, None]).reshape(n, -1)
-            new = ~seen[rows, near]
-            seen[rows, near] = True
-            c = self.centroids[near]
-            far = (x**2).sum(1)[:, None] + (c**2).sum(2) - 2 * np.einsum("nd,nkd->nk", x, c)
-            # a centroid that several of the few lead to counts once
-            order = np.argsort(near, 1, kind="stable")
-            again = np.zeros(near.shape, bool)
-            again[rows, order[:, 1:]] = near[rows, order[:, 1:]] == near[rows, order[:, :-1]]
-            far = np.where(new & ~again, far.clip(0), np.inf)
-            ids, d = np.concatenate([ids, near], 1), np.concatenate([d, far], 1)
-            done = np.concatenate([done, ~np.isfinite(far)], 1)
+        # near ones get near numbers: by the closest of a few of them
+        few = _distances(c, c[random.choice(len(c), int(len(c) ** 0.5), False)])
+        return Lists(c[np.lexsort((few.min(1), few.argmin(1)))], length)
 
     def homes(self, vectors: np.ndarray) -> list[np.ndarray]:
         """Lists of each vector: the closest, and others across a boundary."""
-        ids, d = self.search(lengthened(vectors, self.length), 24)
+        d = _distances(lengthened(vectors, self.length), self.centroids)
         out = []
-        for own, far in zip(ids, d):
+        for far in d:
+            own = np.flatnonzero(far <= NEAR**2 * far.min())
+            own = own[np.argsort(far[own], kind="stable")]
+            far = far[own]
             chosen = [own[0]]
             for i, f in zip(own[1:], far[1:]):
-                if len(chosen) == COPIES or f > NEAR**2 * far[0]:
+                if len(chosen) == COPIES:
                     break
                 if (((self.centroids[chosen] - self.centroids[i]) ** 2).sum(1) > f).all():
                     chosen.append(i)
             out.append(np.array(chosen))
         return out
 
-    def of_queries(self, vectors: np.ndarray, far: float, beam: int) -> list[np.ndarray]:
+    def of_queries(self, vectors: np.ndarray, far: float, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """Lists within ``far`` times the distance of the closest ones that hold ``least`` rows."""
         size = np.linalg.norm(vectors, axis=1, keepdims=True)
         x = np.concatenate([vectors / size * self.length, np.zeros((len(vectors), 1))], 1).astype(np.float32)
-        ids, d = self.search(x, beam)
-        return [own[f <= far**2 * f[0]] for own, f in zip(ids, d)]
+        d = _distances(x, self.centroids)
+        order = np.argsort(d, 1, kind="stable")
+        enough = (np.cumsum(sizes[order], 1) < least).sum(1).clip(max=len(sizes) - 1)
+        bound = far**2 * np.take_along_axis(d, order, 1)[np.arange(len(d)), enough]
+        return [np.flatnonzero(own <= most) for own, most in zip(d, bound)]
+
+
+def in_bins(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bin of each list, and the number of blocks its bin is cut into: small
+    lists are put together up to about ``BLOCK`` rows, a large one is its own."""
+    large = sizes > BLOCK
+    before = np.cumsum(np.where(large, 0, sizes)) - np.where(large, 0, sizes)
+    bins = np.where(large, before[-1] // BLOCK + np.cumsum(large), before // BLOCK)
+    return bins, np.where(large, -(-sizes // BLOCK), 1)
 
 
 def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -143,7 +117,7 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def nearest(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding",
-            far: float = FAR, beam: int = BEAM) -> DataFrame:
+            far: float = FAR) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score``: for each of the
     queries (a column ``key`` of ids of ``df``) up to ``k`` other rows of large
     inner product, best first, of equal ones the smaller id.
@@ -173,29 +147,44 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
     shared = spark.sparkContext.broadcast(Lists.build(sample, max(1, min(MOST_LISTS, count // PER_LIST)), length))
 
     def listed(choose):
+        """Rows (number, lists, rep, v) of what is chosen for each vector: pairs of a number and lists."""
         def run(batches):
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
                     found = choose(shared.value, _matrix(part.column(1), size))
                     row = np.repeat(np.arange(part.num_rows), [len(f) for f in found])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(found).astype(np.int32)), *part.take(pa.array(row)).columns], names=["list", "rep", "v"]
-                    )
+                    pairs = [p for f in found for p in f]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([n for n, _ in pairs], pa.int32()), pa.array([x for _, x in pairs], pa.list_(pa.int32())), *part.take(pa.array(row)).columns,
+                    ], names=["n", "lists", "rep", "v"])
         return run
 
-    schema = "list int, rep bigint, v array<double>"
-    posts = cut_lineage(vectors.select("rep", "v").mapInArrow(listed(lambda lists, x: lists.homes(x)), schema))
+    schema = "n int, lists array<int>, rep bigint, v array<double>"
+    posts = cut_lineage(vectors.select("rep", "v").mapInArrow(listed(lambda lists, x: [[(i, [i]) for i in own] for own in lists.homes(x)]), schema))
+    sizes = np.zeros(len(shared.value.centroids), np.int64)
+    for i, c in posts.groupBy("n").agg(F.count(F.lit(1))).collect():  # a row for each list
+        sizes[i] = c
+    bins, parts = in_bins(sizes)
+
+    def wanted(lists, x):
+        for own in lists.of_queries(x, far, sizes, COPIES * (k + 1)):
+            own = own[sizes[own] > 0]
+            own = own[np.argsort(bins[own], kind="stable")]
+            yield [(bins[part[0]], part) for part in np.split(own, np.flatnonzero(np.diff(bins[own])) + 1)]
+
     asking = vectors.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "v")
-    asks = cut_lineage(asking.mapInArrow(listed(lambda lists, x: lists.of_queries(x, far, beam)), schema))
-    blocks = lambda t, name: t.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
-    both = blocks(posts, "p").join(blocks(asks, "q"), "list")  # a row for each list
+    asks = cut_lineage(asking.mapInArrow(listed(lambda lists, x: list(wanted(lists, x))), schema)).withColumnRenamed("n", "bin")
+    places = spark.createDataFrame([(i, int(b), int(p)) for i, (b, p) in enumerate(zip(bins, parts))], "n int, bin int, p int")
+    queued = asks.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("q"))
+    both = places.select("bin", "p").distinct().join(queued, "bin")  # a row for each bin
     deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = posts.join(places.select("n", "bin"), "n").join(both, "bin")
     met = (
-        posts.join(both, "list").select("list", deal("p").alias("i"), every("q").alias("j"), F.lit(0).alias("asks"), "rep", "v")
-        .union(asks.join(both, "list").select("list", every("p").alias("i"), deal("q").alias("j"), F.lit(1).alias("asks"), "rep", "v"))
-        .repartition("list", "i", "j").sortWithinPartitions("list", "i", "j", "asks")
+        own.select("bin", deal("p").alias("i"), every("q").alias("j"), F.lit(0).alias("asks"), "lists", "rep", "v")
+        .union(asks.join(both, "bin").select("bin", every("p").alias("i"), deal("q").alias("j"), F.lit(1).alias("asks"), "lists", "rep", "v"))
+        .repartition("bin", "i", "j").sortWithinPartitions("bin", "i", "j", "asks")
     )
 
     def best(batches):
@@ -204,17 +193,19 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
         def scored():
             if not own or not waiting:
                 return
-            ids = np.concatenate([o[0] for o in own])
-            v = np.concatenate([o[1] for o in own])
-            for q_ids, q in waiting:
+            ids, lists, v = (np.concatenate([o[c] for o in own]) for c in range(3))
+            names, column = np.unique(lists, return_inverse=True)
+            for q_ids, q_lists, q in waiting:
                 for at in range(0, len(q), 256):
-                    s = q[at : at + 256] @ v.T
-                    n = min(k + 1, len(ids))
+                    chosen = np.array([np.isin(names, x) for x in q_lists[at : at + 256]])
+                    s = np.where(chosen[:, column], q[at : at + 256] @ v.T, -np.inf)
+                    n = min(COPIES * (k + 1), len(ids))  # a vector may be here once in each of its lists
                     least = -np.partition(-s, n - 1, 1)[:, n - 1]
                     for q_id, row, low in zip(q_ids[at : at + 256], s, least):
-                        top = np.flatnonzero(row >= low)
-                        top = top[np.lexsort((ids[top], -row[top]))[:n]]
-                        yield np.full(n, q_id), ids[top], row[top]
+                        top = np.flatnonzero((row >= low) & (row > -np.inf))
+                        top = top[np.lexsort((ids[top], -row[top]))]
+                        top = top[np.sort(np.unique(ids[top], return_index=True)[1])][: k + 1]
+                        yield np.full(len(top), q_id), ids[top], row[top]
 
         def out(found):
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["q", "rep", "score"])
@@ -229,7 +220,12 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id",
                     if found := list(scored()):
                         yield out(found)
                     key, own, waiting = tuple(marks[a, :3]), [], []
-                (waiting if marks[a, 3] else own).append((batch.column(4).slice(a, b - a).to_numpy(), _matrix(batch.column(5).slice(a, b - a), size)))
+                part = batch.slice(a, b - a)
+                lists, rows = part.column(4), (part.column(5).to_numpy(), _matrix(part.column(6), size))
+                if marks[a, 3]:
+                    waiting.append((rows[0], lists.to_pylist(), rows[1]))
+                else:
+                    own.append((rows[0], lists.flatten().to_numpy(), rows[1]))
         if found := list(scored()):
             yield out(found)
 

@@ -218,6 +218,21 @@ def test_nearest_of_few_vectors(spark):
     assert neighbours.nearest(df.limit(0), df.select("vec_id")).count() == 0
 
 
+def test_nearest_of_many_lists(spark):
+    x = np.random.default_rng(5).normal(size=(20_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    schema = "vec_id long, embedding array<float>"
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], schema).repartition(8)
+    got = neighbours.nearest(df, df.where("vec_id % 200 = 0").select("vec_id"), 20).toPandas()
+    assert len(got) == 100 * 20 and not got.duplicated(["query_id", "vec_id"]).any()
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        score = x.astype(float) @ x[q].astype(float)
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20]) & set(own.vec_id))
+    assert hits >= 0.98 * 100 * 20
+
+
 def test_quality_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.1"
     scored = queries.op10_quality(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out").toPandas()
