@@ -23,8 +23,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the boilerplate lines of their source; all documents stay."""
-    return _counted(lines.without_boilerplate(docs, F.col("source")), docs)
+    """Texts without the boilerplate lines of their source; all documents stay.
+
+    Near copies, which the next stage takes out, don't make each other's lines boilerplate.
+    """
+    return _counted(lines.without_boilerplate(docs, F.col("source"), near_copies=True), docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

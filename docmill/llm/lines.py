@@ -3,7 +3,9 @@
 Pages are grouped by host. A line that stands on at least ``ratio`` of the
 host's pages, and on ``least`` pages or more, is boilerplate of that host and
 dropped from all its pages. Exact copies of a page count once, else a page that
-was crawled often would lose its own lines.
+was crawled often would lose its own lines. With ``near_copies`` a group of
+near-duplicates (``minhash``) counts once too: of the lines found so far, only
+those stay that enough groups hold.
 
 Lines are compared without outer spaces, by a 64-bit hash within their host;
 empty lines stay. Counting runs on (host, line, page) hashes with partial
@@ -13,6 +15,7 @@ if the whole is small, else joined with salted hosts.
 """
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docmill.llm import minhash
 from docmill.session import cut_lineage
 
 #: Most (host, line) rows that are broadcast; beyond, a join with salted hosts.
@@ -23,6 +26,10 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
+def _lines(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != ""), _key))
+
+
 def boilerplate(docs: DataFrame, host: Column, text: Column, ratio: float = 0.02, least: int = 5) -> DataFrame:
     """``host``, ``line`` (hash), ``pages`` that hold it and ``total`` pages of the host.
 
@@ -32,7 +39,7 @@ def boilerplate(docs: DataFrame, host: Column, text: Column, ratio: float = 0.02
         F.coalesce(host.cast("string"), F.lit("")).alias("host"), text.alias("text")
     ).where("text IS NOT NULL").select(
         "host", F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), F.col("text")).alias("b")).alias("page"),
-        F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""), _key)).alias("lines"),
+        _lines(F.col("text")).alias("lines"),
     )
     totals = pages.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("total"))
     counts = (
@@ -42,15 +49,30 @@ def boilerplate(docs: DataFrame, host: Column, text: Column, ratio: float = 0.02
     return counts.join(totals, "host").where(F.col("pages") >= F.lit(ratio) * F.col("total")).select("host", "line", "pages", "total")
 
 
+def of_groups(found: DataFrame, docs: DataFrame, host: Column, text: Column, ratio: float, least: int) -> DataFrame:
+    """Those of the boilerplate lines ``found`` that still are if near copies count as one page."""
+    own = docs.select(F.coalesce(host.cast("string"), F.lit("")).alias("host"), text.alias("text")).where("text IS NOT NULL")
+    own = own.withColumn("id", F.xxhash64("text"))
+    holders = own.select("host", "id", F.explode(_lines(F.col("text"))).alias("line")).distinct()
+    holders = cut_lineage(holders.join(found, ["host", "line"]))
+    texts = own.select("id", "text").join(holders.select("id").distinct(), "id", "left_semi")
+    groups = minhash.near_duplicates(texts, "id").select("id", "component").distinct()
+    counts = holders.join(groups, "id").select("host", "line", "total", "component").distinct().groupBy("host", "line", "total").agg(F.count(F.lit(1)).alias("pages"))
+    return counts.where((F.col("pages") >= least) & (F.col("pages") >= F.lit(ratio) * F.col("total"))).select("host", "line", "pages", "total")
+
+
 def without_boilerplate(docs: DataFrame, host: Column, text: str = "text", ratio: float = 0.02, least: int = 5,
-                        dropped: str | None = None) -> DataFrame:
+                        dropped: str | None = None, near_copies: bool = False) -> DataFrame:
     """``docs`` without boilerplate lines, all rows and columns kept.
 
     ``dropped`` names a further column with the number of lines taken from each
     text. A text without boilerplate stays as it is, null too; a text of
-    nothing else becomes empty. Repeated rows are treated alike.
+    nothing else becomes empty. Repeated rows are treated alike. With
+    ``near_copies`` a group of near copies counts as one page.
     """
-    found = cut_lineage(boilerplate(docs, host, F.col(f"`{text}`"), ratio, least).select("host", "line"))
+    found = cut_lineage(boilerplate(docs, host, F.col(f"`{text}`"), ratio, least))
+    if near_copies:
+        found = cut_lineage(of_groups(found.drop("pages"), docs, host, F.col(f"`{text}`"), ratio, least))
     by_host = found.groupBy(F.col("host").alias("_of")).agg(F.collect_set("line").alias("_bad"))
     joined = docs.withColumn("_host", F.coalesce(host.cast("string"), F.lit("")))
     if found.count() <= MOST_BROADCAST:

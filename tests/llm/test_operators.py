@@ -267,3 +267,21 @@ def test_pipeline_on_the_small_tables(spark):
         seen = docs.count()
     assert docs.where("NOT exact").count() == 0
     assert {r.doc_id for r in corpus_pipeline.run(spark, FOLDER).select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_near_copies_keep_their_lines(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    lines_ = lambda n: ["".join(r.choices("abcdefgh", k=6)) + " " + " ".join(r.choices(WORDS, k=11)) for _ in range(n)]
+    shared, nav = lines_(20), "Home | About | Contact"
+    rows = [(i, "\n".join([nav, *shared[:10], *lines_(1), *shared[10:]]), "en", "s", 9) for i in range(8)]
+    rows += [(i, "\n".join([nav, *lines_(10)]), "en", "s", 9) for i in range(8, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[1:]:  # the texts have no labels
+        docs = stage(spark, docs, FOLDER)
+        if name == "decontamination":
+            left = {x.doc_id: x.text for x in docs.collect()}
+            want = {i: t.removeprefix(nav + "\n") for i, t, *_ in rows if i == 0 or i >= 8}
+            assert left == want
+    assert docs.count() == 33 and docs.where("NOT exact").count() == 0
