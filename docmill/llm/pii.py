@@ -98,13 +98,44 @@ _WORD = "(?:" + "|".join(_SPELLED) + ")"
 _RUN = re.compile(rf"(?i)(?:\b(?:plus[\s-]+)|\+\s*)?\b{_WORD}(?:[\s,-]+(?:(?:dot|point|dash)[\s,-]+)?(?:{_WORD}|[0-9]{{1,3}})){{2,}}\b")
 _TOKEN = re.compile(rf"(?i)plus|\+|dot|point|dash|{_WORD}|[0-9]")
 _BRACKET = re.compile(r"(?i)\s*(?:\[\s*(?:(at)|@|(dot)|\.)\s*\]|\(\s*(?:(at)|@|(dot)|\.)\s*\)|\{\s*(?:(at)|@|(dot)|\.)\s*\}|<\s*(?:(at)|@|(dot)|\.)\s*>)\s*")
-# Last names of domains, for addresses in bare words, which plain prose may resemble.
-_LAST = "com org net edu gov info biz io dev app test example de fr es uk eu us ca au it nl ch at be br ru jp cn in".split()
+# Last names of domains, for addresses with one sign written out, which plain prose may resemble.
+_LAST = frozenset("com org net edu gov info biz io dev app test example de fr es uk eu us ca au it nl ch at be br ru jp cn in".split())
+# Words of prose that are no last name, and such that are no name, where both signs are written out.
+_NO_LAST = frozenset("on the and or an of that this which from with for by if then than when where but".split())
+_NO_NAME = frozenset("the a an this that every each any his her its their our your my".split())
 #: An address with its signs written out as words of their own.
-_ADDRESS = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:(?:\.|\s+dot\s+)[A-Za-z0-9_%+-]++)*+(?:\s+at\s+|@)[A-Za-z0-9-]++(?:(?:\.|\s+dot\s+)[A-Za-z0-9-]++)*(?:\.|\s+dot\s+)(?:" + "|".join(_LAST) + r")\b")
+_ADDRESS = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:(?:\.|\s+dot\s+)[A-Za-z0-9_%+-]++)*+(?P<at>\s+at\s+|@)(?P<domain>[A-Za-z0-9-]++(?:(?:\.|\s+dot\s+)[A-Za-z0-9-]++)++)")
+_PART = re.compile(r"(?i)[A-Za-z0-9-]+(?P<sign>\.|\s+dot\s+|$)")
+#: What any such address holds.
+_WRITTEN = re.compile(r"(?i)\sat\s++[A-Za-z0-9-]++(?:\.|\s+dot\s)|[A-Za-z0-9-]\s++dot\s")
 _SIGN = re.compile(r"(?i)\s+(at|dot)\s+")
 
 
+def _written(match: re.Match) -> int:
+    """End of the address in a match of ``_ADDRESS``, or -1: up to the last name
+    that counts. Any name of letters does where both signs are written out, else
+    those of ``_LAST``."""
+    domain, words, end = match["domain"], 0, -1
+    parts = list(_PART.finditer(domain))
+    for before, part in zip(parts, parts[1:]):
+        words += before["sign"] != "."
+        name = part[0][: len(part[0]) - len(part["sign"])].lower()
+        both = words and match["at"] != "@" and len(name) > 1 and name.isalpha() and name not in _NO_LAST
+        if name in _LAST or both and domain[: parts[0].start("sign")].lower() not in _NO_NAME:
+            end = match.start("domain") + part.start("sign")
+    return end
+
+
+def _addresses(text: str):
+    """Spans of addresses with signs written out."""
+    match = _ADDRESS.search(text)
+    while match:
+        end = _written(match)
+        if end > 0:
+            yield match.start(), end
+        match = _ADDRESS.search(text, end if end > 0 else match.start("domain"))  # a domain that isn't one may begin an address
+
+
 class Tape:
     """A rewritten text, with the source span of each of its characters."""
 
@@ -157,10 +188,10 @@ def disguised(text: str, low: str) -> Tape | None:
         low = tape.text.lower()
     if "[" in low or "(" in low or "{" in low or "<" in low:
         tape.rewrite([(m.start(), m.end(), "@" if any(m.group(1, 3, 5, 7)) or "@" in m[0] else ".") for m in _BRACKET.finditer(tape.text)])
-    if "dot" in low:
+    if _WRITTEN.search(tape.text):
         tape.rewrite([
-            (m.start() + s.start(), m.start() + s.end(), "@" if s[1].lower() == "at" else ".")
-            for m in _ADDRESS.finditer(tape.text) for s in _SIGN.finditer(m[0])
+            (s.start(), s.end(), "@" if s[1].lower() == "at" else ".")
+            for a, b in _addresses(tape.text) for s in _SIGN.finditer(tape.text, a, b)
         ])
     if any(w in low for w in _SPELLED):
         tape.rewrite([p for m in _RUN.finditer(tape.text) for p in _digits(m)])

@@ -148,6 +148,18 @@ def test_personal_data():
         assert pii.find(clean) == ([], [])
 
 
+def test_addresses_in_words():
+    found = lambda t: [t[a:b] for _, a, b in pii.find(t)[1]]
+    for last in ("pl", "se", "no", "nz", "xyz", "shop", "com"):
+        assert found(f"write to jane at example dot {last}, please") == [f"jane at example dot {last}"]
+    for text in ("jane at example.com", "jane\nat\texample.com", "jane@example dot com", "jane at mail dot example.pl", "j dot doe at example dot co dot nz"):
+        assert found(text) == found(f"{text} - an anecdote")[:1] == [text]
+    assert found("look at a dot jane at example dot com") == ["a dot jane at example dot com"]
+    assert found("jane at example dot com dot then") == ["jane at example dot com"]
+    for clean in ("look at the dot matrix printer", "Look at one dot on two lines", "at home. Dot by dot", "x at y.z", "jane@example dot nothing"):
+        assert found(clean) == []
+
+
 def test_pieces_round_trip_and_search(spark):
     model = queries.piece_model()
     r = random.Random(1)
