@@ -3,7 +3,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docmill.llm import decontaminate, lines, minhash, neighbours, pieces, pii, quality, sharding, spans, tokenfiles
+from docmill.llm import audit, decontaminate, lines, minhash, neighbours, pieces, pii, quality, sharding, spans, tokenfiles
 from docmill.session import checkpoint_folder
 
 SHARDS, SLOTS = 48, 5003
@@ -195,6 +195,43 @@ def op10_quality(spark, folder):
     )
 
 
+def op12_filter_audit(spark, folder):
+    """What five filters remove, alone and in all 120 orders."""
+    return audit.filter_audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+OP12_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), marks AS (
+  SELECT doc_id, coalesce(max((quality = 1)::INT), 0) AS good, coalesce(max((toxic = 1)::INT), 0) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), f AS (
+  SELECT doc_id, part, [
+    len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails FROM w
+), c AS (
+  SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN marks USING (doc_id) GROUP BY part, fails
+), x AS (SELECT * FROM range(1, 6) t(i)),
+o AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o, array_to_string(list_transform([a.i, b.i, c.i, d.i, e.i], lambda i: chr((64 + i)::INT)), '') AS filter_order
+  FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), s AS (SELECT o, filter_order, i AS step, o[i] AS filter FROM o, x),
+t AS (
+  SELECT part, filter_order, step, filter, n, good, toxic, fails, fails[filter] AS own, len(list_filter(o[1:step - 1], lambda i: fails[i])) > 0 AS before FROM c, s
+), g AS (
+  SELECT part, filter_order, step, filter,
+    sum(n) FILTER (NOT before AND NOT own) AS kept, sum(n) FILTER (NOT before AND own) AS removed, sum(n) FILTER (before AND own) AS redundant,
+    sum(n) FILTER (own AND len(list_filter(fails, lambda b: b)) = 1) AS unique_fails,
+    sum(good) FILTER (NOT before AND own) AS good_lost, sum(toxic) FILTER (NOT before AND own) AS toxic_lost
+  FROM t GROUP BY part, filter_order, step, filter
+)
+SELECT part, filter_order, step::INT AS step, chr((64 + filter)::INT) AS filter, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+  coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, filter), 0)::BIGINT AS shapley
+FROM g
+"""
+
+
 QUERIES = {
     "op1_sharding": (op1_sharding, OP1_SQL),
     "op2_neighbours": (op2_neighbours, None),
@@ -206,4 +243,5 @@ QUERIES = {
     "op8_pieces": (op8_pieces, None),
     "op9_near_duplicates": (op9_near_duplicates, None),
     "op10_quality": (op10_quality, None),
+    "op12_filter_audit": (op12_filter_audit, OP12_SQL),
 }
