@@ -3,7 +3,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docmill.llm import audit, decontaminate, lines, minhash, neighbours, pieces, pii, quality, sharding, spans, tokenfiles
+from docmill.llm import audit, decontaminate, lines, minhash, neighbours, phrases, pieces, pii, quality, sharding, spans, tokenfiles
 from docmill.session import checkpoint_folder
 
 SHARDS, SLOTS = 48, 5003
@@ -195,6 +195,35 @@ def op10_quality(spark, folder):
     )
 
 
+def op11_phrases(spark, folder):
+    """The collocations of every language."""
+    return phrases.collocations(_table(spark, folder, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_extract_all(t, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM d)
+), g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM p, range(1, 6) t(k) WHERE len(w) >= k
+), f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT lang, k, phrase, a, w, unnest(range(1, k)) AS cut FROM c),
+s AS (
+  SELECT c.lang, c.phrase, c.a, n.n, x.f AS l, y.f AS r, cut, (1000::HUGEINT * c.a * n.n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN n ON n.lang = c.lang
+    JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:c.k], ' ')
+), best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_ AS (
+  SELECT DISTINCT c.lang, array_to_string(c.w[i:i + m - 1], ' ') AS phrase, c.a FROM c, range(2, 5) t(m), range(1, 5) u(i) WHERE m < c.k AND i + m - 1 <= c.k
+), kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.a >= 100 * b.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
 def op12_filter_audit(spark, folder):
     """What five filters remove, alone and in all 120 orders."""
     return audit.filter_audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
@@ -243,5 +272,6 @@ QUERIES = {
     "op8_pieces": (op8_pieces, None),
     "op9_near_duplicates": (op9_near_duplicates, None),
     "op10_quality": (op10_quality, None),
+    "op11_phrases": (op11_phrases, OP11_SQL),
     "op12_filter_audit": (op12_filter_audit, OP12_SQL),
 }
