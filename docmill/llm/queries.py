@@ -3,7 +3,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docmill.llm import audit, decontaminate, lines, minhash, neighbours, phrases, pieces, pii, quality, sharding, spans, tokenfiles
+from docmill.llm import audit, decontaminate, lines, minhash, neighbours, phrases, pieces, pii, quality, secret_spans, sharding, spans, tokenfiles
 from docmill.session import checkpoint_folder
 
 SHARDS, SLOTS = 48, 5003
@@ -261,6 +261,17 @@ FROM g
 """
 
 
+def op13_secrets(spark, folder):
+    """Secrets of every document: numbers and hash of plain spans, all spans."""
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = secret_spans.secrets(docs, secret_spans.train(docs))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(count, ("assign", "access", "hex")),
+        F.sha2(F.encode(_joined("base"), "UTF-8"), 256).alias("base_sha256"), _joined("spans").alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_sharding": (op1_sharding, OP1_SQL),
     "op2_neighbours": (op2_neighbours, None),
@@ -274,4 +285,5 @@ QUERIES = {
     "op10_quality": (op10_quality, None),
     "op11_phrases": (op11_phrases, OP11_SQL),
     "op12_filter_audit": (op12_filter_audit, OP12_SQL),
+    "op13_secrets": (op13_secrets, None),
 }
