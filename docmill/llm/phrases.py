@@ -34,7 +34,9 @@ from docmill.session import cut_lineage
 LEAST, LONGEST, MOST = 100, 5, 2000
 BLOCK_WORDS, BLOCK_PHRASES = 500_000, 200_000
 #: Words, or pairs, that a task holds before it hands on its sums.
-HELD = 500_000
+HELD = 250_000
+#: States whose counts travel together.
+CELLS = 4096
 #: Text positions whose states are advanced at once.
 POSITIONS = 1_000_000
 _CUTS = b".,;:!?\n\x0b\x0c\r"
@@ -86,18 +88,20 @@ def encoded(texts: DataFrame, words: DataFrame, size: int, block: int = BLOCK_WO
 
         def run(batches, shared=shared, first=first, last=last):
             for batch in batches:
-                old = batch.column(2) if first else None
-                lists = []
-                for i, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()))):
-                    tokens = [t for t in text.as_py().translate(_SIGNS).replace(b"\n", b" \n ").split(b" ") if t]
-                    codes = np.fromiter(map(shared.value.get(lang, {}).get, tokens, repeat(0)), np.int32, len(tokens))
+                lists, at = [], 0
+                for i in range(batch.num_rows):
+                    tokens = [t for t in batch.column(1)[i].as_buffer().to_pybytes().translate(_SIGNS).replace(b"\n", b" \n ").split(b" ") if t]
+                    codes = np.fromiter(map(shared.value.get(batch.column(0)[i].as_py(), {}).get, tokens, repeat(0)), np.int32, len(tokens))
                     codes = np.append(codes, np.int32(0))
-                    if old is not None:
-                        codes = np.where(codes > 0, codes, old[i].values.to_numpy())
+                    if first:
+                        codes = np.where(codes > 0, codes, batch.column(2)[i].values.to_numpy())
                     lists.append(codes)
-                ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-                column = pa.ListArray.from_arrays(ends, np.concatenate([*lists, np.zeros(0, np.int32)]))
-                yield pa.RecordBatch.from_arrays([column] if last else [batch.column(0), batch.column(1), column], names=["codes"] if last else ["lang", "text", "codes"])
+                    if i == batch.num_rows - 1 or len(lists) == 500 or len(codes) > POSITIONS // 4:
+                        ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+                        column = pa.ListArray.from_arrays(ends, np.concatenate(lists))
+                        rest = [] if last else [c.slice(at, len(lists)) for c in batch.columns[:2]]
+                        yield pa.RecordBatch.from_arrays([*rest, column], names=["codes"] if last else ["lang", "text", "codes"])
+                        lists, at = [], i + 1
 
         rows = cut_lineage(rows.mapInArrow(run, "codes array<int>" if last else "lang string, text string, codes array<int>"))
         shared.unpersist()
@@ -199,16 +203,22 @@ def _tries(phrases: DataFrame, size: int, block: int):
         yield phrases.sparkSession.sparkContext.broadcast((trie, owner))
 
 
-def _counted(pairs: dict | list):
+def _counted(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of counts by key."""
     keys, counts = (np.concatenate(x) for x in zip(*pairs))
+    if not len(keys):
+        return keys, counts
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[cuts], np.add.reduceat(counts[order], cuts) if len(keys) else counts
+    return keys[cuts], np.add.reduceat(counts[order], cuts)
 
 
-def continued(coded: DataFrame, shared) -> DataFrame:
-    """``pair`` (phrase id and number of the word behind it) and how often tasks saw it."""
+def continued(coded: DataFrame, shared, whole: bool) -> DataFrame:
+    """``pair`` (phrase id and number of the word behind it) and how often tasks saw it.
+
+    If the trie holds the ``whole`` level, only where the next phrase begins one word
+    later, since that is the end of what the pair makes."""
 
     def run(batches):
         trie, owner = shared.value
@@ -218,6 +228,9 @@ def continued(coded: DataFrame, shared) -> DataFrame:
                 at, states = trie.advance(_local(trie, lookup, words), starts)
                 behind = words[at + trie.length]
                 on = behind > 0
+                if whole and len(at):
+                    # the last start of a part has its successor in the next one
+                    on &= np.append(at[1:] == at[:-1] + 1, False) | (at == starts - 1)
                 held.append(np.unique(owner[states[on]] << 32 | behind[on], return_counts=True))
                 size += len(held[-1][0])
                 if size > 2 * HELD:
@@ -236,18 +249,33 @@ def continued(coded: DataFrame, shared) -> DataFrame:
 
 
 def counted(coded: DataFrame, shared) -> DataFrame:
-    """``id`` and ``n`` of a trie's phrases in the texts, summed over all tasks."""
+    """``id`` and ``n`` of a trie's phrases in the texts, summed over all tasks.
 
-    def run(batches):
-        trie, owner = shared.value
-        lookup, total = trie.codes(), np.zeros(len(trie.base), np.int64)
+    A task hands on its counts as arrays of ``CELLS`` states; they are added up as
+    they come in, one array per part of the trie."""
+    trie = shared.value[0]
+    parts = -(-len(trie.base) // CELLS)
+
+    def count(batches):
+        trie = shared.value[0]
+        lookup, total = trie.codes(), np.zeros(parts * CELLS, np.int64)
         for batch in batches:
             for words, starts in _windows(batch):
                 total += np.bincount(trie.advance(_local(trie, lookup, words), starts)[1], minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(owner[seen]), pa.array(total[seen])], names=["id", "n"])
+        seen = np.flatnonzero(total.reshape(parts, CELLS).any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array([total[p * CELLS : (p + 1) * CELLS].tobytes() for p in seen], pa.binary())], names=["part", "counts"])
+
+    def add_up(batches):
+        owner, sums = shared.value[1], {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                counts = np.frombuffer(counts.as_buffer(), np.int64)
+                sums[part] = sums[part] + counts if part in sums else counts
+        for part, counts in sums.items():
+            seen = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(owner[part * CELLS + seen]), pa.array(counts[seen])], names=["id", "n"])
 
-    return coded.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return coded.mapInArrow(count, "part long, counts binary").repartition(max(parts, 1), "part").mapInArrow(add_up, "id long, n long")
 
 
 def _united(tables: list[DataFrame]) -> DataFrame:
@@ -273,7 +301,7 @@ def frequent_phrases(texts: DataFrame, least: int = LEAST, longest: int = LONGES
         pairs = []
         for shared in _tries(frequent, size, block):
             # an id lies in one block, so its pairs do
-            pairs.append(cut_lineage(continued(coded, shared).groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("pair")))
+            pairs.append(cut_lineage(continued(coded, shared, size <= block).groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("pair")))
             shared.unpersist()
         found = _united(pairs).select(F.shiftright("pair", 32).alias("id"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("behind"))
         found = found.join(frequent.select("id", "lang", "phrase", "words"), "id").join(
