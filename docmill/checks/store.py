@@ -15,21 +15,24 @@ from docmill.sources.embedders import hashing_embedding
 from docmill.sources.store import VectorStore, batch_number, upsert
 
 
-def _written(spark, rows, kind):
-    """A store of rows, with their kind as chunk type."""
-    store = VectorStore(spark, new_table_folder(spark))
-    store.write(rows.withColumn("chunk_type", kind))
-    return store
+def _store(spark, key):
+    return VectorStore(spark, new_table_folder(spark), key=key)
 
 
 def page_scan(spark, folder):
     """Pages written to a store and read back, two columns worked out from them."""
-    store = _written(spark, pages(spark, folder), F.lit("page"))
+    store = _store(spark, "chunk_id")
+    store.write(pages(spark, folder).withColumn("chunk_id", F.concat_ws("|", "doc_name", F.col("page").cast("string"))))
     return store.read(columns=["doc_name", "page", "text", "has_tables"]).select("doc_name", "page", F.length("text").alias("n"), "has_tables")
 
 
 def _vectors(spark, folder):
-    return _written(spark, table(spark, folder, "embeddings"), F.concat(F.lit("label "), F.col("label").cast("string")))
+    """A store of all vectors: those of even ids first, all of them after."""
+    store, kind = _store(spark, "vec_id"), F.concat(F.lit("label "), F.col("label").cast("string"))
+    rows = table(spark, folder, "embeddings")
+    store.upsert(rows.where("vec_id % 2 = 0").withColumn("chunk_type", F.lit("label 3")).withColumn("label", F.lit(3)))
+    store.upsert(rows.withColumn("chunk_type", kind))
+    return store
 
 
 def metadata_filter(spark, folder):
@@ -40,6 +43,44 @@ def vector_count(spark, folder):
     return spark.createDataFrame([(_vectors(spark, folder).count(),)], "n bigint")
 
 
+def store_deltas(spark, folder):
+    """Documents, messages and English documents again, each an upsert; then what the
+    store holds, counts, and answers to a filter, before and after it is compacted."""
+    docs, store = table(spark, folder, "documents"), _store(spark, "chunk_id")
+    rows = lambda t, at, vendor, text: t.select(F.md5("text").alias("chunk_id"), at.alias("chunk_idx"), vendor.alias("vendor"), text.alias("text"))
+    store.upsert(rows(docs, F.col("doc_id"), F.col("lang"), F.col("source")))
+    store.upsert(rows(table(spark, folder, "conversations"), F.col("conv_id") * 1000 + F.col("turn"), F.col("role"), F.lit("said")))
+    store.upsert(rows(docs.where(F.col("lang") == "en"), -F.col("doc_id"), F.col("lang"), F.concat(F.lit("again "), "source")))
+
+    def seen(part):
+        held = store.read().select("chunk_id", "chunk_idx", "vendor", "text", F.lit(1).cast("long").alias("n"))
+        user = store.read({"vendor": "user"}, ["chunk_id", "chunk_idx"]).select("chunk_id", "chunk_idx", F.lit("user").alias("vendor"), F.lit(None).cast("string").alias("text"), F.lit(1).cast("long").alias("n"))
+        counts = store.stats().where("dimension IN ('by_vendor', 'total')").select(
+            F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("long").alias("chunk_idx"), F.col("value").alias("vendor"), F.col("dimension").alias("text"), "n"
+        )
+        total = spark.createDataFrame([(None, None, None, "count", store.count())], "chunk_id string, chunk_idx long, vendor string, text string, n long")
+        return held.withColumn("part", F.lit(f"{part} rows")).unionByName(user.withColumn("part", F.lit(f"{part} filter"))).unionByName(
+            counts.unionByName(total).withColumn("part", F.lit(f"{part} counts"))
+        )
+
+    before = seen("deltas")
+    store.compact(1)
+    return before.unionByName(seen("compacted"))
+
+
+DELTAS_SQL = """WITH a AS (
+  SELECT md5(text) AS chunk_id, doc_id AS chunk_idx, lang AS vendor, source AS text, 2 AS age FROM documents UNION ALL
+  SELECT md5(text), conv_id * 1000 + turn, role, 'said', 1 FROM conversations UNION ALL
+  SELECT md5(text), -doc_id, lang, 'again ' || source, 0 FROM documents WHERE lang = 'en'),
+ h AS (SELECT chunk_id, chunk_idx, vendor, text FROM a QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY age, chunk_idx) = 1),
+ p AS (SELECT unnest(['deltas', 'compacted']) AS p)
+SELECT p || ' rows' AS part, chunk_id, chunk_idx, vendor, text, 1::BIGINT AS n FROM h, p UNION ALL
+SELECT p || ' filter', chunk_id, chunk_idx, vendor, NULL, 1 FROM h, p WHERE vendor = 'user' UNION ALL
+SELECT p || ' counts', NULL, NULL, vendor, 'by_vendor', count(*) FROM h, p GROUP BY p, vendor UNION ALL
+SELECT p || ' counts', NULL, NULL, '', 'total', count(*) FROM h, p GROUP BY p UNION ALL
+SELECT p || ' counts', NULL, NULL, NULL, 'count', count(*) FROM h, p GROUP BY p"""
+
+
 def upsert_latest(spark, folder):
     """Documents in the store; the English ones and all messages arrive again."""
     docs = table(spark, folder, "documents")
@@ -174,12 +215,18 @@ def _stored(spark, folder):
         F.when(F.col("n_chars") > 4000, "semantic").when(F.col("n_chars") > 500, "table_full").alias("chunk_type"),
         F.when(F.col("n_chars") < 300, F.lit("M1")).otherwise("").alias("model"),
         F.when(F.col("n_chars") < 600, F.lit("C1")).otherwise("").alias("component"),
-        F.when(F.col("n_chars") < 2000, F.col("source")).alias("family"),
+        F.when(F.col("n_chars") < 2000, F.col("source")).alias("family"), F.col("doc_id").cast("string").alias("chunk_id"),
     )
 
 
 def kb_stats(spark, folder):
-    return stats.collection_stats(_stored(spark, folder))
+    """Statistics that a store keeps: documents of even ids under other groups first,
+    then all of them."""
+    store = _store(spark, "chunk_id")
+    rows = _stored(spark, folder).withColumn("text", F.lit(""))
+    store.upsert(rows.where("CAST(chunk_id AS LONG) % 2 = 0").withColumns({"vendor": F.lit("other"), "chunk_type": F.lit("old")}))
+    store.upsert(rows)
+    return store.stats()
 
 
 STORED_SQL = """s AS (SELECT nullif(lang, 'de') AS category, nullif(source, 'src3') AS vendor,
@@ -244,6 +291,7 @@ QUERIES = {
     "metadata_filter": (metadata_filter, "SELECT vec_id, label FROM embeddings WHERE label = 3"),
     "vector_count": (vector_count, "SELECT count(*) AS n FROM embeddings"),
     "upsert_latest": (upsert_latest, UPSERT_SQL),
+    "store_deltas": (store_deltas, DELTAS_SQL),
     "ocr_token_filter": (ocr_tokens, OCR_SQL),
     "ocr_fallback": (
         ocr_fallback,

@@ -113,10 +113,24 @@ def valid_model_codes(spark, folder):
     )
 
 
-BLOCKED_SQL = (
-    r"^([0-9]{1,4}[WV]$|EN\s?[0-9]+|IEC\s?[0-9]+|[A-Z]{1,3}\s[0-9]{5}|[A-Z]{2,3}[0-9]{6,}|(AES|SHA)[-\s]?[0-9]+"
-    r"|NAT[0-9]{2}|RS-232|ICES-[0-9]+|HTTP\s?[0-9]+|[0-9]+[GK]$|Q?SFP|BIDI|[LSEZC]R|DAC|AOC|[CD]WDM|TPM|BLE|SSD|DAT[-\s]?R?[0-9]+)"
-)
+# fixed values, in the order of fixed.BLOCKED_MODEL
+BLOCKED_SQL = "^(" + "|".join([
+    "[0-9]{1,4}[WV]$",
+    r"EN\s?[0-9]+",
+    r"IEC\s?[0-9]+",
+    r"[A-Z]{1,3}\s[0-9]{5}",
+    "[A-Z]{2,3}[0-9]{6,}",
+    r"AES[-\s]?[0-9]+",
+    r"SHA[-\s]?[0-9]+",
+    "NAT[0-9]{2}",
+    "RS-232",
+    "ICES-[0-9]+",
+    r"HTTP\s?[0-9]+",
+    "[0-9]+[GK]$",
+    *fixed.PORT_TYPES,
+    *fixed.PART_TYPES,
+    r"DAT[-\s]?R?[0-9]+",
+]) + ")"
 FULL_SQL = (
     r"^(F[GPIM]{1,3}-[0-9]{3,5}[A-Z]{0,4}(-[0-9]{1,2})?(-DC)?|PA-[0-9]{3,5}[A-Z]{0,2}|(BIG-IP\s+)?[ir][0-9]{4,5}"
     r"|[A-Z]{2,6}-[0-9]{3,5}[A-Z]{0,3}(-DC)?)$"
@@ -230,7 +244,8 @@ def column_sheets(spark, folder):
 
 
 def row_sheets(spark, folder):
-    """Suppliers down, metrics across."""
+    """Suppliers down, metrics across. A table of one supplier has no specs: one
+    row of models makes no row-oriented table."""
     s = table(spark, folder, "supplier").withColumn("grp", F.floor(F.col("s_suppkey") / GROUP)).withColumn(
         "code", F.concat(F.lit("PA-"), F.lpad(F.col("s_suppkey").cast("string"), 5, "0"))
     )
@@ -240,7 +255,7 @@ def row_sheets(spark, folder):
     text = F.concat(
         F.lit("[TABLE]\nModel | Nation index | Notes | Account level\n--- | --- | --- | ---\n"), rows, F.lit("\n[/TABLE]")
     )
-    g = s.groupBy("grp").agg(text.alias("text"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    g = s.groupBy("grp").agg(text.alias("text"))
     return g.select(
         F.lit("rows.pdf").alias("doc_name"), F.col("grp").alias("page"), F.lit(0).alias("seg"), "text"
     ), s.select(F.lit("rows.pdf").alias("doc_name"), F.col("code").alias("model"))
@@ -258,17 +273,20 @@ def headerless_sheets(spark, folder):
 
 
 def grouped_sheets(spark, folder):
-    """Models are named in the prose as A/B pairs, the table has no model cells."""
+    """Models are named in the prose as A/B pairs, the table has no model cells.
+    Of an incomplete group the prose names no pairs, so its table has no specs."""
     items = F.array_sort(F.collect_list(F.struct("p_partkey", "code", "p_size")))
-    g = _part_groups(spark, folder).groupBy("grp").agg(items.alias("i"), F.count(F.lit(1)).alias("n")).where(F.col("n") == GROUP)
+    g = _part_groups(spark, folder).groupBy("grp").agg(items.alias("i"), F.count(F.lit(1)).alias("n"))
 
     def code(k):
         return F.get("i", F.lit(k))["code"]
 
     def size(k):
-        return F.get("i", F.lit(k))["p_size"].cast("string")
+        return F.coalesce(F.get("i", F.lit(k))["p_size"].cast("string"), F.lit("-"))
 
-    prose = F.concat(code(0), F.lit("/\n"), code(1), F.lit("\n"), code(2), F.lit(" / "), code(3), F.lit("\n\n"))
+    pairs = F.concat(code(0), F.lit("/\n"), code(1), F.lit("\n"), code(2), F.lit(" / "), code(3), F.lit("\n\n"))
+    single = F.concat(F.array_join(F.transform("i", lambda s: s["code"]), " and "), F.lit("\n\n"))
+    prose = F.when(F.col("n") == GROUP, pairs).otherwise(single)
     text = F.concat(
         F.lit("[TABLE]\nGeneral data |  | \n--- | --- | ---\nOuter extent (typ) | "), size(0), F.lit(" mm | "), size(2),
         F.lit(" mm\nInner extent | "), size(1), F.lit(" mm | -\n[/TABLE]"),
@@ -334,11 +352,47 @@ GROUPED_SQL = f"""WITH {_PART},
 SELECT 'grouped.pdf' AS doc_name, page, 'contextual' AS strategy, {_ORD.format('m, k')}, model, spec_name, value FROM own"""
 
 DISPATCH_SQL = f"""WITH {_PART}, g AS (SELECT grp, any_value(n) AS n FROM p GROUP BY grp),
- s AS (SELECT s_suppkey // {GROUP} AS grp FROM supplier GROUP BY 1 HAVING count(*) > 1)
+ s AS (SELECT s_suppkey // {GROUP} AS grp, count(*) AS n FROM supplier GROUP BY 1)
 SELECT 'columns.pdf' AS doc_name, 'column' AS strategy, count(*) AS tables FROM g UNION ALL
-SELECT 'rows.pdf', 'row', count(*) FROM s UNION ALL
+SELECT 'rows.pdf', CASE WHEN n > 1 THEN 'row' ELSE 'column' END, count(*) FROM s GROUP BY 2 UNION ALL
 SELECT 'headerless.pdf', 'headerless', count(*) FROM g UNION ALL
-SELECT 'grouped.pdf', 'contextual', count(*) FROM g WHERE n = {GROUP}"""
+SELECT 'grouped.pdf', CASE WHEN n = {GROUP} THEN 'contextual' ELSE 'none' END, count(*) FROM g GROUP BY 2"""
+
+_BETWEEN = ["' / '", "' '", "'\\\\'", "'\\n'", "'/\\n'", "' | '", "'|/'", "' and '", "' or/and '"]
+RUN = 9
+
+
+def model_group_runs(spark, folder):
+    """Codes of nine neighbouring parts, each named twice, with slashes, back slashes,
+    pipes, line breaks or words between them as the parts' sizes have it."""
+    part = table(spark, folder, "part").withColumns({"grp": F.floor(F.col("p_partkey") / RUN), "code": F.concat(F.lit("FG-"), F.lpad(F.col("p_partkey").cast("string"), 5, "0"))})
+    between = F.element_at(F.array(*[F.expr(b) for b in _BETWEEN]), (F.col("p_size") % len(_BETWEEN) + 1).cast("int"))
+    items = F.array_sort(F.collect_list(F.struct("p_partkey", "code", between.alias("b"))))
+    g = part.groupBy("grp").agg(items.alias("i"))
+    once = F.array_join(F.transform("i", lambda s: F.concat(s["code"], s["b"])), "")
+    twice = F.array_join(F.transform(F.reverse("i"), lambda s: F.concat(F.lower(s["code"]), s["b"])), "")
+    # a longer code is another one
+    groups = tb.model_groups(F.concat(once, F.lit("FG-1 x "), twice), F.transform("i", lambda s: s["code"]))
+    return g.select("grp", F.posexplode(groups).alias("ord", "g")).select("grp", "ord", F.array_join("g", ",").alias("models"))
+
+
+_BETWEEN_SQL = [b.replace("\\\\", "\\").replace("\\n", "' || chr(10) || '") for b in _BETWEEN]
+RUNS_SQL = rf"""WITH p AS (SELECT *, p_partkey // {RUN} AS grp, {_CODE} AS code, [{", ".join(_BETWEEN_SQL)}][p_size % {len(_BETWEEN)} + 1] AS b FROM part),
+t AS (SELECT grp, string_agg(code || b, '' ORDER BY p_partkey) || 'FG-1 x ' || string_agg(lower(code) || b, '' ORDER BY p_partkey DESC) AS t FROM p GROUP BY grp),
+k AS (SELECT grp, i, upper(w[i]) AS w FROM (SELECT grp, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT grp, regexp_extract_all(t, '[Ff][Gg]-[0-9]{{5}}|[/\\]|\||
+') AS w FROM t))),
+c AS (SELECT *, count(*) FILTER (w = chr(10)) OVER o AS line, count(*) FILTER (w IN ('|', chr(10))) OVER o AS cell, count(*) FILTER (w IN ('/', chr(92))) OVER o AS slashes
+  FROM k WINDOW o AS (PARTITION BY grp ORDER BY i)),
+m AS (SELECT * FROM c WHERE w LIKE 'FG-%'),
+h AS (SELECT *, slashes = lag(slashes) OVER o AS apart, line IS DISTINCT FROM lag(line) OVER o AS other_line, cell IS DISTINCT FROM lag(cell) OVER o AS other_cell
+  FROM m WINDOW o AS (PARTITION BY grp ORDER BY i)),
+r AS (
+  SELECT grp, i, w, 0 AS place, 0 AS kind, sum(coalesce(apart, true)::INT) OVER o AS run FROM h WINDOW o AS (PARTITION BY grp ORDER BY i) UNION ALL
+  SELECT grp, i, w, line + 1, 1, sum((coalesce(apart, true) OR other_line)::INT) OVER o FROM h WINDOW o AS (PARTITION BY grp ORDER BY i) UNION ALL
+  SELECT grp, i, w, line + 1, 2, sum((coalesce(apart, true) OR other_cell)::INT) OVER o FROM h WINDOW o AS (PARTITION BY grp ORDER BY i)),
+g AS (SELECT grp, place, kind, min(i) AS first, string_agg(w, ',' ORDER BY i) AS models FROM r GROUP BY grp, place, kind, run HAVING count(*) > 1),
+f AS (SELECT grp, models, min((place, kind, first)) AS place FROM g GROUP BY grp, models)
+SELECT grp, (row_number() OVER (PARTITION BY grp ORDER BY place) - 1)::INT AS ord, models FROM f"""
 
 
 def spec_chunk_text(spark, folder):
@@ -391,6 +445,7 @@ QUERIES = {
     "spec_row_tables": (_specs(row_sheets), ROW_SQL),
     "spec_headerless": (_specs(headerless_sheets), HEADERLESS_SQL),
     "spec_grouped_headers": (_specs(grouped_sheets), GROUPED_SQL),
+    "model_group_runs": (model_group_runs, RUNS_SQL),
     "spec_dispatch": (spec_dispatch, DISPATCH_SQL),
     "spec_chunk_text": (spec_chunk_text, SPEC_TEXT_SQL),
 }

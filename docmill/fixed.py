@@ -80,6 +80,8 @@ DOC_ID = (
     rf"(?i){_LB}([A-Z]{{2,6}}-{_D}{{3,5}}[A-Z]{{0,4}})"
     r"-(?:DAT|DS|WP|PB|TB|RN|IG|AG|HW|SW|UG)-"
 )
+PORT_TYPES = ["Q?SFP", "BIDI", "LR", "SR", "ER", "ZR", "DAC", "AOC", "CR", "CWDM", "DWDM"]
+PART_TYPES = ["TPM", "BLE", "SSD"]
 # prefix match unless an alternative ends in $
 BLOCKED_MODEL = (
     r"(?i)^(?:" + "|".join([
@@ -95,8 +97,8 @@ BLOCKED_MODEL = (
         rf"ICES-{_D}+",
         rf"HTTP[{WS}]?{_D}+",
         rf"{_D}+[GK]$",
-        r"Q?SFP", "BIDI", "LR", "SR", "ER", "ZR", "DAC", "AOC", "CR", "CWDM", "DWDM",
-        "TPM", "BLE", "SSD",
+        *PORT_TYPES,
+        *PART_TYPES,
         rf"DAT[-{WS}]?R?{_D}+",
     ]) + ")"
 )

@@ -7,13 +7,15 @@ from docmill.operators.chunk import chunk_pages
 from docmill.operators.classify import detect_category
 from docmill.operators.clean import clean_pages
 from docmill.operators.meta import doc_meta_relations, with_code_lists
-from docmill.plans.stats import page_summary, stats_report
+from docmill.plans.stats import page_summary, write_report
 from docmill.session import cut_lineage, session_setting
 from docmill.sources.documents import assemble_pages, decode_files, scan_directory, spread
 from docmill.sources.embedders import model_embedding
 from docmill.sources.store import VectorStore
 
 FILES_PER_BATCH = "8"
+#: Lines of the statistics in the log; the report's table has all.
+MOST_LOGGED = 200
 log = logging.getLogger("docmill")
 
 
@@ -111,6 +113,7 @@ def ingest_directory(
     )
     report = ingest_pages(raw, store, embed, failures, **options)
     log.info("documents: %d, vectors: %d", report.count(), store.count())
-    for row in stats_report(store.read()).toLocalIterator():
+    write_report(store.stats(), f"{store.path}/report")
+    for row in spark.read.parquet(f"{store.path}/report").orderBy("dimension", "value").limit(MOST_LOGGED).collect():
         log.info("%s %s: %d", row["dimension"], row["value"], row["n"])
     return report

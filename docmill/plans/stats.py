@@ -2,48 +2,67 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def _text(name: str, columns: list[str]) -> Column:
+    return F.col(name).cast("string") if name in columns else F.lit(None).cast("string")
+
+
 def model_combo(columns: list[str]) -> Column:
     """Vendor with model, else component, else family, else category."""
     def text(name):
-        return F.nullif(F.col(name), F.lit("")) if name in columns else F.lit(None).cast("string")
+        return F.nullif(_text(name, columns), F.lit(""))
 
-    vendor = F.coalesce(F.col("vendor"), F.lit("UNKNOWN"))
+    vendor = F.coalesce(_text("vendor", columns), F.lit("UNKNOWN"))
     return F.coalesce(
         F.concat(vendor, F.lit(" "), text("model")),
         F.concat(vendor, F.lit(" component "), text("component")),
         F.concat(vendor, F.lit(" "), text("family" if "family" in columns else "product_family")),
-        F.concat(vendor, F.lit(" "), F.coalesce(F.col("category"), F.lit("UNKNOWN"))),
+        F.concat(vendor, F.lit(" "), F.coalesce(_text("category", columns), F.lit("UNKNOWN"))),
     )
 
 
-def collection_stats(chunks: DataFrame) -> DataFrame:
-    """(dimension, value, n) for category, vendor, chunk type, model combo, total.
+_DIMENSIONS = ("by_category", "by_vendor", "by_chunk_type", "by_model_combo")
 
-    One pass over the chunks counts the combinations of all four; only those few
-    rows expand to their labels."""
-    unknown = F.lit("UNKNOWN")
-    dimensions = {
-        "by_category": F.coalesce("category", unknown), "by_vendor": F.coalesce("vendor", unknown),
-        "by_chunk_type": F.coalesce("chunk_type", unknown), "by_model_combo": model_combo(chunks.columns),
-    }
-    combined = chunks.groupBy(*[value.alias(name) for name, value in dimensions.items()]).agg(
+
+def combinations(chunks: DataFrame) -> DataFrame:
+    """``n`` chunks of every combination of category, vendor, chunk type and model
+    combo. Such counts of parts of a collection add up. A column that isn't there
+    counts as unknown."""
+    known = [F.coalesce(_text(c, chunks.columns), F.lit("UNKNOWN")) for c in ("category", "vendor", "chunk_type")]
+    return chunks.groupBy(*[value.alias(name) for name, value in zip(_DIMENSIONS, [*known, model_combo(chunks.columns)])]).agg(
         F.count(F.lit(1)).alias("n")
     )
+
+
+def labelled(combined: DataFrame) -> DataFrame:
+    """(dimension, value, n) from counts of combinations, with a total."""
     labels = F.array(*[
-        F.struct(F.lit(name).alias("dimension"), F.col(name).alias("value")) for name in dimensions
+        F.struct(F.lit(name).alias("dimension"), F.col(name).alias("value")) for name in _DIMENSIONS
     ], F.struct(F.lit("total").alias("dimension"), F.lit("").alias("value")))
-    # an empty store has a total too
-    nothing = chunks.sparkSession.range(1).select(F.lit("total").alias("dimension"), F.lit("").alias("value"), F.lit(0).cast("long").alias("n"))
+    # an empty collection has a total too
+    nothing = combined.sparkSession.range(1).select(F.lit("total").alias("dimension"), F.lit("").alias("value"), F.lit(0).cast("long").alias("n"))
     return (
         combined.select(F.explode(labels).alias("l"), "n").select("l.*", "n").unionByName(nothing)
         .groupBy("dimension", "value").agg(F.sum("n").alias("n"))
     )
 
 
+def collection_stats(chunks: DataFrame) -> DataFrame:
+    """(dimension, value, n) for category, vendor, chunk type, model combo, total.
+
+    One pass over the chunks counts the combinations of all four; only those few
+    rows expand to their labels."""
+    return labelled(combinations(chunks))
+
+
 def stats_report(chunks: DataFrame) -> DataFrame:
     return collection_stats(chunks).orderBy("dimension", "value")
 
 
+def write_report(stats: DataFrame, path: str) -> None:
+    """(dimension, value, n) as a table sorted by both, in place of an older one."""
+    stats.orderBy("dimension", "value").write.mode("overwrite").parquet(path)
+
+
 def chunk_type_counts(chunks: DataFrame, missing: str = "un-tagged") -> DataFrame:
     return chunks.groupBy(F.coalesce("chunk_type", F.lit(missing)).alias("chunk_type")).agg(
         F.count(F.lit(1)).alias("n")

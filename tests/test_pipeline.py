@@ -121,7 +121,72 @@ def test_upsert_replaces_and_keeps_orphans(spark, tmp_path):
     store.upsert(rows(("4", 0, "d", "semantic", "only")), replace_documents=True)
     assert {r["chunk_id"] for r in store.read(columns=["chunk_id"]).collect()} == {"3", "4"}
     plan = store.read({"chunk_type": "semantic"}, ["chunk_id"])._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(chunk_type" in plan and "text" not in plan.split("ReadSchema")[1]
+    assert "IsNotNull(chunk_type), EqualTo(chunk_type,semantic)" in plan and "text" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def files(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def held(store):
+    return {tuple(r) for r in store.read(columns=["chunk_id", "text"]).collect()}
+
+
+def test_an_upsert_writes_only_its_rows(spark, tmp_path):
+    """Old files stay as they are; new ones lie in the buckets of the new ids."""
+    store = VectorStore(spark, str(tmp_path / "s"), buckets=8)
+    rows = lambda ids, text: spark.createDataFrame([(str(i), i, "d", "semantic", text) for i in ids], "chunk_id string, chunk_idx long, doc_name string, chunk_type string, text string")
+    store.upsert(rows(range(200), "old"))
+    before, want = files(tmp_path / "s"), {(str(i), "old") for i in range(200)}
+    for turn, ids in enumerate(([3, 5], [5, 400], [3], list(range(0, 200, 7)))):
+        store.upsert(rows(ids, f"new {turn}"))
+        after = files(tmp_path / "s")
+        assert before.items() <= after.items()
+        made = [f for f in after.keys() - before.keys() if f.startswith("data/")]
+        bucket = spark.createDataFrame([(str(i),) for i in ids], "c string").selectExpr("pmod(xxhash64(c), 8)").distinct().collect()
+        assert {int(f.split("_bucket=")[1].split("/")[0]) for f in made} == {r[0] for r in bucket}
+        want = {(i, t) for i, t in want if int(i) not in ids} | {(str(i), f"new {turn}") for i in ids}
+        assert held(store) == want and store.count() == len(want)
+        before = after
+    store.compact(2)
+    assert held(store) == want and store.count() == len(want) and all(sum(b in s["buckets"] for s in store.current()["segments"]) < 3 for b in range(8))
+    store.upsert(rows([3, 9], "last"))
+    want = {(i, t) for i, t in want if i not in ("3", "9")} | {("3", "last"), ("9", "last")}
+    assert held(store) == want and store.count() == len(want)
+    store.compact(1)
+    store.vacuum(1)
+    assert held(store) == want and {r["value"]: r["n"] for r in store.stats().where("dimension = 'total'").collect()} == {"": len(want)}
+    assert len({f.split("/")[1] for f in files(tmp_path / "s") if f.startswith("data/")}) == len(store.current()["segments"])
+
+
+def test_ranges_skip_segments(spark, tmp_path):
+    store = VectorStore(spark, str(tmp_path / "s"))
+    rows = lambda ids, vendor: spark.createDataFrame([(str(i), i, vendor, "é" * 80 + (vendor or "")) for i in ids], "chunk_id string, chunk_idx long, vendor string, model string")
+    store.upsert(rows(range(5), "Acme"))
+    store.upsert(rows(range(5, 9), "Bolt"))
+    store.upsert(rows(range(9, 12), None))
+    opened = lambda **where: len(store.segments_for(where))
+    assert opened() == 3 and opened(vendor="Acme") == opened(vendor="Bolt") == 1 and opened(vendor="Ball") == 0
+    assert opened(chunk_idx=10) == 1 and opened(chunk_idx=12) == 0 and opened(model="é" * 80 + "Acme") == 2
+    assert store.read({"model": "é" * 80 + "Acme"}).count() == 5 and store.read({"vendor": "Ball"}).count() == 0
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """The second finds the name taken and starts over on top of the first."""
+    path = str(tmp_path / "s")
+    rows = lambda i, text: spark.createDataFrame([(str(i), i, text)], "chunk_id string, chunk_idx long, text string")
+    first, second = VectorStore(spark, path), VectorStore(spark, path)
+    first.upsert(rows(1, "a"))
+    stale = second.current()
+    first.upsert(rows(1, "b"))
+    seen = iter([stale])
+    read = second.current
+    monkeypatch.setattr(second, "current", lambda: next(seen, None) or read())
+    second.upsert(rows(2, "c"))
+    assert held(first) == {("1", "b"), ("2", "c")}
+    # a manifest that was cut short doesn't count
+    (tmp_path / "s" / "CURRENT-000000000099").write_text('{"number": 99')
+    assert held(VectorStore(spark, path)) == {("1", "b"), ("2", "c")}
 
 
 def test_metadata_across_pages(spark):
