@@ -118,7 +118,7 @@ class Trie:
         self.words, codes = np.unique(phrases, return_inverse=True)
         codes = codes.reshape(phrases.shape) + 1
         self.length, wide = phrases.shape[1], len(self.words)
-        self.base = np.zeros(4 * wide + 64, np.int32)
+        self.base = np.zeros(4 * wide + 640, np.int32)
         self.check = np.full(len(self.base), -1, np.int32)
         self.check[0] = -2
         self.free, self.end, self.wide = wide + 1, wide + 1, wide
@@ -139,21 +139,20 @@ class Trie:
         self.state = states
 
     def _place(self, state: int, codes: np.ndarray) -> np.ndarray:
-        """Free cells for all children of a state: the first gap that takes them
-        all, among some, else behind all that is used."""
+        """Free cells for all children of a state: a place among some that takes them
+        all, else behind all that is used."""
         if state == 0:
             base = 0
         else:
             while self.check[self.free] != -1:
                 self.free += 1
-            for at in self.free + np.flatnonzero(self.check[self.free : self.free + 256] == -1)[:32]:
-                if at >= codes[0] and at - codes[0] + self.wide < len(self.check) and (self.check[at - codes[0] + codes] == -1).all():
-                    base = at - codes[0]
-                    break
-            else:
-                base = max(self.end + 1 - codes[0], 0)
+            # the first gaps, and places all over what is used, of which the later ones are sparse
+            near = self.free + np.flatnonzero(self.check[self.free : self.free + 256] == -1)[:32] - codes[0]
+            bases = np.append(near[near >= 0], np.linspace(1, self.end, 96, dtype=np.int64))
+            fits = (self.check[bases[:, None] + codes] == -1).all(1)
+            base = int(bases[fits.argmax()]) if fits.any() else self.end + 1 - int(codes[0])
         cells = base + codes
-        if cells[-1] + self.wide + 300 >= len(self.check):
+        if cells[-1] + 2 * self.wide + 300 >= len(self.check):
             more = max(len(self.check), self.wide + len(codes))
             self.base = np.append(self.base, np.zeros(more, np.int32))
             self.check = np.append(self.check, np.full(more, -1, np.int32))
@@ -170,6 +169,7 @@ class Trie:
     def advance(self, codes: np.ndarray, starts: int):
         """Positions below ``starts`` at which a whole phrase begins, and its states."""
         at = np.flatnonzero(codes[:starts])
+        at = at[self.check[codes[at]] == 0]  # children of the root
         states = codes[at]
         for level in range(1, self.length):
             step = codes[at + level]
@@ -255,6 +255,7 @@ def counted(coded: DataFrame, shared) -> DataFrame:
     they come in, one array per part of the trie."""
     trie = shared.value[0]
     parts = -(-len(trie.base) // CELLS)
+    tasks = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches):
         trie = shared.value[0]
@@ -275,7 +276,7 @@ def counted(coded: DataFrame, shared) -> DataFrame:
             seen = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(owner[part * CELLS + seen]), pa.array(counts[seen])], names=["id", "n"])
 
-    return coded.mapInArrow(count, "part long, counts binary").repartition(max(parts, 1), "part").mapInArrow(add_up, "id long, n long")
+    return coded.mapInArrow(count, "part long, counts binary").repartition(min(parts, tasks), "part").mapInArrow(add_up, "id long, n long")
 
 
 def _united(tables: list[DataFrame]) -> DataFrame:
