@@ -100,6 +100,19 @@ def near_dedup(spark, folder):
     return dedup.near_dedup(rows).select("doc_name", "page", "split")
 
 
+DRIFT_BLOCK = 64
+
+
+def near_dedup_drift(spark, folder):
+    """Customers as chunks of one file, each of fifty words and a word further than
+    the one before: which are kept depends on the first one, all the way."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(49)), lambda j: F.left(F.md5((F.col("c_custkey") + j).cast("string")), F.lit(6)))
+    rows = table(spark, folder, "customer").select(
+        F.lit("drift.pdf").alias("doc_name"), (F.col("c_custkey") * 1000000).alias("page"), F.lit(0).alias("seg"), F.lit(0).alias("split"), F.array_join(words, " ").alias("text")
+    )
+    return dedup.near_dedup(rows, block=DRIFT_BLOCK).select("doc_name", "page")
+
+
 # the sequential rule as a recursion over ``uniq``: one chunk per file and step
 KEPT_SQL = f"""
  seq AS MATERIALIZED (SELECT doc_name, page, seg, split, row_number() OVER (PARTITION BY doc_name ORDER BY page, seg, split) AS n,
@@ -126,6 +139,10 @@ KEPT_SQL = f"""
 
 NEAR_SQL = f"WITH RECURSIVE {WINDOWS_SQL},{KEPT_SQL} SELECT doc_name, page, split FROM kept"
 
+DRIFT_SQL = f"""WITH RECURSIVE uniq AS (SELECT 'drift.pdf' AS doc_name, c_custkey * 1000000 AS page, 0 AS seg, 0 AS split,
+   array_to_string(list_transform(range(0, 50), lambda j: substr(md5((c_custkey + j)::VARCHAR), 1, 6)), ' ') AS text FROM customer),{KEPT_SQL}
+SELECT doc_name, page FROM kept"""
+
 
 def base_meta(spark, folder):
     """Family columns fill each other; missing ones become empty."""
@@ -199,6 +216,7 @@ QUERIES = {
     "segments": (segments, SEGMENTS_SQL),
     "ngram_jaccard": (ngram_jaccard, JACCARD_SQL),
     "near_dedup": (near_dedup, NEAR_SQL),
+    "near_dedup_drift": (near_dedup_drift, DRIFT_SQL),
     "base_meta": (base_meta, BASE_SQL),
     "display_family": (
         display_family,

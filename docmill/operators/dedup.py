@@ -1,28 +1,38 @@
 """Duplicate removal inside a document: exact copies, then near copies.
 
 Near-duplicate removal is a sequential rule: a chunk is dropped when it
-resembles one of the last 50 chunks *kept* before it. Blocks of pages run in
-parallel from an assumed starting window; a block is run again only if the
-window its predecessor ended with turned out different, until nothing changes.
-By induction over the blocks that fixed point is the sequential result.
+resembles one of the last 50 chunks *kept* before it. Chunks are numbered over
+the corpus in order and cut into blocks by these numbers, so a block has at most
+``BLOCK_ROWS`` chunks however sparse the page numbers are. All blocks run at
+once from an empty window. A block is stale if the window it assumed is not the
+one its predecessor ended with. In round r a task takes the stale blocks of
+2^r neighbours in turn, each from the window that the one before really ended
+with, and skips those that assumed the right one. By induction over the blocks
+the state without stale ones is the sequential result; when 2^r covers a document
+none is left, so the rounds are the logarithm of the longest document's blocks.
+
+A rerun stops as soon as a whole window of chunks was kept as before. Tasks
+stream blocks, and hold one block and one window. What rounds find out is
+appended to a log; nothing is rewritten.
 """
+import hashlib
 import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from docmill import fixed
 from docmill.functions.text import exact_hash
-from docmill.operators.ordering import DOC, PAGE, page_block
-from docmill.session import cut_lineage
+from docmill.operators.numbering import numbered
+from docmill.operators.ordering import DOC, PAGE
+from docmill.session import cut_lineage, session_setting
 
 ORDER = [PAGE, "seg", "split"]
 BLOCK_ROWS = 1024
-_RUN = (
-    "doc_name string, _blk bigint, assumed array<string>, tail array<string>, "
-    "kept array<struct<page:bigint,seg:int,split:int>>, flags array<boolean>"
-)
+#: Blocks that pass to a worker at once.
+BLOCKS_PER_BATCH = "8"
+_FOUND = "doc_name string, _blk bigint, _round int, assumed string, ended string, tail array<string>, flags array<boolean>"
 
 
 def exact_dedup(chunks: DataFrame) -> DataFrame:
@@ -100,69 +110,88 @@ def _make_greedy(threshold: float, window: int):
     return run
 
 
-def _run_blocks(chunks: DataFrame, starts: DataFrame, threshold: float, window: int) -> DataFrame:
-    greedy = _make_greedy(threshold, window)
-    order = list(ORDER)
-
-    def block(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame(columns=["doc_name", "_blk", "assumed", "tail", "kept", "flags"])
-        rows = rows.sort_values(order, kind="stable")
-        begin, earlier = [], None
-        if not start.empty:
-            begin = list(start["start"].iloc[0])
-            earlier = [bool(f) for f in start["flags"].iloc[0]]
-        flags, tail = greedy(rows["text"].tolist(), begin, earlier)
-        kept = [
-            {"page": int(p), "seg": int(g), "split": int(s)}
-            for p, g, s, f in zip(rows["page"], rows["seg"], rows["split"], flags) if f
-        ]
-        head = rows.iloc[0]
-        return pd.DataFrame({
-            "doc_name": [head["doc_name"]], "_blk": [head["_blk"]], "assumed": [begin],
-            "tail": [tail], "kept": [kept], "flags": [flags],
-        })
-
-    keys = [DOC, "_blk"]
-    return chunks.groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInPandas(block, _RUN)
-
-
-def _pages_per_block(chunks: DataFrame) -> int:
-    spans = chunks.groupBy(DOC).agg(
-        F.count(F.lit(1)).alias("n"), (F.max(PAGE) - F.min(PAGE) + 1).alias("span")
-    ).agg(F.sum("n").alias("n"), F.sum("span").alias("span")).first()
-    return max(1, round(BLOCK_ROWS * (spans["span"] or 1) / (spans["n"] or 1)))
+def _digest(texts) -> str:
+    """Of a window, for comparison."""
+    whole = hashlib.md5()
+    for t in texts:
+        whole.update(t.encode("utf-8", "surrogatepass"))
+        whole.update(b"\xff")
+    return whole.hexdigest()
+
+
+
+def _blocks(chunks: DataFrame, rows_per_block: int) -> DataFrame:
+    """One row per block: its chunks, whole, in order."""
+    columns = chunks.columns
+    placed = numbered(chunks, "_n", DOC, *ORDER)
+    packed = F.struct("_n", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("chunk"))
+    grouped = placed.groupBy(DOC, F.expr(f"_n div {int(rows_per_block)}").alias("_blk")).agg(F.array_sort(F.collect_list(packed)).alias("_rows"))
+    return cut_lineage(grouped.select(DOC, "_blk", F.transform("_rows", lambda r: r["chunk"]).alias("_rows")))
+
+
+def _walk(work: DataFrame, number: int, threshold: float, window: int) -> DataFrame:
+    """Run the blocks of ``work`` (doc_name, _blk, _super, texts, and of earlier
+    rounds start, assumed, tail, flags), neighbours of one ``_super`` in turn."""
+    greedy, digest = _make_greedy(threshold, window), _digest
+    columns = T._parse_datatype_string(_FOUND).names
+
+    def run(frames):
+        at, last, before = None, None, None
+        for frame in frames:
+            out = []
+            for doc, blk, part, texts, start, assumed, tail, flags in zip(*(frame[c] for c in ("doc_name", "_blk", "_super", "texts", "start", "assumed", "tail", "flags"))):
+                # the block before ended in this task, or in an earlier round
+                begin = last if at == (doc, part) and before == blk - 1 else None if start is None else list(start)
+                at, before = (doc, part), blk
+                if begin is None or assumed is not None and digest(begin) == assumed:
+                    if assumed is not None:
+                        last = list(tail)
+                        continue
+                    begin = []
+                flags, last = greedy(list(texts), begin, None if flags is None else [bool(f) for f in flags])
+                out.append((doc, blk, number, digest(begin), digest(last), last, flags))
+            yield pd.DataFrame(out, columns=columns)
+
+    ready = work.repartition(F.col(DOC), F.col("_super")).sortWithinPartitions(DOC, "_super", "_blk")
+    return ready.mapInPandas(run, _FOUND)
+
+
+def settled(blocks: DataFrame, threshold: float, window: int) -> tuple[DataFrame, int]:
+    """What the last run of every block found, without stale ones, and the number of rounds."""
+    none = {"start": "array<string>", "assumed": "string", "tail": "array<string>", "flags": "array<boolean>"}
+    texts = blocks.select(DOC, "_blk", F.transform("_rows", lambda r: r["text"]).alias("texts"))
+    spark = blocks.sparkSession
+    with session_setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", BLOCKS_PER_BATCH):
+        first = texts.withColumn("_super", F.col("_blk")).withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
+        rounds, number = [cut_lineage(_walk(first, 0, threshold, window))], 0
+        while True:
+            log = rounds[0]
+            for more in rounds[1:]:
+                log = log.unionByName(more)
+            now = log.groupBy(DOC, "_blk").agg(F.max_by(F.struct("assumed", "ended", "tail", "flags"), "_round").alias("f")).select(DOC, "_blk", "f.*")
+            now = cut_lineage(now)
+            ends = now.select(DOC, (F.col("_blk") + 1).alias("_blk"), F.col("ended").alias("_ended"), F.col("tail").alias("start"))
+            stale = cut_lineage(now.select(DOC, "_blk", "assumed").join(ends, [DOC, "_blk"]).where("assumed <> _ended").select(DOC, "_blk", "start"))
+            if stale.isEmpty():
+                return now, number
+            number += 1
+            part = F.shiftright("_blk", number).alias("_super")
+            open_parts = stale.groupBy(DOC, part).agg(F.min("_blk").alias("_from"))
+            work = (
+                texts.withColumn("_super", F.shiftright("_blk", number)).join(open_parts, [DOC, "_super"]).where(F.col("_blk") >= F.col("_from")).drop("_from")
+                .join(now.drop("ended"), [DOC, "_blk"]).join(stale, [DOC, "_blk"], "left")
+            )
+            rounds.append(cut_lineage(_walk(work, number, threshold, window)))
 
 
 def near_dedup(
     chunks: DataFrame, threshold: float = fixed.DEDUP_THRESHOLD, window: int = fixed.DEDUP_WINDOW,
-    block: int | None = None,
+    block: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Greedy near-duplicate removal over (doc_name, page, seg, split, text).
-
-    ``block`` is the number of page numbers per block; by default blocks hold
-    about ``BLOCK_ROWS`` chunks, far more than the window.
-    """
-    chunks = cut_lineage(chunks)  # read in every round and for the result
-    blocked = chunks.withColumn("_blk", page_block(block or _pages_per_block(chunks)))
-    keys = [DOC, "_blk"]
-    no_start = blocked.sparkSession.createDataFrame(
-        [], "doc_name string, _blk bigint, start array<string>, flags array<boolean>"
-    )
-    runs = cut_lineage(_run_blocks(blocked, no_start, threshold, window))
-    order = Window.partitionBy(DOC).orderBy("_blk")
-    links = runs.select(*keys).withColumn("_prev", F.lag("_blk").over(order)).where(F.col("_prev").isNotNull())
-    while True:
-        ends = runs.select(DOC, F.col("_blk").alias("_prev"), F.col("tail").alias("start"))
-        stale = cut_lineage(
-            links.join(ends, [DOC, "_prev"])
-            .join(runs.select(*keys, "assumed", "flags"), keys)
-            .where(F.col("assumed") != F.col("start"))
-            .select(*keys, "start", "flags")
-        )
-        if stale.isEmpty():
-            break
-        again = _run_blocks(blocked.join(stale.select(*keys), keys, "left_semi"), stale, threshold, window)
-        runs = cut_lineage(runs.join(stale.select(*keys), keys, "left_anti").unionByName(again))
-    kept = runs.select(DOC, F.explode("kept").alias("k")).select(DOC, "k.*")
-    return chunks.join(kept, [DOC, *ORDER], "left_semi")
+    """Greedy near-duplicate removal over (doc_name, page, seg, split, text, ...).
+
+    ``block``: chunks per block, far more than the window."""
+    blocks = _blocks(chunks, block)
+    found, _ = settled(blocks, threshold, window)
+    kept = F.filter("_rows", lambda r, i: F.get("flags", i))
+    return blocks.join(found.select(DOC, "_blk", "flags"), [DOC, "_blk"]).select(F.explode(kept).alias("r")).select("r.*")

@@ -2,6 +2,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from docmill.operators import dedup
 
 
@@ -49,6 +51,31 @@ def test_blocks_give_the_sequential_result(spark):
         assert run(spark, docs, block, 0.8, window) == want
 
 
+def test_rounds_of_drifting_texts(spark):
+    """Each text resembles the few before it, so every block depends on the first."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(1200)]
+    texts = [" ".join(words[i : i + 40]) for i in range(1100)]
+    for blocks in (8, 64):
+        rows = [("d", 10**6 * i, 0, 0, t) for i, t in enumerate(texts[: 17 * blocks])]
+        df = spark.createDataFrame(rows, "doc_name string, page long, seg int, split int, text string")
+        cut = dedup._blocks(df, 17)
+        found, rounds = dedup.settled(cut, 0.85, 5)
+        assert cut.count() == blocks and 1 < rounds <= blocks.bit_length()
+        kept = [f for r in found.orderBy("_blk").collect() for f in r["flags"]]
+        assert [i for i, f in enumerate(kept) if f] == sequential(texts[: 17 * blocks], 0.85, 5)
+
+
+def test_blocks_of_sparse_and_dense_files(spark):
+    rows = [("sparse", 10**7 * i, 0, 0, f"text {i}") for i in range(5)] + [("dense", 1, 0, i, f"text {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_name string, page long, seg int, split int, text string").withColumn("vendor", F.lit("x"))
+    sizes = {}
+    for r in dedup._blocks(df, 20).select("doc_name", F.size("_rows").alias("n")).collect():
+        sizes.setdefault(r["doc_name"], []).append(r["n"])
+    assert max(sizes["dense"]) <= 20 and len(sizes["dense"]) >= 5 and sum(sizes["dense"]) == 100 and sum(sizes["sparse"]) == 5
+    assert dedup.near_dedup(df).columns == df.columns and dedup.near_dedup(df.limit(0)).count() == 0
+
+
 def test_exact_dedup_keeps_the_first(spark):
     df = spark.createDataFrame(
         [("d", 2, 0, 0, "Same text"), ("d", 1, 0, 1, " same TEXT　"), ("e", 1, 0, 0, "same text"), ("d", 1, 0, 0, "other")],
