@@ -2,15 +2,17 @@
 from pyspark.sql import functions as F
 
 from docmill import fixed
-from docmill.checks.chunks import WINDOWS_SQL, raw_chunks
+from docmill.checks.chunks import raw_chunks, windows_sql
 from docmill.checks.common import PAGES_SQL, documents, pages, strip_sql, table
 from docmill.functions.vectors import l2_normalise, norm
-from docmill.operators import dedup
+from docmill.operators import chunk, dedup, regions
+from docmill.operators.numbering import numbered
 from docmill.plans import stats
 from docmill.plans.pipeline import ingest_report
 from docmill.plans.retrieval import top_k
 from docmill.session import new_table_folder
 from docmill.sources import documents as src
+from docmill.sources.documents import pages_table, spread
 from docmill.sources.embedders import hashing_embedding
 from docmill.sources.store import VectorStore, batch_number, upsert
 
@@ -151,6 +153,32 @@ MASKED_SQL = """WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey::VARCHAR A
 SELECT l_orderkey, coalesce(string_agg(t, chr(10) ORDER BY l_linenumber, x0, y0, t) FILTER (NOT hit), '') AS text FROM f GROUP BY l_orderkey"""
 
 
+REGION_PAGES = 20
+
+
+def region_grid(spark, folder):
+    """Line items as blocks and orders as boxes of twenty pages, some boxes large."""
+    page = lambda c: F.pmod(c, F.lit(REGION_PAGES)).alias("page")
+    blocks = table(spark, folder, "lineitem").select(
+        page("l_partkey"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 997).alias("x0"), (F.col("l_orderkey") % 1009).alias("y0"),
+        (F.col("l_partkey") % 997 + F.col("l_linenumber")).alias("x1"), (F.col("l_orderkey") % 1009 + F.col("l_suppkey") % 7).alias("y1"),
+    )
+    wide = F.when(F.col("o_orderkey") % 101 == 0, 60).otherwise(0)
+    boxes = table(spark, folder, "orders").select(
+        page("o_custkey"), (F.col("o_custkey") * 7 % 991).alias("x0"), (F.col("o_orderkey") % 1013).alias("y0"),
+        (F.col("o_custkey") * 7 % 991 + F.col("o_orderkey") % 13 + wide).alias("x1"), (F.col("o_orderkey") % 1013 + 5 + wide).alias("y1"),
+    )
+    return regions.outside(numbered(blocks, "n"), boxes, ["page"], "n").select("page", "id")
+
+
+GRID_SQL = f"""WITH b AS (SELECT l_partkey % {REGION_PAGES} AS page, l_orderkey * 10 + l_linenumber AS id, l_partkey % 997 AS x0, l_orderkey % 1009 AS y0,
+   l_partkey % 997 + l_linenumber AS x1, l_orderkey % 1009 + l_suppkey % 7 AS y1 FROM lineitem),
+ t AS (SELECT o_custkey % {REGION_PAGES} AS page, o_custkey * 7 % 991 AS x0, o_orderkey % 1013 AS y0, o_custkey * 7 % 991 + o_orderkey % 13 + w AS x1, o_orderkey % 1013 + 5 + w AS y1
+   FROM (SELECT *, CASE WHEN o_orderkey % 101 = 0 THEN 60 ELSE 0 END AS w FROM orders))
+SELECT page, id FROM b WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.page = b.page
+   AND greatest(t.x0, b.x0) < least(t.x1, b.x1) AND greatest(t.y0, b.y0) < least(t.y1, b.y1))"""
+
+
 def page_assembly(spark, folder):
     """A page of free text and two tables, with empty and ragged cells."""
     part = table(spark, folder, "part")
@@ -204,8 +232,12 @@ SELECT query_id, id, round(c, 6) AS similarity, rank FROM r WHERE rank <= 3"""
 
 
 def batch_assign(spark, folder):
-    e = table(spark, folder, "embeddings")
-    return e.groupBy(batch_number(F.col("vec_id"), fixed.EMBED_BATCH).alias("batch")).agg(F.count(F.lit(1)).alias("n"))
+    """The batch of every document, in the order of their texts."""
+    rows = numbered(table(spark, folder, "documents").select("doc_id", "text"), "position", "text", "doc_id")
+    return rows.select("doc_id", batch_number(F.col("position"), fixed.EMBED_BATCH).alias("batch"))
+
+
+BATCH_SQL = "SELECT doc_id, (row_number() OVER (ORDER BY text, doc_id) - 1) // 32 AS batch FROM documents"
 
 
 def _stored(spark, folder):
@@ -250,9 +282,13 @@ def chunk_samples(spark, folder):
 
 
 def ingest_summary(spark, folder):
-    """Counts per file; sources without long chunks fail."""
-    raw = pages(spark, folder)
-    chunks = dedup.exact_dedup(raw_chunks(spark, folder).where(F.length("text") > 500))
+    """Counts per file over all chunks. Every turn of a conversation is a file too, and
+    one that is too short for a chunk fails; so do files without text."""
+    talk = pages_table(
+        spread(table(spark, folder, "conversations")), F.concat_ws(".", F.lit("talk"), F.col("conv_id").cast("string"), F.col("turn").cast("string")), F.lit(1), F.col("text")
+    )
+    raw = pages(spark, folder).unionByName(talk)
+    chunks = dedup.exact_dedup(chunk.prose_chunks(raw, "window"))
     meta = raw.select("doc_name").distinct().select(
         "doc_name", F.lit("GENERAL").alias("category"), F.lit("V").alias("vendor"), F.array("doc_name").alias("models")
     )
@@ -262,9 +298,11 @@ def ingest_summary(spark, folder):
     return ingest_report(raw, raw, meta, chunks, lost).drop("models")
 
 
-SUMMARY_SQL = f"""WITH {WINDOWS_SQL},
- many AS (SELECT doc_name, count(*) AS chunks FROM (SELECT DISTINCT doc_name, md5(lower({strip_sql('text')})) FROM windows WHERE length(text) > 500) GROUP BY doc_name),
- f AS (SELECT doc_name AS file, count(*) AS pages FROM pages GROUP BY doc_name)
+_ALL_PAGES = f"""{PAGES_SQL}, turns AS (SELECT 'talk.' || conv_id || '.' || turn AS doc_name, 1 AS page, text FROM conversations),
+ every AS (SELECT doc_name, page, text FROM pages UNION ALL SELECT doc_name, page, text FROM turns WHERE {strip_sql('text')} <> '')"""
+SUMMARY_SQL = f"""WITH {_ALL_PAGES},{windows_sql(f"SELECT doc_name, page, 0 AS seg, {strip_sql('text')} AS t FROM every")},
+ many AS (SELECT doc_name, count(*) AS chunks FROM uniq GROUP BY doc_name),
+ f AS (SELECT doc_name AS file, count(*) AS pages FROM every GROUP BY doc_name)
 SELECT file, CASE WHEN chunks IS NULL THEN 'failed' ELSE 'success' END AS status, 'GENERAL' AS category, 'V' AS vendor, pages,
   coalesce(chunks, 0) AS chunks, coalesce(chunks, 0) AS vectors, 0::BIGINT AS ocr_pages, CASE WHEN chunks IS NULL THEN 'No chunks produced.' END AS error
 FROM f LEFT JOIN many ON doc_name = file
@@ -298,6 +336,7 @@ QUERIES = {
         f"""WITH d AS (SELECT doc_id, text, lang, length({strip_sql('text')}) < 50 AND lang <> 'fr' AS o FROM documents)
         SELECT doc_id, CASE WHEN o THEN lang || ' scan' ELSE text END AS text, o AS ocr_used FROM d""",
     ),
+    "region_grid_antijoin": (region_grid, GRID_SQL),
     "region_mask_antijoin": (masked_blocks, MASKED_SQL),
     "page_assembly": (page_assembly, ASSEMBLY_SQL),
     "page_summary": (
@@ -307,7 +346,7 @@ QUERIES = {
     ),
     "l2_normalise": (l2_unit, L2_SQL),
     "topk_cosine": (topk_cosine, TOPK_SQL),
-    "batch_assign": (batch_assign, "SELECT vec_id // 32 AS batch, count(*) AS n FROM embeddings GROUP BY 1"),
+    "batch_assign": (batch_assign, BATCH_SQL),
     "kb_stats": (kb_stats, STATS_SQL),
     "chunk_type_counts": (
         chunk_type_counts, f"WITH {STORED_SQL} SELECT coalesce(t, 'un-tagged') AS chunk_type, count(*) AS n FROM u GROUP BY 1"
