@@ -1,5 +1,8 @@
 """Page cleaning: every step is a column expression over one page."""
+import re
+import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -8,31 +11,46 @@ from docmill import fixed
 from docmill.functions.labels import is_noise_line
 from docmill.functions.stage import computed
 from docmill.functions.text import let, lines, strip
+from docmill.session import cut_lineage
 
 # ASCII and the Latin-1 characters that NFKC leaves alone
 _NEEDS_NFKC = r"[^\x00-\x7F¡-§©«¬®°±¶·»¿-ÿ]"
 
 
+@cache
+def _unprintable() -> tuple[re.Pattern, re.Pattern]:
+    """White space besides line feed, tab and blank; characters of category C besides those."""
+    spaces, controls = [], []
+    for x in map(chr, range(sys.maxunicode + 1)):
+        if x in "\n\t ":
+            continue
+        if x.isspace():
+            spaces.append(x)
+        elif unicodedata.category(x)[0] == "C":
+            controls.append(x)
+
+    def ranges(found):
+        runs = []
+        for x in map(ord, found):
+            if runs and runs[-1][1] == x - 1:
+                runs[-1][1] = x
+            else:
+                runs.append([x, x])
+        return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"
+
+    return re.compile(ranges(spaces) + "+"), re.compile(ranges(controls) + "+")
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _nfkc(parts: pd.Series) -> pd.Series:
     """Compatibility-compose; other white space to a space; drop control characters."""
+    spaces, controls = _unprintable()
 
     def fix(text):
-        if text is None:
-            return None
         text = unicodedata.normalize("NFKC", text)
-        out, gap = [], False
-        for ch in text:
-            if ch in "\n\t " or not ch.isspace():
-                gap = False
-                if ch in "\n\t" or unicodedata.category(ch)[0] != "C":
-                    out.append(ch)
-            elif not gap:
-                out.append(" ")
-                gap = True
-        return "".join(out)
+        return controls.sub("", spaces.sub(" ", text))
 
-    return parts.map(lambda p: None if p is None else [fix(t) for t in p])
+    return parts.map(lambda p: None if p is None else [None if t is None else fix(t) for t in p])
 
 
 def map_characters(c) -> Column:
@@ -166,19 +184,52 @@ def prepare_pages(pages: DataFrame) -> DataFrame:
     return computed(split, _prose=fixed_prose).withColumn("_tables", F.col("_parts.tables")).drop("_parts")
 
 
+#: Bits of a Spark bitmap; most bitmaps of a filter, 4 KB each.
+BITMAP_BITS, MOST_BITMAPS = 32768, 1024
+
+
+def _bit(doc, line, size: Column) -> Column:
+    """Number of the bit of a (doc_name, line), from 1."""
+    return F.pmod(F.xxhash64(doc, line), size.cast("long")) + 1
+
+
+def line_filter(boilerplate: DataFrame) -> DataFrame:
+    """One row: a bitmap filter over hashed (doc_name, line), as map from number to
+    bitmap. About 16 bits a line, 4 MB at most; beyond, it only lets more through."""
+    size = F.least(F.greatest(F.ceil(F.col("n") * 16 / BITMAP_BITS), F.lit(1)), F.lit(MOST_BITMAPS)) * BITMAP_BITS
+    sized = boilerplate.agg(F.count(F.lit(1)).alias("n")).select(size.cast("long").alias("_size"))
+    bits = boilerplate.select("doc_name", "line").join(F.broadcast(sized)).select("_size", _bit(F.col("doc_name"), F.col("line"), F.col("_size")).alias("bit"))
+    maps = bits.groupBy("_size", F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
+    return maps.groupBy().agg(F.max("_size").alias("_size"), F.map_from_entries(F.collect_list(F.struct("at", "map"))).alias("_bits"))
+
+
+def _may_be(doc, line) -> Column:
+    """Whether the filter (columns ``_size``, ``_bits``) has the bit of a line set."""
+    def looked_up(bit):
+        at = F.bitmap_bit_position(bit)
+        byte = F.substring(F.try_element_at("_bits", F.bitmap_bucket_number(bit)), (at / 8).cast("int") + 1, F.lit(1))
+        value = F.conv(F.hex(byte), 16, 10).cast("int")
+        return F.coalesce(F.floor(value / F.pow(F.lit(2), at % 8)) % 2 == 1, F.lit(False))
+
+    return let(_bit(doc, line, F.col("_size")), looked_up)
+
+
 def unwanted_lines(prepared: DataFrame, boilerplate: DataFrame) -> DataFrame:
     """(doc_name, page, unwanted): the page's own boilerplate lines.
 
-    Keyed by (doc_name, line), never by document alone, so that a huge document
-    spreads; only hits are grouped, and a page's hits are bounded by the page.
+    A line that is no boilerplate is dropped by the filter before anything moves.
+    What is left is keyed by (doc_name, line), never by document alone, so that a
+    huge document spreads; a page's hits are bounded by the page.
     """
     on_page = let(
         F.col("_prose"),
         lambda parts: F.array_distinct(F.flatten(F.transform(parts, lambda p: F.transform(lines(p), strip)))),
     )
+    # one row of at most 4 MB
+    tested = prepared.select("doc_name", "page", on_page.alias("_lines")).join(F.broadcast(line_filter(boilerplate)))
+    likely = F.filter("_lines", lambda l: F.length(l).between(6, 199) & _may_be(F.col("doc_name"), l))
     return (
-        prepared.select("doc_name", "page", F.explode(on_page).alias("line"))
-        .where(F.length("line").between(6, 199))
+        tested.select("doc_name", "page", F.explode(likely).alias("line"))
         .join(boilerplate.select("doc_name", "line"), ["doc_name", "line"], "left_semi")
         .groupBy("doc_name", "page")
         .agg(F.collect_set("line").alias("_unwanted"))
@@ -186,9 +237,13 @@ def unwanted_lines(prepared: DataFrame, boilerplate: DataFrame) -> DataFrame:
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
-    """Clean every page of (doc_name, page, text, ...) and drop the blank ones."""
-    prepared = prepare_pages(pages)
-    unwanted = unwanted_lines(prepared.select("doc_name", "page", "_prose"), header_footer_lines(pages))
+    """Clean every page of (doc_name, page, text, ...) and drop the blank ones.
+
+    The prepared pages are stored once: the Python step runs once, and the pages
+    meet only their own boilerplate lines afterwards."""
+    prepared = cut_lineage(prepare_pages(pages))
+    boilerplate = cut_lineage(header_footer_lines(pages).select("doc_name", "line"))
+    unwanted = unwanted_lines(prepared.select("doc_name", "page", "_prose"), boilerplate)
     none = F.array().cast("array<string>")
     text = let(
         F.struct(

@@ -102,3 +102,48 @@ def test_page_order_helpers(spark, block):
         assert heads == {"d": "\n".join(t for d, _, t in PAGES if d == "d")[:n], "e": "zz"[:n]}
     index = ordering.dense_index(df, ["page"], "n", block=block).where("doc_name = 'd'").orderBy("page").collect()
     assert [r["n"] for r in index] == list(range(7))
+
+
+def test_characters_one_by_one(spark):
+    """The unprintable ones against the rule applied character by character."""
+    import random
+    import unicodedata
+
+    def rule(text):
+        text = unicodedata.normalize("NFKC", text)
+        out, gap = [], False
+        for x in text:
+            if x in "\n\t " or not x.isspace():
+                gap = False
+                if x in "\n\t" or unicodedata.category(x)[0] != "C":
+                    out.append(x)
+            elif not gap:
+                out.append(" ")
+                gap = True
+        return "".join(out)
+
+    r = random.Random(1)
+    pool = [*"ab \n\t", "\u2003", "\u3000", "\x1c", "\x85", "\u2028", "\u200e", "\x07", "\ue000", "\U000e0001", "ﷺ", "①", "\u0378"]
+    texts = ["日" + "".join(r.choices(pool, k=12)) for _ in range(300)]
+    df = spark.createDataFrame([(i, [t]) for i, t in enumerate(texts)], "i long, parts array<string>")
+    got = {x.i: x.fixed[0] for x in df.select("i", clean.fix_unicode_parts(F.col("parts")).alias("fixed")).collect()}
+    assert got == {i: rule(t) for i, t in enumerate(texts)}
+
+
+def test_the_line_filter_moves_no_prose(spark):
+    """Pages go through the Python step once, and only hits leave the page."""
+    rows = [("d", i, f"Header of it all\nwords of page {i} — 日本 text that is long\nmore of {i}\nand {i}\nFooter of it all") for i in range(40)]
+    pages = spark.createDataFrame(rows, "doc_name string, page long, text string")
+    boilerplate = clean.header_footer_lines(pages)
+    prepared = pages.select("doc_name", "page", F.array("text").alias("_prose"))
+    plan = clean.unwanted_lines(prepared, boilerplate.select("doc_name", "line"))
+    shuffled = [x for x in plan._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in x]
+    assert shuffled and all("_prose" not in x for x in shuffled)
+    got = {x.page: sorted(x._unwanted) for x in plan.collect()}
+    assert got == {i: ["Footer of it all", "Header of it all"] for i in range(40)}
+    cleaned = clean.clean_pages(pages)
+    text = cleaned._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in text and cleaned.where("text LIKE '%of it all%'").count() == 0 and cleaned.count() == 40
+    likely = pages.select("doc_name", F.explode(F.split("text", "\n")).alias("line")).join(F.broadcast(clean.line_filter(boilerplate)))
+    hit = likely.where(clean._may_be(F.col("doc_name"), F.col("line")))
+    assert hit.where("line LIKE '%of it all'").count() == 80 and hit.count() < 90
