@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
+from docmill.llm import worker
+from docmill.llm.names import fresh
 from docmill.session import cut_lineage
 
 #: Item words per broadcast automaton (about 1 KB each in a worker).
@@ -173,10 +175,10 @@ def _blocks(items: DataFrame, item: str, text: str, block_words: int):
         yield block
 
 
-def _matched(docs: DataFrame, items: DataFrame, text: str, item: str, item_text: str, window: int, block_words: int) -> DataFrame:
-    """``docs`` with the column ``_match`` (n_words, spans of hit words, ids of items)."""
+def _matched(docs: DataFrame, items: DataFrame, text: str, item: str, item_text: str, window: int, block_words: int, name: str) -> DataFrame:
+    """``docs`` with the column ``name`` (n_words, spans of hit words, ids of items)."""
     spark = docs.sparkSession
-    out = docs.withColumn("_match", F.lit(None).cast(_MATCH))
+    out = docs.withColumn(name, F.lit(None).cast(_MATCH))
     at = len(docs.columns)
     where = docs.columns.index(text)
     blocks = _blocks(items, item, item_text, block_words)
@@ -185,6 +187,7 @@ def _matched(docs: DataFrame, items: DataFrame, text: str, item: str, item_text:
         automaton = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
 
         def run(batches, automaton=automaton):
+            worker.kept("decontamination", dict)
             scan = automaton.value.scan
             for batch in batches:
                 match = []
@@ -224,8 +227,9 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "
     """
     own = ["n_words", "spans", "items"]
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in own])
-    out = _matched(docs, items, text, item, item_text, window, block_words)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"_match.{c}").alias(c) for c in own])
+    (name,) = fresh(docs, "match")
+    out = _matched(docs, items, text, item, item_text, window, block_words, name)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"{name}.{c}").alias(c) for c in own])
 
 
 def without_spans(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
@@ -259,4 +263,4 @@ def without_spans(docs: DataFrame, items: DataFrame, text: str = "text", item: s
             out = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:own])
             yield out.filter(pa.array(keep, pa.bool_()))
 
-    return _matched(docs, items, text, item, item_text, window, block_words).mapInArrow(cut, docs.schema)
+    return _matched(docs, items, text, item, item_text, window, block_words, fresh(docs, "match")[0]).mapInArrow(cut, docs.schema)

@@ -4,8 +4,8 @@ Pages are grouped by host. A line that stands on at least ``ratio`` of the
 host's pages, and on ``least`` pages or more, is boilerplate of that host and
 dropped from all its pages. Exact copies of a page count once, else a page that
 was crawled often would lose its own lines. With ``near_copies`` a group of
-near-duplicates (``minhash``) counts once too: of the lines found so far, only
-those stay that enough groups hold.
+near-duplicates (``minhash``) counts once too, both
+where a line stands and among all pages of the host.
 
 Lines are compared without outer spaces, by a 64-bit hash within their host;
 empty lines stay. Counting runs on (host, line, page) hashes with partial
@@ -16,6 +16,7 @@ if the whole is small, else joined with salted hosts.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docmill.llm import minhash
+from docmill.llm.names import fresh
 from docmill.session import cut_lineage
 
 #: Most (host, line) rows that are broadcast; beyond, a join with salted hosts.
@@ -50,15 +51,15 @@ def boilerplate(docs: DataFrame, host: Column, text: Column, ratio: float = 0.02
 
 
 def of_groups(found: DataFrame, docs: DataFrame, host: Column, text: Column, ratio: float, least: int) -> DataFrame:
-    """Those of the boilerplate lines ``found`` that still are if near copies count as one page."""
+    """The lines ``found`` (host, line) that are boilerplate if a group of near copies
+    counts as one page, among the pages and among all pages of the host."""
     own = docs.select(F.coalesce(host.cast("string"), F.lit("")).alias("host"), text.alias("text")).where("text IS NOT NULL")
-    own = own.withColumn("id", F.xxhash64("text"))
-    holders = own.select("host", "id", F.explode(_lines(F.col("text"))).alias("line")).distinct()
-    holders = cut_lineage(holders.join(found, ["host", "line"]))
-    texts = own.select("id", "text").join(holders.select("id").distinct(), "id", "left_semi")
-    groups = minhash.near_duplicates(texts, "id").select("id", "component").distinct()
-    counts = holders.join(groups, "id").select("host", "line", "total", "component").distinct().groupBy("host", "line", "total").agg(F.count(F.lit(1)).alias("pages"))
-    return counts.where((F.col("pages") >= least) & (F.col("pages") >= F.lit(ratio) * F.col("total"))).select("host", "line", "pages", "total")
+    own = own.withColumn("id", F.xxhash64("text")).join(found.select("host").distinct(), "host", "left_semi")
+    holders = own.select("host", "id", F.explode(_lines(F.col("text"))).alias("line")).distinct().join(found.select("host", "line"), ["host", "line"], "left_semi")
+    groups = cut_lineage(minhash.near_duplicates(own.select("id", "text"), "id").select("id", "component").distinct())
+    totals = own.select("host", "id").distinct().join(groups, "id").select("host", "component").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("total"))
+    counts = holders.join(groups, "id").select("host", "line", "component").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages"))
+    return counts.where(F.col("pages") >= least).join(totals, "host").where(F.col("pages") >= F.lit(ratio) * F.col("total")).select("host", "line", "pages", "total")
 
 
 def without_boilerplate(docs: DataFrame, host: Column, text: str = "text", ratio: float = 0.02, least: int = 5,
@@ -70,23 +71,24 @@ def without_boilerplate(docs: DataFrame, host: Column, text: str = "text", ratio
     nothing else becomes empty. Repeated rows are treated alike. With
     ``near_copies`` a group of near copies counts as one page.
     """
-    found = cut_lineage(boilerplate(docs, host, F.col(f"`{text}`"), ratio, least))
+    found = cut_lineage(boilerplate(docs, host, F.col(f"`{text}`"), 0 if near_copies else ratio, least))
     if near_copies:
-        found = cut_lineage(of_groups(found.drop("pages"), docs, host, F.col(f"`{text}`"), ratio, least))
-    by_host = found.groupBy(F.col("host").alias("_of")).agg(F.collect_set("line").alias("_bad"))
-    joined = docs.withColumn("_host", F.coalesce(host.cast("string"), F.lit("")))
+        found = cut_lineage(of_groups(found, docs, host, F.col(f"`{text}`"), ratio, least))
+    _host, _of, _bad, _kept, _salt, _s = fresh(docs, "host", "of", "bad", "kept", "salt", "s")
+    by_host = found.groupBy(F.col("host").alias(_of)).agg(F.collect_set("line").alias(_bad))
+    joined = docs.withColumn(_host, F.coalesce(host.cast("string"), F.lit("")))
     if found.count() <= MOST_BROADCAST:
-        joined = joined.join(F.broadcast(by_host), F.col("_host") == F.col("_of"), "left")
+        joined = joined.join(F.broadcast(by_host), F.col(_host) == F.col(_of), "left")
     else:
-        salted = by_host.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = joined.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]), F.lit(SALTS)).cast("int"))
-        joined = joined.join(salted, (F.col("_host") == F.col("_of")) & (F.col("_salt") == F.col("_s")), "left")
+        salted = by_host.withColumn(_s, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = joined.withColumn(_salt, F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]), F.lit(SALTS)).cast("int"))
+        joined = joined.join(salted, (F.col(_host) == F.col(_of)) & (F.col(_salt) == F.col(_s)), "left")
     lines = F.split(F.col(f"`{text}`"), "\n", -1)
-    bad = lambda x: (F.trim(x) != "") & F.array_contains(F.col("_bad"), _key(x))
+    bad = lambda x: (F.trim(x) != "") & F.array_contains(F.col(_bad), _key(x))
     # one pass over the lines: those to keep; texts of hosts without boilerplate aren't split at all
-    kept = F.when(F.col("_bad").isNotNull() & F.col(f"`{text}`").isNotNull(), F.filter(lines, lambda x: ~bad(x)))
-    joined = joined.withColumn("_kept", kept)
-    gone = F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("_kept")).cast("long")
-    new = F.when(F.col("_kept").isNull() | (F.size("_kept") == F.size(lines)), F.col(f"`{text}`")).otherwise(F.array_join("_kept", "\n"))
-    columns = [new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c == text or c != dropped]
+    kept = F.when(F.col(_bad).isNotNull() & F.col(f"`{text}`").isNotNull(), F.filter(lines, lambda x: ~bad(x)))
+    joined = joined.withColumn(_kept, kept)
+    gone = F.when(F.col(_kept).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(_kept)).cast("long")
+    new = F.when(F.col(_kept).isNull() | (F.size(_kept) == F.size(lines)), F.col(f"`{text}`")).otherwise(F.array_join(_kept, "\n"))
+    columns = [new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c == text or c.lower() != (dropped or "").lower()]
     return joined.select(*columns, *([gone.alias(dropped)] if dropped else []))

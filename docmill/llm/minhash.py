@@ -25,6 +25,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docmill.llm import worker
+from docmill.llm.names import fresh
 from docmill.session import cut_lineage
 
 WORDS, SHARE = 5, 75
@@ -65,6 +67,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 def _features(docs: DataFrame, size: int) -> DataFrame:
     """Id, number of shingles, fingerprint of the set and signature of each row."""
     def run(batches):
+        worker.kept("near-duplicates", dict)
         for batch in batches:
             n, prints, signatures = [], [], []
             for text in batch.column(1):
@@ -291,5 +294,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without those whose component holds a smaller key."""
-    gone = near_duplicates(docs, key, text).where(F.col(key) != F.col("component")).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(cut_lineage(gone), docs[key] == F.col("_gone"), "left_anti")
+    (name,) = fresh(docs, "gone")
+    gone = near_duplicates(docs, key, text).where(F.col(f"`{key}`") != F.col("component")).select(F.col(f"`{key}`").alias(name)).distinct()
+    return docs.join(cut_lineage(gone), F.col(f"`{key}`") == F.col(name), "left_anti")

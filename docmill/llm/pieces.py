@@ -18,13 +18,18 @@ stand for the sign U+2581 of the pieces, so that sign in a text is an unknown
 character.
 """
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from docmill.llm import worker
+
 #: Remembered strings per generation (of two) and their greatest length.
 REMEMBERED, SHORT = 250_000, 48
+#: Texts that are coded together.
+TOGETHER = 512
 _SPACE = "▁"
 _FACTOR, _PLACES = np.uint64(0x9E3779B97F4A7C15), 1 << 18
 
@@ -33,20 +38,36 @@ def _place(h: np.ndarray) -> np.ndarray:
     return (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(46)).astype(np.int64)
 
 
+class Memory:
+    """Strings and their ids, in two generations."""
+
+    def __init__(self):
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+
+
 class Pieces:
     """A model's vocabulary; small enough to be broadcast (the model file's size)."""
 
     def __init__(self, pieces: list[tuple[str, float, str]], dummy_prefix: bool = True):
-        """``pieces``: text, score and kind (normal, byte or other) by id."""
+        """``pieces``: text, score and kind (normal, byte, unknown or other) by id."""
         self.dummy_prefix = dummy_prefix
         self.score: dict[str, float] = {}
         self.id: dict[str, int] = {}
         self.bytes = [b""] * len(pieces)
         self.byte_id = [-1] * 256
+        #: of a byte without a piece; a model without one too has -1, which has no text
+        self.unknown_id = -1
         for i, (piece, score, kind) in enumerate(pieces):
             if kind == "byte":
                 value = int(piece[3:-1], 16)
                 self.bytes[i], self.byte_id[value] = bytes([value]), i
+            elif kind == "unknown":
+                self.unknown_id = i
             elif kind == "normal":
                 piece = piece.replace(_SPACE, " ")
                 self.bytes[i] = piece.encode()
@@ -60,8 +81,7 @@ class Pieces:
         #: characters that pieces have next to each other; between others, paths meet
         self.pairs = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         self._layers = self._hashed()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self._name = ("pieces", len(pieces), dummy_prefix, hash(tuple(sorted(self.score.items()))))
 
     @staticmethod
     def load(path: str, dummy_prefix: bool = True) -> "Pieces":
@@ -70,8 +90,8 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
 
         def kind(i):
-            other = model.is_control(i) or model.is_unknown(i) or model.is_unused(i)
-            return "byte" if model.is_byte(i) else "other" if other else "normal"
+            other = model.is_control(i) or model.is_unused(i)
+            return "byte" if model.is_byte(i) else "unknown" if model.is_unknown(i) else "other" if other else "normal"
 
         return Pieces(
             [(model.id_to_piece(i), model.get_score(i), kind(i)) for i in range(model.get_piece_size())], dummy_prefix
@@ -116,7 +136,7 @@ class Pieces:
         ids: list[int] = []
         for a, b in zip(cuts[::-1], cuts[-2::-1]):
             i = self.id.get(text[a:b])
-            ids += [i] if i is not None else [self.byte_id[x] for x in text[a:b].encode() if self.byte_id[x] >= 0]
+            ids += [i] if i is not None else [self.byte_id[x] if self.byte_id[x] >= 0 else self.unknown_id for x in text[a:b].encode()]
         return ids
 
     def _hashed(self):
@@ -189,39 +209,43 @@ class Pieces:
                 out[at[j]] = np.array(self._ids(parts[at[j]], back[:, j].tolist(), 0, n), np.int32).tobytes()
         return out
 
-    def _learn(self, parts: set[str]) -> None:
+    def _learn(self, parts: set[str], memory: "Memory") -> None:
         """Remember the ids of short strings; those of a word with signs behind it are put together."""
-        signed, new = [], set()
+        known, older, signed, new = memory.known, memory.older, [], set()
         for p in parts:
-            if (found := self.older.get(p)) is not None:
-                self.known[p] = found
+            if (found := older.get(p)) is not None:
+                known[p] = found
                 continue
             core = p.rstrip(".,;:!?")
-            if core.strip() and core != p and p[len(core) - 1 : len(core) + 1] not in self.pairs:
+            if core != p and core.strip() and p[len(core) - 1 : len(core) + 1] not in self.pairs:
                 signed.append((p, core, p[len(core) :]))
-                new.update(x for x in (core, p[len(core) :]) if x not in self.known)
+                new.update(x for x in (core, p[len(core) :]) if x not in known)
             else:
                 new.add(p)
+        for p in [p for p in new if p in older]:
+            known[p] = older[p]
+            new.remove(p)
         new = list(new)
-        self.known.update(zip(new, self.search_many(new)))
+        known.update(zip(new, self.search_many(new)))
         for p, core, tail in signed:
-            self.known[p] = self.known[core] + self.known[tail]
+            known[p] = known[core] + known[tail]
 
+    @worker.acyclic
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of texts as 32-bit integers in the machine's order."""
         texts = [" " + t if t and self.dummy_prefix else t for t in texts]
         if self.apart is None:
             return [np.array(self.search(t), np.int32).tobytes() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
+        memory = worker.kept(self._name, Memory)
+        memory.turn()
+        known = memory.known
         split = [self.apart.findall(t) for t in texts]
-        known = self.known
-        new = {p for parts in split for p in parts if p not in known}
+        new = set(chain.from_iterable(split)).difference(known)
         long = {p: np.array(self.search(p), np.int32).tobytes() for p in new if len(p) > SHORT}
-        self._learn(new - long.keys())
-        return [
-            b"".join([known[p] if p in known else long[p] for p in parts] if long else map(known.__getitem__, parts)) for parts in split
-        ]
+        self._learn(new - long.keys(), memory)
+        if long:
+            return [b"".join([known[p] if p in known else long[p] for p in parts]) for parts in split]
+        return [b"".join(map(known.__getitem__, parts)) for parts in split]
 
     def decode(self, ids) -> str:
         n = len(self.bytes)
@@ -229,6 +253,26 @@ class Pieces:
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 
+def texts_of(lists: pa.ListArray, table: pa.BinaryArray, dummy_prefix: bool) -> pa.StringArray:
+    """The texts of lists of ids: the bytes of all ids are taken at once, one
+    behind the other, and cut where the lists end."""
+    ids = lists.flatten().fill_null(-1).to_numpy()
+    ids = np.where((ids >= 0) & (ids < len(table) - 1), ids, len(table) - 1)
+    taken = table.take(pa.array(ids))
+    ends = np.frombuffer(taken.buffers()[1], np.int32, len(ids) + 1, 4 * taken.offset)
+    data = taken.buffers()[2] or pa.py_buffer(b"")
+    sizes = lists.value_lengths().fill_null(0).to_numpy()
+    cuts = ends[np.concatenate([[0], np.cumsum(sizes)])]
+    out = []
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        found = data[a:b].to_pybytes()
+        out.append(found[1:] if dummy_prefix and found[:1] == b" " else found)
+    try:
+        return pa.array(out, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in out], pa.string())
+
+
 def encode(docs: DataFrame, model: Pieces, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the ids of each whole text (array of int, in place of a
     column of that name). A null or empty text has no ids; repeated rows stay.
@@ -240,11 +284,13 @@ def encode(docs: DataFrame, model: Pieces, text: str = "text", ids: str = "ids")
     def run(batches):
         pieces = shared.value
         for batch in batches:
-            coded = [b for k in range(0, batch.num_rows, 512) for b in pieces.encode_many([x.as_py() or "" for x in batch.column(where).slice(k, 512)])]
-            offsets = np.zeros(len(coded) + 1, np.int32)
-            np.cumsum([len(x) // 4 for x in coded], out=offsets[1:])
-            array = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, array], names=[*batch.schema.names, ids])
+            for k in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(k, TOGETHER)
+                coded = pieces.encode_many([x.as_py() or "" for x in part.column(where)])
+                offsets = np.zeros(len(coded) + 1, np.int32)
+                np.cumsum([len(x) // 4 for x in coded], out=offsets[1:])
+                array = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+                yield pa.RecordBatch.from_arrays([*part.columns, array], names=[*part.schema.names, ids])
 
     return docs.mapInArrow(run, docs.withColumn(ids, F.expr("cast(null as array<int>)")).schema)
 
@@ -253,13 +299,15 @@ def decode(docs: DataFrame, model: Pieces, ids: str = "ids", text: str = "decode
     """``docs`` with the text of each list of ids. Null and empty lists give an
     empty text; ids that the vocabulary has no text for, none."""
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c == ids or c.lower() != text.lower()])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # the last entry is for ids without a text
+    shared = docs.sparkSession.sparkContext.broadcast((pa.array([*model.bytes, b""], pa.binary()), model.dummy_prefix))
     where = docs.columns.index(ids)
 
     def run(batches):
-        pieces = shared.value
+        table, dummy_prefix = shared.value
         for batch in batches:
-            texts = [pieces.decode(x.values.to_pylist() if x.is_valid else []) for x in batch.column(where)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
+            for k in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(k, TOGETHER)
+                yield pa.RecordBatch.from_arrays([*part.columns, texts_of(part.column(where), table, dummy_prefix)], names=[*part.schema.names, text])
 
     return docs.mapInArrow(run, docs.withColumn(text, F.lit("x")).schema)

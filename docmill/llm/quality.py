@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from docmill.llm import worker
 from docmill.session import cut_lineage
 
 WORDS, SHAPES, SIZE = 8192, 256, 32
@@ -49,12 +50,9 @@ class _Rows(dict):
         return row
 
 
-_known = _Rows()
-
-
 def _rows(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     tokens = (text or "").split()
-    codes = np.fromiter(map(_known.__getitem__, tokens), np.int64, len(tokens))
+    codes = np.fromiter(map(worker.kept("quality", _Rows).__getitem__, tokens), np.int64, len(tokens))
     return codes // SHAPES, WORDS + codes % SHAPES
 
 
@@ -153,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
           most: int = MOST_LABELS) -> Classifier:
     """A classifier for ``labels`` (key, label of 0 or 1) of documents.
 
-    Labels with a null key or another value are left out; without any usable
+    Labels with a null key or another value are left out; of a key with several rows or
+    labels each counts, up to ``most`` in all; without any usable
     label the classifier gives every text the share of 1s it saw, or 1/2.
     """
     spark = docs.sparkSession
@@ -166,12 +165,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
         table[used] /= np.linalg.norm(table[used], axis=1, keepdims=True).clip(1e-9)
     # at most ``most`` rows: broadcast in place of moving texts
     chosen = (
-        labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("_of"), F.col(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64("_of"), "_of", "label").limit(most)
+        labels.where(F.col(f"`{key}`").isNotNull() & F.col(f"`{label}`").isin(0, 1)).select(F.col(f"`{key}`").alias("of"), F.col(f"`{label}`").cast("int").alias("label"))
+        .orderBy(F.xxhash64("of"), "of", "label").limit(most)
     )
     chosen = cut_lineage(chosen)
-    sample = docs.join(F.broadcast(chosen), docs[key] == chosen["_of"]).select(F.col(text).alias("text"), F.col("_of").alias("of"), "label")
-    got = sorted((tuple(r) for r in _pool(sample, table, "text", ["of", "label"]).toLocalIterator()), key=lambda r: (str(r[1]), r[2], r[0]))[:most]
+    texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    sample = texts.join(F.broadcast(chosen), F.col("key") == F.col("of")).select("text", "of", "label")
+    # a key of very many rows gives no more than ``most`` of them to the driver
+    pooled_rows = _pool(sample, table, "text", ["of", "label"]).orderBy(F.xxhash64("of"), "of", "label", "pooled").limit(most)
+    got = sorted((tuple(r) for r in pooled_rows.collect()), key=lambda r: (str(r[1]), r[2], r[0]))
     x = np.array([r[0] for r in got]).reshape(-1, 2 * SIZE + 1)
     y = np.array([r[2] for r in got], float)
     return fit(table, x, y)

@@ -13,6 +13,8 @@ Everything is built-in SQL functions; the table has ``size`` rows, which
 """
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from docmill.llm.names import fresh
+
 #: Most slots of a table, which is broadcast. One row holds the wishes of all
 #: shards while it is filled: size times shards numbers.
 MOST_SLOTS = 20_011
@@ -84,11 +86,12 @@ def place(df: DataFrame, key: Column, table: DataFrame, size: int = 5003,
     All rows are kept, repeated ones too; equal keys share a shard. Columns of
     these names are replaced. With an empty table the shard is null.
     """
+    _slot, _of, _shard = fresh(df, "its_slot", "of", "its_shard")
     rest = [c for c in df.columns if c.lower() not in {slot.lower(), shard.lower()}]
-    placed = df.select(*[F.col(f"`{c}`") for c in rest], slot_of(key, size).alias("_slot"))
-    lookup = F.broadcast(table.select(F.col("slot").alias("_of"), F.col("shard").alias("_shard")))  # at most MOST_SLOTS rows
-    return placed.join(lookup, F.col("_slot") == F.col("_of"), "left").select(
-        *[F.col(f"`{c}`") for c in rest], F.col("_slot").alias(slot), F.col("_shard").alias(shard)
+    placed = df.select(*[F.col(f"`{c}`") for c in rest], slot_of(key, size).alias(_slot))
+    lookup = F.broadcast(table.select(F.col("slot").alias(_of), F.col("shard").alias(_shard)))  # at most MOST_SLOTS rows
+    return placed.join(lookup, F.col(_slot) == F.col(_of), "left").select(
+        *[F.col(f"`{c}`") for c in rest], F.col(_slot).alias(slot), F.col(_shard).alias(shard)
     )
 
 

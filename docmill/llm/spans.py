@@ -14,6 +14,8 @@ a span that a third of the corpus holds is no hot task.
 """
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docmill.llm.names import fresh
+
 SENTENCE = r"[^.!?\n]*[.!?\n]+[ \t\r\n]*|[^.!?\n]+"
 
 
@@ -58,16 +60,17 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ru
         spans.join(first, ["a", "b"]).where(~place.eqNullSafe(F.col("first")))
         .groupBy("doc", "t").agg(F.collect_set("at").alias("_ats"))  # at most the text's own sentences
     )
+    _t, _doc, _of, _ats, _gone, _all = fresh(docs, "t", "doc", "of", "ats", "gone", "all")
     rest = [c for c in docs.columns if c.lower() not in (removed.lower(), total.lower())]
-    joined = docs.select(*[F.col(f"`{c}`") for c in rest], F.xxhash64(F.col(f"`{text}`")).alias("_t")).join(
-        covered.toDF("_doc", "_of", "_ats"), F.col(f"`{key}`").eqNullSafe(F.col("_doc")) & (F.col("_t") == F.col("_of")), "left"
+    joined = docs.select(*[F.col(f"`{c}`") for c in rest], F.xxhash64(F.col(f"`{text}`")).alias(_t)).join(
+        covered.toDF(_doc, _of, _ats), F.col(f"`{key}`").eqNullSafe(F.col(_doc)) & (F.col(_t) == F.col(_of)), "left"
     )
-    gone = F.array_distinct(F.flatten(F.transform("_ats", lambda i: F.sequence(i, i + F.lit(run - 1)))))
+    gone = F.array_distinct(F.flatten(F.transform(_ats, lambda i: F.sequence(i, i + F.lit(run - 1)))))
     sentences = F.coalesce(_sentences(F.col(f"`{text}`")), F.array())
-    joined = joined.withColumn("_gone", gone).withColumn("_all", F.size(sentences).cast("long"))
-    kept = F.array_join(F.filter(sentences, lambda s, i: ~F.array_contains("_gone", i)), "")
-    new = F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(kept)
+    joined = joined.withColumn(_gone, gone).withColumn(_all, F.size(sentences).cast("long"))
+    kept = F.array_join(F.filter(sentences, lambda s, i: ~F.array_contains(_gone, i)), "")
+    new = F.when(F.col(_gone).isNull(), F.col(f"`{text}`")).otherwise(kept)
     return joined.select(
         *[new.alias(c) if c == text else F.col(f"`{c}`") for c in rest],
-        F.col("_all").alias(total), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(removed),
+        F.col(_all).alias(total), F.coalesce(F.size(_gone), F.lit(0)).cast("long").alias(removed),
     )

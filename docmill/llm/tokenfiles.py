@@ -18,22 +18,25 @@ Files are written and read by the tasks with ``pyarrow.fs``, in a folder that
 all executors share. Keys are dealt by range with the text's hash behind the
 key, so that a key of many rows is spread over shards.
 """
+import json
 import os
-import re
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from docmill.llm import worker
+
 #: Keys per index bucket, about.
 BUCKET_KEYS = 100_000
 #: Words that a worker remembers the ids of, per generation (of two).
 REMEMBERED = 400_000
-#: Signs behind the last letter of a word: a word of their own to the tokenizer.
-_CLOSING = re.compile(rb"(?<=[A-Za-z])[.,!?;:]+(?=\s|$)")
+#: Texts that are coded together.
+TOGETHER = 256
 _MAGIC = 0x31534449
 
 
@@ -138,43 +141,64 @@ class Coder:
         self.type = np.dtype(f"<u{width}")
         self.end = np.array([end_id], self.type).tobytes()
         self.by_word, self.known, self.older = by_word, {}, {}
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") if by_word else None
+        names = self.tokenizer.get_vocab()
+        #: tokens that end a word
+        self.ends = np.array([n.endswith(suffix) for n in sorted(names, key=names.get)]) if suffix and sorted(names.values()) == list(range(len(names))) else None
 
     def _coded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _plain(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters alone: coded as one text, and cut behind the
+        tokens that end a word, where the tokenizer has such tokens."""
+        if self.ends is None or not words:
+            return self._coded([w.decode() for w in words])
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.int64)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            return self._coded([w.decode() for w in words])
+        coded, size = ids.astype(self.type).tobytes(), self.type.itemsize
+        return [coded[size * a : size * b] for a, b in zip([0, *cuts.tolist()], cuts.tolist())]
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Remember the ids of words; those of a word with signs behind it are put together."""
+        known, older, signed, plain, other = self.known, self.older, [], set(), set()
+        for w in words:
+            if (found := older.get(w)) is not None:
+                known[w] = found
+                continue
+            core = w.rstrip(b".,!?;:")
+            if core is not w and len(core) < len(w) and core[-1:].isalpha():
+                signed.append((w, core, w[len(core) :]))
+            for x in (core, w[len(core) :]) if signed and signed[-1][0] is w else (w,):
+                if x not in known:
+                    (plain if x.decode().isalpha() else other).add(x)
+        for kind, code in ((plain, self._plain), (other, lambda part: self._coded([w.decode() for w in part]))):
+            for w in [w for w in kind if w in older]:
+                known[w] = older[w]
+                kind.remove(w)
+            kind = list(kind)
+            for k in range(0, len(kind), 5000):
+                known.update(zip(kind[k : k + 5000], code(kind[k : k + 5000])))
+        for w, core, tail in signed:
+            known[w] = known[core] + known[tail]
+
+    @worker.acyclic
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [x + self.end for t in texts for x in self._coded([t])]
-        out = []
-        for text in texts:
-            data = text.encode()
-            if b"<|" not in data:  # the form of special tokens, which keep their case
-                data = data.lower()
-            words = _CLOSING.sub(rb" \g<0>", data).split()
-            known, older = self.known, self.older
-            new = []
-            for w in {w for w in words if w not in known}:
-                if w in older:
-                    known[w] = older[w]
-                else:
-                    new.append(w)
-            for k in range(0, len(new), 10_000):
-                part = new[k : k + 10_000]
-                known.update(zip(part, self._coded([w.decode() for w in part])))
-            out.append(b"".join([*map(known.__getitem__, words), self.end]))
-            if len(known) > REMEMBERED:
-                self.older, self.known = known, {}
-        return out
-
-
-_coders: dict = {}
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        # the form of special tokens, which keep their case
+        split = [(d if b"<|" in d else d.lower()).split() for d in (t.encode() for t in texts)]
+        known = self.known
+        self._learn(set(chain.from_iterable(split)).difference(known))
+        return [b"".join([*map(known.__getitem__, words), self.end]) for words in split]
 
 
 def _coder(*args) -> Coder:
-    if args not in _coders:
-        _coders.clear()
-        _coders[args] = Coder(*args)
-    return _coders[args]
+    return worker.kept(("ids", *args), lambda: Coder(*args))
 
 
 def _open(folder: str):
@@ -206,8 +230,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str =
             if batch.num_rows and out is None:
                 out = system.open_output_stream(f"{path}/{name}")
                 lowest = batch.slice(0, 1)
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
+            for k in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(k, TOGETHER)
                 for data in coder.encode([t.as_py() or "" for t in part.column(1)]):
                     out.write(data)
                     sizes.append(len(data) // width)
