@@ -6,6 +6,7 @@ kept. ``run`` writes each stage's rows as a table and reads them for the next.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docmill.llm import decontaminate, lines, minhash, pieces, quality, queries
+from docmill.llm.names import fresh
 from docmill.session import cut_lineage
 
 #: A document of lower probability of good quality goes.
@@ -18,8 +19,9 @@ ORACLE_SQL = None
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from the labels of these documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.score(docs, queries.quality_model(docs, labels), name="_score")
-    return scored.where(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
+    (name,) = fresh(docs, "score")
+    scored = quality.score(docs, queries.quality_model(docs, labels), name=name)
+    return scored.where(F.col(name) >= LEAST_QUALITY).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
