@@ -261,6 +261,13 @@ def kb_stats(spark, folder):
     return store.stats()
 
 
+def report_lines(spark, folder):
+    """The statistics as a report: its lines in order, numbered."""
+    path = new_table_folder(spark)
+    stats.write_report(stats.collection_stats(_stored(spark, folder)), path)
+    return numbered(spark.read.parquet(path), "line", "dimension", "value")
+
+
 STORED_SQL = """s AS (SELECT nullif(lang, 'de') AS category, nullif(source, 'src3') AS vendor,
    CASE WHEN n_chars > 4000 THEN 'semantic' WHEN n_chars > 500 THEN 'table_full' END AS chunk_type, n_chars AS z, source FROM documents),
  u AS (SELECT coalesce(category, 'UNKNOWN') AS c, coalesce(vendor, 'UNKNOWN') AS v, chunk_type AS t, z, source FROM s)"""
@@ -272,6 +279,9 @@ STATS_SQL = f"""WITH {STORED_SQL}, l AS (
 SELECT dimension, value, count(*) AS n FROM l GROUP BY ALL"""
 
 
+REPORT_SQL = f"SELECT *, row_number() OVER (ORDER BY dimension, value) - 1 AS line FROM ({STATS_SQL})"
+
+
 def chunk_type_counts(spark, folder):
     return stats.chunk_type_counts(_stored(spark, folder))
 
@@ -348,6 +358,7 @@ QUERIES = {
     "topk_cosine": (topk_cosine, TOPK_SQL),
     "batch_assign": (batch_assign, BATCH_SQL),
     "kb_stats": (kb_stats, STATS_SQL),
+    "report_lines": (report_lines, REPORT_SQL),
     "chunk_type_counts": (
         chunk_type_counts, f"WITH {STORED_SQL} SELECT coalesce(t, 'un-tagged') AS chunk_type, count(*) AS n FROM u GROUP BY 1"
     ),

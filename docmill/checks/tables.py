@@ -395,6 +395,72 @@ f AS (SELECT grp, models, min((place, kind, first)) AS place FROM g GROUP BY grp
 SELECT grp, (row_number() OVER (PARTITION BY grp ORDER BY place) - 1)::INT AS ord, models FROM f"""
 
 
+LONG = 16
+
+
+def long_sheets(spark, folder):
+    """Sixteen parts per table. Of every three tables one names its models in the
+    eighth row, one in the ninth, too late to be looked at, and one has a row per
+    part. A cell names two models, of which the longer comes first."""
+    part = table(spark, folder, "part").withColumns({
+        "grp": F.floor(F.col("p_partkey") / LONG), "short": F.concat(F.lit("AB-"), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0")),
+        "long": F.concat(F.lit("AB-"), F.lpad(F.col("p_partkey").cast("string"), 5, "0"), F.lit("F")),
+    })
+    items = F.array_sort(F.collect_list(F.struct("p_partkey", "short", "long", "p_size")))
+    g = part.groupBy("grp").agg(items.alias("i"))
+
+    def across(name, field):
+        return F.concat(F.lit(name), F.lit(" | "), F.array_join(F.transform("i", field), " | "))
+
+    both = lambda s: F.concat(s["short"], F.lit(" "), s["long"])
+    blank = across("Notes", lambda s: F.lit("-"))
+    head = [across("Table of parts", lambda s: F.lit("-")), F.concat(F.lit("--- | "), F.array_join(F.transform("i", lambda s: F.lit("---")), " | "))]
+    values = [across("Outer extent", lambda s: s["p_size"].cast("string")), across("Inner extent", lambda s: F.concat(s["p_size"].cast("string"), F.lit(" mm")))]
+    down = F.array_join(F.transform("i", lambda s: F.concat(both(s), F.lit(" | "), s["p_size"].cast("string"), F.lit(" | x"), s["p_size"].cast("string"))), "\n")
+    sheet = lambda *rows: F.concat_ws("\n", F.lit("[TABLE]"), *rows, F.lit("[/TABLE]"))
+    shape = F.col("grp") % 3
+    text = (
+        F.when(shape == 0, sheet(*head, *[blank] * 6, across("Code", both), *values))
+        .when(shape == 1, sheet(*head, *[blank] * 7, across("Code", both), *values))
+        .otherwise(sheet(F.lit("Model | Extent | Shape"), F.lit("--- | --- | ---"), down))
+    )
+    models = part.select(F.lit("long.pdf").alias("doc_name"), F.explode(F.array("short", "long")).alias("model"))
+    return g.select(F.lit("long.pdf").alias("doc_name"), F.col("grp").alias("page"), F.lit(0).alias("seg"), text.alias("text")), models
+
+
+LONG_SQL = f"""WITH p AS (SELECT *, p_partkey // {LONG} AS grp, 'AB-' || lpad((p_partkey % 1000)::VARCHAR, 3, '0') AS short, 'AB-' || lpad(p_partkey::VARCHAR, 5, '0') || 'F' AS long,
+   count(*) OVER (PARTITION BY p_partkey // {LONG}) AS size FROM part),
+ f AS (SELECT grp, max_by(long, p_partkey) AS last, min_by(short, p_partkey) AS first FROM p GROUP BY grp),
+ m AS (SELECT p.*, b.n AS which, CASE WHEN b.n = 0 THEN long ELSE short END AS model FROM p, (SELECT unnest([0, 1]) AS n) b),
+ s AS (SELECT grp, 'column' AS strategy, 1 AS a, p_partkey AS b, which AS c, model, 'Outer extent' AS spec_name, p_size::VARCHAR AS value FROM m WHERE grp % 3 = 0 UNION ALL
+   SELECT grp, 'column', 2, p_partkey, which, model, 'Inner extent', p_size || ' mm' FROM m WHERE grp % 3 = 0 UNION ALL
+   -- the end tag between the page and the table makes alternatives of the models beside it
+   SELECT p.grp, 'contextual', a, p_partkey, b.n, CASE WHEN b.n = 0 THEN f.last ELSE f.first END, ['Code', 'Outer extent', 'Inner extent'][a],
+     [short || ' ' || long, p_size::VARCHAR, p_size || ' mm'][a] FROM p JOIN f USING (grp), (SELECT unnest([1, 2, 3]) AS a), (SELECT unnest([0, 1]) AS n) b WHERE p.grp % 3 = 1 UNION ALL
+   SELECT grp, 'row', p_partkey, 1, which, model, 'Extent', p_size::VARCHAR FROM m WHERE grp % 3 = 2 AND size > 1 UNION ALL
+   SELECT grp, 'row', p_partkey, 2, which, model, 'Shape', 'x' || p_size FROM m WHERE grp % 3 = 2 AND size > 1)
+SELECT 'long.pdf' AS doc_name, grp AS page, strategy, (row_number() OVER (PARTITION BY grp ORDER BY a, b, c) - 1)::INT AS ord, model, spec_name, value FROM s"""
+
+
+def known_model_sets(spark, folder):
+    """Models that may stand in tables, longest first: no components, no families."""
+    size = F.col("p_size").cast("string")
+    codes = F.array(
+        F.concat(F.lit("AB-"), F.col("p_partkey").cast("string")), F.concat(F.lit("FIM-70"), size, F.lit("F")), F.concat(F.lit("PA-1"), size, F.lit("0")),
+        F.concat(F.lit("AB-"), F.col("p_partkey").cast("string")), F.concat(F.lit("CD-"), size, F.lit("1")), F.concat(F.lit("XY-1"), size, F.lit("0")), F.concat(F.lit("fpm-1"), size),
+    )
+    family = F.when(F.col("p_size") % 2 == 0, F.array(F.concat(F.lit("pa-1"), size, F.lit("0")))).otherwise(F.array().cast("array<string>"))
+    part = table(spark, folder, "part").select("p_partkey", codes.alias("m"), F.array(F.concat(F.lit("cd-"), size, F.lit("1"))).alias("c"), family.alias("f"))
+    return part.select("p_partkey", F.array_join(tb.known_models(F.col("m"), F.col("c"), F.col("f")), ",").alias("known"))
+
+
+KNOWN_SQL = """WITH p AS (SELECT p_partkey, ['AB-' || p_partkey, 'FIM-70' || p_size || 'F', 'PA-1' || p_size || '0', 'CD-' || p_size || '1', 'XY-1' || p_size || '0', 'fpm-1' || p_size] AS m,
+   ['CD-' || p_size || '1', CASE WHEN p_size % 2 = 0 THEN 'PA-1' || p_size || '0' END] AS gone FROM part),
+ e AS (SELECT p_partkey, gone, unnest(m) AS x, generate_subscripts(m, 1) AS i FROM p)
+SELECT p_partkey, string_agg(x, ',' ORDER BY length(x) DESC, i) AS known FROM e
+WHERE NOT coalesce(list_contains(gone, upper(x)), false) AND NOT regexp_matches(x, '^F(IM|PM|AN|AC|SW)-[0-9]{3,5}[A-Z]{0,3}(-[0-9]{1,2})?(-DC)?$', 'i') GROUP BY p_partkey"""
+
+
 def spec_chunk_text(spark, folder):
     part = table(spark, folder, "part").withColumn("v", F.col("p_size").cast("string"))
     text = spec_text(F.col("p_brand"), F.col("p_type"), F.col("p_name"), F.lit("Size"), F.col("v"), F.col("p_type"))
@@ -446,6 +512,8 @@ QUERIES = {
     "spec_headerless": (_specs(headerless_sheets), HEADERLESS_SQL),
     "spec_grouped_headers": (_specs(grouped_sheets), GROUPED_SQL),
     "model_group_runs": (model_group_runs, RUNS_SQL),
+    "spec_long_tables": (_specs(long_sheets), LONG_SQL),
+    "known_model_sets": (known_model_sets, KNOWN_SQL),
     "spec_dispatch": (spec_dispatch, DISPATCH_SQL),
     "spec_chunk_text": (spec_chunk_text, SPEC_TEXT_SQL),
 }

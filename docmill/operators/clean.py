@@ -11,6 +11,7 @@ from docmill import fixed
 from docmill.functions.labels import is_noise_line
 from docmill.functions.stage import computed
 from docmill.functions.text import let, lines, strip
+from docmill.operators.bitmaps import bitmap_filter, may_hold
 from docmill.session import cut_lineage
 
 # ASCII and the Latin-1 characters that NFKC leaves alone
@@ -184,36 +185,6 @@ def prepare_pages(pages: DataFrame) -> DataFrame:
     return computed(split, _prose=fixed_prose).withColumn("_tables", F.col("_parts.tables")).drop("_parts")
 
 
-#: Bits of a Spark bitmap; most bitmaps of a filter, 4 KB each.
-BITMAP_BITS, MOST_BITMAPS = 32768, 1024
-
-
-def _bit(doc, line, size: Column) -> Column:
-    """Number of the bit of a (doc_name, line), from 1."""
-    return F.pmod(F.xxhash64(doc, line), size.cast("long")) + 1
-
-
-def line_filter(boilerplate: DataFrame) -> DataFrame:
-    """One row: a bitmap filter over hashed (doc_name, line), as map from number to
-    bitmap. About 16 bits a line, 4 MB at most; beyond, it only lets more through."""
-    size = F.least(F.greatest(F.ceil(F.col("n") * 16 / BITMAP_BITS), F.lit(1)), F.lit(MOST_BITMAPS)) * BITMAP_BITS
-    sized = boilerplate.agg(F.count(F.lit(1)).alias("n")).select(size.cast("long").alias("_size"))
-    bits = boilerplate.select("doc_name", "line").join(F.broadcast(sized)).select("_size", _bit(F.col("doc_name"), F.col("line"), F.col("_size")).alias("bit"))
-    maps = bits.groupBy("_size", F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
-    return maps.groupBy().agg(F.max("_size").alias("_size"), F.map_from_entries(F.collect_list(F.struct("at", "map"))).alias("_bits"))
-
-
-def _may_be(doc, line) -> Column:
-    """Whether the filter (columns ``_size``, ``_bits``) has the bit of a line set."""
-    def looked_up(bit):
-        at = F.bitmap_bit_position(bit)
-        byte = F.substring(F.try_element_at("_bits", F.bitmap_bucket_number(bit)), (at / 8).cast("int") + 1, F.lit(1))
-        value = F.conv(F.hex(byte), 16, 10).cast("int")
-        return F.coalesce(F.floor(value / F.pow(F.lit(2), at % 8)) % 2 == 1, F.lit(False))
-
-    return let(_bit(doc, line, F.col("_size")), looked_up)
-
-
 def unwanted_lines(prepared: DataFrame, boilerplate: DataFrame) -> DataFrame:
     """(doc_name, page, unwanted): the page's own boilerplate lines.
 
@@ -225,9 +196,8 @@ def unwanted_lines(prepared: DataFrame, boilerplate: DataFrame) -> DataFrame:
         F.col("_prose"),
         lambda parts: F.array_distinct(F.flatten(F.transform(parts, lambda p: F.transform(lines(p), strip)))),
     )
-    # one row of at most 4 MB
-    tested = prepared.select("doc_name", "page", on_page.alias("_lines")).join(F.broadcast(line_filter(boilerplate)))
-    likely = F.filter("_lines", lambda l: F.length(l).between(6, 199) & _may_be(F.col("doc_name"), l))
+    tested = prepared.select("doc_name", "page", on_page.alias("_lines")).join(F.broadcast(bitmap_filter(boilerplate, "doc_name", "line")))
+    likely = F.filter("_lines", lambda l: F.length(l).between(6, 199) & may_hold("doc_name", l))
     return (
         tested.select("doc_name", "page", F.explode(likely).alias("line"))
         .join(boilerplate.select("doc_name", "line"), ["doc_name", "line"], "left_semi")

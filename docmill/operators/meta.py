@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from docmill import fixed
 from docmill.functions.labels import is_component_code, is_valid_model
 from docmill.functions.text import collapse_ws, dashed_stem, let, lines, normalise_label, stem, strip
+from docmill.operators.bitmaps import filtered
 from docmill.operators.ordering import DOC, PAGE, first_pages, head_pages, join_pages, seams_of
 from docmill.session import cut_lineage
 
@@ -274,7 +275,9 @@ def document_heads(pages: DataFrame, facts: DataFrame) -> DataFrame:
     wanted = head_pages(facts, HEAD).withColumn("_in", F.lit("head")).unionByName(
         first_pages(facts, 3).withColumn("_in", F.lit("first"))
     ).groupBy(DOC, PAGE).agg(F.collect_set("_in").alias("_in"))
-    texts = pages.select(DOC, PAGE, F.left("text", F.lit(HEAD)).alias("_t")).join(wanted, [DOC, PAGE])
+    wanted = cut_lineage(wanted)
+    near = filtered(pages.select(DOC, PAGE, "text"), wanted, DOC, PAGE)
+    texts = near.select(DOC, PAGE, F.left("text", F.lit(HEAD)).alias("_t")).join(wanted, [DOC, PAGE])
     # a page cut at HEAD already fills the family text, whatever comes behind it
     return texts.groupBy(DOC).agg(
         F.left(join_pages("_t", F.array_contains("_in", "head")), F.lit(HEAD)).alias("head"),

@@ -7,6 +7,9 @@ Pages are numbered once per document, so a block has at most ``BLOCK`` pages.
 """
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from docmill.operators.bitmaps import filtered
+from docmill.session import cut_lineage
+
 DOC, PAGE, BLOCK = "doc_name", "page", 4096
 
 
@@ -97,11 +100,16 @@ def join_pages(text: str, where: Column | None = None, sep: str = "\n") -> Colum
 def doc_heads(
     pages: DataFrame, text: str, chars: int, block: int = BLOCK, sizes: DataFrame | None = None
 ) -> DataFrame:
-    """(doc_name, head): the first ``chars`` characters of the joined pages."""
+    """(doc_name, head): the first ``chars`` characters of the joined pages.
+
+    The head pages are found by their sizes; a filter on them lets only their texts
+    (and a few others) reach the join."""
     sizes = page_sizes(pages, text) if sizes is None else sizes
+    heads = cut_lineage(head_pages(sizes, chars, block))
     return (
-        pages.select(DOC, PAGE, F.left(text, F.lit(chars)).alias("_t"))
-        .join(head_pages(sizes, chars, block), [DOC, PAGE])
+        filtered(pages.select(DOC, PAGE, text), heads, DOC, PAGE)
+        .select(DOC, PAGE, F.left(text, F.lit(chars)).alias("_t"))
+        .join(heads, [DOC, PAGE])
         .groupBy(DOC)
         .agg(F.left(join_pages("_t"), F.lit(chars)).alias("head"))
     )

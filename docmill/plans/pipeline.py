@@ -1,7 +1,7 @@
 """Corpus ingest: raw pages to chunks, vectors and a per-document report."""
 import logging
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from docmill.operators.chunk import chunk_pages
 from docmill.operators.classify import detect_category
@@ -88,7 +88,11 @@ def ingest_pages(
 ) -> DataFrame:
     """Chunk, embed and upsert raw pages; returns the report."""
     chunks, meta, clean = build_chunks(raw, splitter, **options)
-    chunks = cut_lineage(chunks)
+    # counted as they are written
+    made = Observation()
+    kinds = ("semantic", "table_full", "spec_row")
+    chunks = cut_lineage(chunks.observe(made, F.count(F.lit(1)).alias("all"), *[F.count_if(F.col("chunk_type") == k).alias(k) for k in kinds]))
+    log.info("chunks: %d (%s)", made.get["all"], ", ".join(f"{k} {made.get[k]}" for k in kinds))
     # chunks come grouped by document; embedding cost follows rows
     vectors = chunks.repartition(max(chunks.rdd.getNumPartitions(), raw.sparkSession.sparkContext.defaultParallelism))
     store.upsert(vectors.withColumn("embedding", embed(F.col("text"))), replace_documents)
@@ -112,7 +116,7 @@ def ingest_directory(
         raw.select("doc_name").distinct(), "doc_name", "left_anti"
     )
     report = ingest_pages(raw, store, embed, failures, **options)
-    log.info("documents: %d, vectors: %d", report.count(), store.count())
+    log.info("vectors: %d", store.count())
     write_report(store.stats(), f"{store.path}/report")
     for row in spark.read.parquet(f"{store.path}/report").orderBy("dimension", "value").limit(MOST_LOGGED).collect():
         log.info("%s %s: %d", row["dimension"], row["value"], row["n"])

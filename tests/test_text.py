@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docmill import fixed
 from docmill.functions import text as tx
-from docmill.operators import clean, ordering
+from docmill.operators import bitmaps, clean, ordering
 from docmill.operators.chunk import _make_recursive_splitter, window_split
 
 
@@ -144,6 +144,20 @@ def test_the_line_filter_moves_no_prose(spark):
     cleaned = clean.clean_pages(pages)
     text = cleaned._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in text and cleaned.where("text LIKE '%of it all%'").count() == 0 and cleaned.count() == 40
-    likely = pages.select("doc_name", F.explode(F.split("text", "\n")).alias("line")).join(F.broadcast(clean.line_filter(boilerplate)))
-    hit = likely.where(clean._may_be(F.col("doc_name"), F.col("line")))
+    likely = pages.select("doc_name", F.explode(F.split("text", "\n")).alias("line")).join(F.broadcast(bitmaps.bitmap_filter(boilerplate, "doc_name", "line")))
+    hit = likely.where(bitmaps.may_hold("doc_name", "line"))
     assert hit.where("line LIKE '%of it all'").count() == 80 and hit.count() < 90
+
+
+def test_heads_move_only_head_pages(spark):
+    """Of many pages, those behind the head never reach an exchange with their text."""
+    rows = [(f"d{i % 3}", i * 10**6, f"page {i} " + "x" * 300) for i in range(600)]
+    pages = spark.createDataFrame(rows, "doc_name string, page long, text string")
+    heads = {r.doc_name: r.head for r in ordering.doc_heads(pages, "text", 700).collect()}
+    for d in range(3):
+        own = "\n".join(t for n, _, t in rows if n == f"d{d}")
+        assert heads[f"d{d}"] == own[:700]
+    wanted = ordering.head_pages(ordering.page_sizes(pages, "text"), 700)
+    assert wanted.count() == 9 and bitmaps.filtered(pages, wanted, "doc_name", "page").count() < 15
+    assert bitmaps.filtered(pages, wanted.limit(0), "doc_name", "page").count() == 0
+    assert ordering.doc_heads(pages.limit(0), "text", 5).count() == 0
