@@ -1,17 +1,24 @@
-"""Exact top-k cosine retrieval."""
+"""Exact top-k cosine retrieval.
+
+A few questions travel with the scan of the vectors. Of more, questions and
+vectors are laid out in blocks and meet on a grid: a task takes some blocks of
+vectors and a group of question blocks, one pair of blocks at a time, as one
+matrix product, and keeps ``k`` per question. So the vectors are read once, and
+shuffled once per group of ``GROUP`` question blocks.
+"""
 from collections.abc import Iterator
-from itertools import batched
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from docmill import fixed
+from docmill.operators.numbering import numbered
 from docmill.plans.stats import chunk_type_counts, samples
-from docmill.session import cut_lineage, new_table_folder
+from docmill.session import cut_lineage, session_setting
 
-# queries scored in one pass over the vectors; 512 x 768 doubles are 3 MB
-QUERY_BATCH = 512
+#: Questions in a block, vectors in a block, question blocks in a group; 512 x 768 doubles are 3 MB.
+QUERY_BATCH, VECTOR_BATCH, GROUP = 512, 2048, 64
 _HIT = "n bigint, id string, similarity double"
 
 
@@ -20,63 +27,96 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
-def _partition_hits(vectors: DataFrame, first: int, matrix: list, k: int) -> DataFrame:
-    """The best ``k`` vectors of every partition for each of the questions
-    numbered from ``first``."""
-    unit = _unit
+def _matrix(lists) -> np.ndarray:
+    return _unit(np.stack(list(lists)).astype(np.float64))
+
+
+class _Best:
+    """The best ``k`` ids of each question; equal scores go to the smaller id."""
+
+    def __init__(self, k: int):
+        self.k, self.held = k, {}
+
+    def add(self, numbers, ids: np.ndarray, scores: np.ndarray) -> None:
+        take = min(self.k, len(ids))
+        least = -np.partition(-scores, take - 1, 1)[:, take - 1]
+        for n, row, floor in zip(numbers, scores, least):
+            at = np.flatnonzero(row >= floor)  # ties too: ids decide
+            pool = list(zip((-row[at]).tolist(), ids[at])) + self.held.get(n, [])
+            self.held[n] = sorted(pool)[: self.k]
+
+    def rows(self) -> pd.DataFrame:
+        return pd.DataFrame([(n, i, -s) for n, own in self.held.items() for s, i in own], columns=["n", "id", "similarity"])
+
+
+def _scanned(vectors: DataFrame, wanted: list, k: int) -> DataFrame:
+    """The best ``k`` vectors of every partition for each of a few questions."""
+    best_of, matrix = _Best, _matrix
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = unit(np.array(matrix, np.float64))
-        best = [([], []) for _ in matrix]
+        questions, best = matrix(wanted), best_of(k)
         for batch in batches:
-            if batch.empty:
-                continue
-            ids = batch["id"].to_numpy()
-            scores = wanted @ unit(np.stack(batch["embedding"].to_list()).astype(np.float64)).T
-            take = min(k, len(ids))
-            least = -np.partition(-scores, take - 1, 1)[:, take - 1]
-            for n, row in enumerate(scores):
-                at = np.flatnonzero(row >= least[n])  # ties too: ids decide
-                pool = list(zip((-row[at]).tolist(), ids[at])) + list(zip(*best[n]))
-                best[n] = tuple(zip(*sorted(pool)[:k]))
-        rows = [(first + n, i, -s) for n, own in enumerate(best) if own and own[0] for s, i in zip(*own)]
-        yield pd.DataFrame(rows, columns=["n", "id", "similarity"])
+            if not batch.empty:
+                best.add(range(len(questions)), batch["id"].to_numpy(), questions @ matrix(batch["embedding"]).T)
+        yield best.rows()
 
     return vectors.mapInPandas(scan, _HIT)
 
 
+def _on_a_grid(vectors: DataFrame, questions: DataFrame, count: int, k: int) -> DataFrame:
+    """The same for any number of questions (n, embedding)."""
+    spark = vectors.sparkSession
+    blocks = -(-count // QUERY_BATCH)
+    groups, lanes = -(-blocks // GROUP), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    best_of, matrix = _Best, _matrix
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not batch.empty:
+                yield pd.DataFrame({"ids": [batch["id"].tolist()], "data": [matrix(batch["embedding"]).tobytes()]})
+
+    def blocked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"b": batch["b"], "ns": [[r["n"] for r in rows] for rows in batch["rows"]], "asked": [matrix([r["embedding"] for r in rows]).tobytes() for rows in batch["rows"]]})
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = best_of(k)
+        for batch in batches:
+            for ids, data, ns, asked in zip(batch["ids"], batch["data"], batch["ns"], batch["asked"]):
+                x, y = np.frombuffer(asked).reshape(len(ns), -1), np.frombuffer(data).reshape(len(ids), -1)
+                best.add(list(ns), np.asarray(ids, object), x @ y.T)
+        yield best.rows()
+
+    with session_setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(VECTOR_BATCH)):
+        chunks = cut_lineage(vectors.mapInPandas(packed, "ids array<string>, data binary"))
+    with session_setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "4"):
+        asked = questions.groupBy(F.expr(f"n div {QUERY_BATCH}").alias("b")).agg(F.array_sort(F.collect_list(F.struct("n", "embedding"))).alias("rows"))
+        asked = cut_lineage(asked.mapInPandas(blocked, "b bigint, ns array<bigint>, asked binary"))
+        left = chunks.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes))).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        right = asked.withColumn("grp", F.expr(f"cast(b div {GROUP} as int)")).withColumn("lane", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(lanes - 1).cast("bigint"))))
+        return cut_lineage(left.join(right, ["grp", "lane"]).select("ids", "data", "ns", "asked").mapInPandas(score, _HIT))
+
+
 def top_k(
     vectors: DataFrame, queries: DataFrame, k: int = fixed.TOP_K, id_col: str = "chunk_id", query_id: str = "query_id"
 ) -> DataFrame:
     """(query_id, id, similarity, rank) of the ``k`` nearest vectors per query.
 
-    Queries are numbered; those with equal ids get an answer each. They pass
-    the driver one batch of fixed size at a time, and each batch is one
-    pass over the vectors: every task scores its vectors against the batch with
-    one matrix product and keeps ``k`` per query. Of several batches, the hits
-    are appended to a table. Ties go to the smaller id.
+    Queries are numbered; those with equal ids get an answer each. Up to
+    ``QUERY_BATCH`` of them pass the driver, more stay a relation. Ties go to
+    the smaller id. Vectors and queries all have an embedding of one length.
     """
-    spark = vectors.sparkSession
     slim = vectors.select(F.col(id_col).cast("string").alias("id"), "embedding")
-    numbered = cut_lineage(queries.select(F.monotonically_increasing_id().alias("n"), F.col(query_id).cast("string").alias("query_id"), "embedding"))
-    rows = numbered.select("n", "embedding").toLocalIterator()
-    folder, hits = None, None
-    for at, batch in enumerate(batched(rows, QUERY_BATCH)):
-        if hits is not None:
-            folder = folder or new_table_folder(spark)
-            hits.write.mode("append").parquet(folder)
-        numbers = spark.createDataFrame([(at * QUERY_BATCH + i, r["n"]) for i, r in enumerate(batch)], "m bigint, n bigint")
-        found = _partition_hits(slim, at * QUERY_BATCH, [list(r["embedding"]) for r in batch], k)
-        # QUERY_BATCH rows
-        hits = found.withColumnRenamed("n", "m").join(F.broadcast(numbers), "m").select("n", "id", "similarity")
-    if hits is None:
-        hits = spark.createDataFrame([], _HIT)
-    elif folder:
-        hits.write.mode("append").parquet(folder)
-        hits = spark.read.schema(hits.schema).parquet(folder)
+    asked = cut_lineage(numbered(queries.select(F.col(query_id).cast("string").alias("query_id"), "embedding"), "n"))
+    count = asked.count()
+    if count <= QUERY_BATCH:
+        rows = asked.select("n", "embedding").orderBy("n").collect()
+        hits = _scanned(slim, [list(r["embedding"]) for r in rows], k) if rows else slim.sparkSession.createDataFrame([], _HIT)
+    else:
+        hits = _on_a_grid(slim, asked.select("n", "embedding"), count, k)
     rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("similarity"), "id"))
     best = hits.withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.join(numbered.select("n", "query_id"), "n").select("query_id", "id", "similarity", "rank")
+    return best.join(asked.select("n", "query_id"), "n").select("query_id", "id", "similarity", "rank")
 
 
 #: Hits up to this number are broadcast to the store's texts.

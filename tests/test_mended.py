@@ -36,9 +36,11 @@ def test_store_pointer_is_never_half_written(spark, tmp_path):
     assert not store.exists()
     for n in (1, 2, 3):
         store.write(rows)
-        assert store._pointers()[-1] == f"CURRENT-{n:012d}" and len(store._pointers()) <= 2 and store.count() == 1
-    (tmp_path / "s" / "_pointer-v-broken").write_text("")
-    assert store.count() == 1
+        assert store._manifests()[-1] == f"CURRENT-{n:012d}" and store.count() == 1
+    (tmp_path / "s" / "CURRENT-000000000004").write_text("")
+    assert store.count() == 1 and store.read().count() == 1
+    store.vacuum(2)
+    assert len(store._manifests()) == 2 and store.read().count() == 1
 
 
 def test_empty_statistics_have_a_total(spark):
