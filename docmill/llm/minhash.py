@@ -27,10 +27,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docmill.llm import worker
 from docmill.llm.names import fresh
-from docmill.session import cut_lineage
+from docmill.session import cut_lineage, session_setting
 
 WORDS, SHARE = 5, 75
 TABLES, ROWS = 18, 3
+#: Rows that pass between Spark and a worker at once.
+ROWS_PER_BATCH = "500"
 #: Signatures that agree less aren't confirmed: 4.8 standard errors under 0.75.
 LIKELY = 0.55
 #: Documents compared by signature, and shingles compared in full, in a block.
@@ -240,6 +242,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     stay as many rows. A null key takes no part and has a null component; a
     null or wordless text has no shingles and is its own component.
     """
+    # sets of whole texts: few to a batch
+    with session_setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH):
+        return _near_duplicates(docs, key, text, size, share)
+
+
+def _near_duplicates(docs: DataFrame, key: str, text: str, size: int, share: int) -> DataFrame:
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("binary").alias("text"))
     features = cut_lineage(_features(docs, size))
     sets = features.where("n > 0 AND id IS NOT NULL")

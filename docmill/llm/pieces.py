@@ -253,6 +253,12 @@ class Pieces:
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 
+def _lists(coded: list[bytes]) -> pa.ListArray:
+    offsets = np.zeros(len(coded) + 1, np.int32)
+    np.cumsum([len(x) // 4 for x in coded], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+
+
 def texts_of(lists: pa.ListArray, table: pa.BinaryArray, dummy_prefix: bool) -> pa.StringArray:
     """The texts of lists of ids: the bytes of all ids are taken at once, one
     behind the other, and cut where the lists end."""
@@ -286,15 +292,30 @@ def encode(docs: DataFrame, model: Pieces, text: str = "text", ids: str = "ids")
         for batch in batches:
             for k in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(k, TOGETHER)
-                coded = pieces.encode_many([x.as_py() or "" for x in part.column(where)])
-                offsets = np.zeros(len(coded) + 1, np.int32)
-                np.cumsum([len(x) // 4 for x in coded], out=offsets[1:])
-                array = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, array], names=[*part.schema.names, ids])
+                lists = _lists(pieces.encode_many([x.as_py() or "" for x in part.column(where)]))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, ids])
 
     return docs.mapInArrow(run, docs.withColumn(ids, F.expr("cast(null as array<int>)")).schema)
 
 
+def round_trip(docs: DataFrame, model: Pieces, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` as ``decode(encode(docs))`` has them, in one step: a worker holds one
+    vocabulary, and texts and ids pass to it once."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c == text or c.lower() not in (ids.lower(), decoded.lower())])
+    shared = docs.sparkSession.sparkContext.broadcast((model, pa.array([*model.bytes, b""], pa.binary())))
+    where = docs.columns.index(text)
+
+    def run(batches):
+        pieces, table = shared.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(k, TOGETHER)
+                lists = _lists(pieces.encode_many([x.as_py() or "" for x in part.column(where)]))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, texts_of(lists, table, pieces.dummy_prefix)], names=[*part.schema.names, ids, decoded])
+
+    return docs.mapInArrow(run, docs.withColumn(ids, F.expr("cast(null as array<int>)")).withColumn(decoded, F.lit("x")).schema)
+
+
 def decode(docs: DataFrame, model: Pieces, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``docs`` with the text of each list of ids. Null and empty lists give an
     empty text; ids that the vocabulary has no text for, none."""

@@ -160,9 +160,7 @@ def piece_model() -> pieces.Pieces:
 
 def op8_pieces(spark, folder):
     """Ids of every document, and whether decoding them gives its text again."""
-    model = piece_model()
-    coded = pieces.encode(_table(spark, folder, "documents").select("doc_id", "text"), model)
-    back = pieces.decode(coded, model)
+    back = pieces.round_trip(_table(spark, folder, "documents").select("doc_id", "text"), piece_model())
     return back.select(
         "doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"),

@@ -179,6 +179,8 @@ def test_pieces_round_trip_and_search(spark):
         assert small.decode(small.search(text)) == text
     docs = awkward(spark)
     back = pieces.decode(pieces.encode(docs, model), model)
+    once = pieces.round_trip(docs, model)
+    assert sorted(map(str, once.collect())) == sorted(map(str, back.collect()))
     assert back.where("decoded <=> coalesce(text, '')").count() == docs.count() and back.where("text IS NULL AND size(ids) = 0").count() == 1
 
 
