@@ -45,8 +45,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the texts, with the number of ids, and whether decoding gives the text."""
-    model = queries.piece_model()
-    coded = pieces.decode(pieces.encode(docs.select("doc_id", "source", "text"), model), model)
+    coded = pieces.round_trip(docs.select("doc_id", "source", "text"), queries.piece_model())
     return coded.select(
         "doc_id", "source", F.size("ids").cast("long").alias("n_ids"), "ids",
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"),
