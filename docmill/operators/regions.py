@@ -8,13 +8,21 @@ at least one of them is at home. A page with any number of rectangles falls into
 keys, and a small rectangle never meets those that are far away. Of the cells that a
 pair shares, the one of its common lower corner owns it, so each pair comes once.
 
+Whether a block lies outside all boxes needs no pairs where boxes lie densely: a cell
+inside a box decides all blocks that begin in it. Only the others are paired with boxes.
+
 Coordinates of a rectangle: ``x0``, ``y0``, ``x1``, ``y1``. One with a null, or without
 an area, overlaps nothing; touching edges don't count.
 """
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docmill.session import cut_lineage
+
 SIDES = ("x0", "y0", "x1", "y1")
 LEAST_LEVEL, MOST_LEVEL = -30, 60
+#: Cells of a box, along a side, that are listed as covered; coordinates, in cells, up to which floors are exact.
+MOST_COVERED, EXACT = 32, 2.0**50
+_AREA = "{0}x0 < {0}x1 AND {0}y0 < {0}y1 AND {0}x1 < double('infinity') AND {0}x0 > double('-infinity') AND {0}y1 < double('infinity') AND {0}y0 > double('-infinity')"
 
 
 def overlap(a: str, b: str) -> Column:
@@ -35,7 +43,7 @@ def _placed(rows: DataFrame, page: list[str], box: Column, rest: list[Column]) -
     level = F.greatest(F.least(F.ceil(F.log2(side)), F.lit(MOST_LEVEL)), F.lit(LEAST_LEVEL)).cast("int")
     return (
         rows.select(*page, *rest, box.alias("_box"))
-        .where("_box.x0 < _box.x1 AND _box.y0 < _box.y1 AND _box.x1 < double('infinity') AND _box.x0 > double('-infinity') AND _box.y1 < double('infinity') AND _box.y0 > double('-infinity')")
+        .where(_AREA.format("_box."))
         .withColumn("_level", level)
     )
 
@@ -71,10 +79,42 @@ def overlapping(left: DataFrame, right: DataFrame, page: list[str], left_id: str
     return met.where(owner).select(F.col("_a").alias(left_id), F.col("_b").alias(right_id))
 
 
+def _usual_level(placed: DataFrame) -> DataFrame:
+    """One row ``_fine``: the largest cells that half of the boxes are as wide and as high as."""
+    side = F.least(F.col("_box.x1") - F.col("_box.x0"), F.col("_box.y1") - F.col("_box.y0"))
+    level = F.greatest(F.least(F.floor(F.log2(side)), F.lit(MOST_LEVEL)), F.lit(LEAST_LEVEL))
+    return placed.agg(F.percentile_approx(level, 0.5).cast("int").alias("_fine"))
+
+
+def _within_exact(box: str) -> Column:
+    size = F.greatest(*[F.abs(F.col(f"{box}{c}").cast("double")) for c in SIDES])
+    return size / F.pow(F.lit(2.0), F.col("_fine")) < EXACT
+
+
+def _covered(placed: DataFrame, level: DataFrame, page: list[str]) -> DataFrame:
+    """(page, _x, _y): cells inside a box. Not all of them, of a box far larger than the cells."""
+    cells = F.pow(F.lit(2.0), F.col("_fine"))
+    first = {c: F.ceil(F.col(f"_box.{c}0") / cells).cast("long") for c in "xy"}
+    last = {c: (F.floor(F.col(f"_box.{c}1") / cells) - 1).cast("long") for c in "xy"}
+    whole = placed.crossJoin(F.broadcast(level)).where(_within_exact("_box."))
+    whole = whole.select(*page, *[e.alias(f"_{n}{c}") for n, side in (("from", first), ("to", last)) for c, e in side.items()])
+    whole = whole.where("_fromx <= _tox AND _fromy <= _toy")
+    run = lambda c: F.explode(F.sequence(f"_from{c}", F.least(F.col(f"_to{c}"), F.col(f"_from{c}") + MOST_COVERED - 1))).alias(f"_{c}")
+    return whole.select(*page, "_fromy", "_toy", run("x")).select(*page, "_x", run("y")).distinct()
+
+
 def outside(blocks: DataFrame, boxes: DataFrame, page: list[str], block_id: str) -> DataFrame:
     """Blocks that overlap no box of their page. ``block_id`` is unique and never null.
 
-    A block that many boxes cover counts once per task before it is joined back."""
+    A block whose first cell a box covers is hit. The rest is stored and paired; a block
+    that many boxes cover counts once per task before it is joined back."""
     boxes = boxes.select(*page, *SIDES, F.lit(1).alias("_one"))
-    hit = overlapping(blocks, boxes, page, block_id, "_one").select(block_id).distinct()
-    return blocks.join(hit, block_id, "left_anti")
+    placed = _placed(boxes, page, _box(boxes), [])
+    level = cut_lineage(_usual_level(placed))
+    corner = lambda c: F.when(
+        F.expr(_AREA.format("")) & _within_exact(""), F.floor(F.col(f"{c}0").cast("double") / F.pow(F.lit(2.0), F.col("_fine"))).cast("long")
+    ).alias(f"_{c}")
+    begun = blocks.crossJoin(F.broadcast(level)).select(*[F.col(f"`{c}`") for c in blocks.columns], corner("x"), corner("y"))
+    rest = cut_lineage(begun.join(_covered(placed, level, page), [*page, "_x", "_y"], "left_anti").select(*[F.col(f"`{c}`") for c in blocks.columns]))
+    hit = overlapping(rest, boxes, page, block_id, "_one").select(block_id).distinct()
+    return rest.join(hit, block_id, "left_anti")
