@@ -10,6 +10,7 @@ from docmill.functions import labels
 from docmill.functions.text import chunk_id, clean_cell_value, clean_metric_name
 from docmill.operators import tables as tb
 from docmill.operators.chunk import chunk_pages, spec_text
+from docmill.sources.documents import spread
 
 NL = "chr(10)"
 
@@ -26,7 +27,7 @@ _LABELS = [
 
 
 def _exploded(spark, folder, columns, exprs):
-    part = table(spark, folder, "part")
+    part = spread(table(spark, folder, "part"))
     texts = F.array(*[F.expr(e.replace("::VARCHAR", "::STRING").replace("chr(10)", "'\\n'")) for e in exprs])
     return part.select(*columns, F.posexplode(texts).alias("n", "label"))
 
