@@ -10,9 +10,12 @@ from docmill import fixed
 from docmill.functions.stage import computed
 from docmill.functions.text import let, normalise_terms
 from docmill.operators.ordering import DOC, doc_heads, seams_of
-from docmill.session import cut_lineage
+from docmill.session import cut_lineage, session_setting
 from docmill.taxonomy import Category, all_terms, has_term, load_taxonomy, term_hits
 
+#: Whole pages that pass to a worker at once; one may be long.
+PAGES_PER_BATCH = "256"
+
 
 def _terms_literal(terms) -> Column:
     return F.array(*[F.lit(t) for t in terms]).cast("array<string>")
@@ -62,10 +65,12 @@ def page_evidence(pages: DataFrame, terms: list[str], text: str = "text") -> Dat
     normal = computed(
         pages.select(DOC, "page", F.length(text).alias("n_chars"), text), _norm=normalise_terms(F.col(text))
     )
-    return cut_lineage(normal.select(
+    found = normal.select(
         DOC, "page", "n_chars", term_hits(F.col("_norm"), terms).alias("hits"),
         F.left("_norm", F.lit(longest)).alias("_head"), F.right("_norm", F.lit(longest)).alias("_tail"),
-    ))
+    )
+    with session_setting(pages.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", PAGES_PER_BATCH):
+        return cut_lineage(found)
 
 
 def body_terms(evidence: DataFrame, terms: list[str]) -> DataFrame:
