@@ -152,8 +152,19 @@ def _walk(work: DataFrame, number: int, threshold: float, window: int) -> DataFr
                 out.append((doc, blk, number, digest(begin), digest(last), last, flags))
             yield pd.DataFrame(out, columns=columns)
 
-    ready = work.repartition(F.col(DOC), F.col("_super")).sortWithinPartitions(DOC, "_super", "_blk")
-    return ready.mapInPandas(run, _FOUND)
+    return work.sortWithinPartitions(DOC, "_super", "_blk").mapInPandas(run, _FOUND)
+
+
+def _work(texts: DataFrame, now: DataFrame, stale: DataFrame, number: int) -> DataFrame:
+    """Blocks of round ``number`` with what is known of them, those of a ``_super`` in
+    one partition: texts move once, and only of parts that have a stale block."""
+    part = F.shiftright("_blk", number).alias("_super")
+    # a row per 2^number blocks
+    open_parts = F.broadcast(stale.groupBy(DOC, part).agg(F.min("_blk").alias("_from")))
+    opened = texts.withColumn("_super", part).join(open_parts, [DOC, "_super"]).where(F.col("_blk") >= F.col("_from")).drop("_from")
+    known = now.drop("ended").join(stale.select(DOC, "_blk", "start"), [DOC, "_blk"], "left").withColumn("_super", part)
+    keys = [DOC, "_super"]
+    return opened.repartition(*keys).join(known.repartition(*keys).hint("merge"), [*keys, "_blk"])
 
 
 def settled(blocks: DataFrame, threshold: float, window: int) -> tuple[DataFrame, int]:
@@ -163,6 +174,7 @@ def settled(blocks: DataFrame, threshold: float, window: int) -> tuple[DataFrame
     spark = blocks.sparkSession
     with session_setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", BLOCKS_PER_BATCH):
         first = texts.withColumn("_super", F.col("_blk")).withColumns({c: F.lit(None).cast(t) for c, t in none.items()})
+        first = first.repartition(F.col(DOC), F.col("_super"))
         rounds, number = [cut_lineage(_walk(first, 0, threshold, window))], 0
         while True:
             log = rounds[0]
@@ -175,13 +187,9 @@ def settled(blocks: DataFrame, threshold: float, window: int) -> tuple[DataFrame
             if stale.isEmpty():
                 return now, number
             number += 1
-            part = F.shiftright("_blk", number).alias("_super")
-            open_parts = stale.groupBy(DOC, part).agg(F.min("_blk").alias("_from"))
-            work = (
-                texts.withColumn("_super", F.shiftright("_blk", number)).join(open_parts, [DOC, "_super"]).where(F.col("_blk") >= F.col("_from")).drop("_from")
-                .join(now.drop("ended"), [DOC, "_blk"]).join(stale, [DOC, "_blk"], "left")
-            )
-            rounds.append(cut_lineage(_walk(work, number, threshold, window)))
+            # partitions by (doc_name, _super) serve the join by (doc_name, _super, _blk) too
+            with session_setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+                rounds.append(cut_lineage(_walk(_work(texts, now, stale, number), number, threshold, window)))
 
 
 def near_dedup(
