@@ -25,6 +25,8 @@ from docmill.session import cut_lineage
 
 #: Item words per broadcast automaton (about 1 KB each in a worker).
 BLOCK_WORDS = 50_000
+#: Texts that go back from a worker at once.
+ROWS_TOGETHER = 512
 WORD = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
 _SPACES = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
@@ -175,8 +177,10 @@ def _blocks(items: DataFrame, item: str, text: str, block_words: int):
         yield block
 
 
-def _matched(docs: DataFrame, items: DataFrame, text: str, item: str, item_text: str, window: int, block_words: int, name: str) -> DataFrame:
-    """``docs`` with the column ``name`` (n_words, spans of hit words, ids of items)."""
+def _matched(docs: DataFrame, items: DataFrame, text: str, item: str, item_text: str, window: int, block_words: int, name: str, finish=None) -> DataFrame:
+    """``docs`` with the column ``name`` (n_words, spans of hit words, ids of items), or what
+    ``finish`` makes of its batches, in the columns of ``docs``: in the same worker, since
+    each Python step of a task has a worker of its own, which stays in memory."""
     spark = docs.sparkSession
     out = docs.withColumn(name, F.lit(None).cast(_MATCH))
     at = len(docs.columns)
@@ -186,10 +190,10 @@ def _matched(docs: DataFrame, items: DataFrame, text: str, item: str, item_text:
     while block is not None:
         automaton = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
 
-        def run(batches, automaton=automaton):
+        def run(batches, automaton=automaton, finish=finish if more is None else None):
             worker.kept("decontamination", dict)
             scan = automaton.value.scan
-            for batch in batches:
+            for batch in (whole.slice(k, ROWS_TOGETHER) for whole in batches for k in range(0, whole.num_rows, ROWS_TOGETHER)):
                 match = []
                 for content, old in zip(batch.column(where), batch.column(at)):
                     words = words_of((content.as_py() or "").encode())
@@ -202,11 +206,12 @@ def _matched(docs: DataFrame, items: DataFrame, text: str, item: str, item_text:
                         "n_words": len(words), "spans": [{"first": a, "end": b} for a, b in united(spans)],
                         "items": sorted(x for x in found if x is not None),
                     })
-                yield pa.RecordBatch.from_arrays(
+                matched = pa.RecordBatch.from_arrays(
                     [*batch.columns[:at], pa.array(match, _ARROW_MATCH)], names=batch.schema.names
                 )
+                yield finish(matched) if finish else matched
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(run, docs.schema if finish and more is None else out.schema)
         if more is None:
             break
         out = cut_lineage(out)  # so that one automaton at a time is in a worker
@@ -243,24 +248,23 @@ def without_spans(docs: DataFrame, items: DataFrame, text: str = "text", item: s
     """
     where, own = docs.columns.index(text), len(docs.columns)
 
-    def cut(batches):
-        for batch in batches:
-            texts, keep = [], []
-            for content, match in zip(batch.column(where), batch.column(own)):
-                content, match = content.as_py(), match.as_py()
-                spans = match["spans"] if match else []
-                keep.append(not spans or sum(s["end"] - s["first"] for s in spans) < coverage * match["n_words"])
-                if spans and keep[-1]:
-                    at = [m.span() for m in WORD.finditer(content)]
-                    parts, begin = [], 0
-                    for s in spans:
-                        parts.append(content[begin : at[s["first"]][0]])
-                        begin = at[s["end"] - 1][1]
-                    content = "".join([*parts, content[begin:]])
-                texts.append(content)
-            columns = batch.columns[:own]
-            columns[where] = pa.array(texts, batch.schema.field(where).type)
-            out = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:own])
-            yield out.filter(pa.array(keep, pa.bool_()))
-
-    return _matched(docs, items, text, item, item_text, window, block_words, fresh(docs, "match")[0]).mapInArrow(cut, docs.schema)
+    def cut(batch):
+        texts, keep = [], []
+        for content, match in zip(batch.column(where), batch.column(own)):
+            content, match = content.as_py(), match.as_py()
+            spans = match["spans"] if match else []
+            keep.append(not spans or sum(s["end"] - s["first"] for s in spans) < coverage * match["n_words"])
+            if spans and keep[-1]:
+                at = [m.span() for m in WORD.finditer(content)]
+                parts, begin = [], 0
+                for s in spans:
+                    parts.append(content[begin : at[s["first"]][0]])
+                    begin = at[s["end"] - 1][1]
+                content = "".join([*parts, content[begin:]])
+            texts.append(content)
+        columns = batch.columns[:own]
+        columns[where] = pa.array(texts, batch.schema.field(where).type)
+        out = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:own])
+        return out.filter(pa.array(keep, pa.bool_()))
+
+    return _matched(docs, items, text, item, item_text, window, block_words, fresh(docs, "match")[0], cut)

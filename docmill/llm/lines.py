@@ -8,8 +8,9 @@ near-duplicates (``minhash``) counts once too, both
 where a line stands and among all pages of the host.
 
 Lines are compared without outer spaces, by a 64-bit hash within their host;
-empty lines stay. Counting runs on (host, line, page) hashes with partial
-aggregation, so a hot host or line is spread. The boilerplate of one host is
+empty lines stay. Distinct pages are stored with the hashes of their lines, a row
+each; counting runs on (host, line) with partial aggregation, so a hot host or line
+is spread. The boilerplate of one host is
 bounded (lines per page / ratio), so it travels as one array per host: broadcast
 if the whole is small, else joined with salted hosts.
 """
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docmill.llm import minhash
 from docmill.llm.names import fresh
+from docmill.operators.bitmaps import bitmap_filter, may_hold
 from docmill.session import cut_lineage
 
 #: Most (host, line) rows that are broadcast; beyond, a join with salted hosts.
@@ -31,35 +33,50 @@ def _lines(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != ""), _key))
 
 
-def boilerplate(docs: DataFrame, host: Column, text: Column, ratio: float = 0.02, least: int = 5) -> DataFrame:
-    """``host``, ``line`` (hash), ``pages`` that hold it and ``total`` pages of the host.
-
-    A null host counts as the host ''; a null text is no page.
-    """
-    pages = docs.select(
+def pages_of(docs: DataFrame, host: Column, text: Column) -> DataFrame:
+    """``host``, ``page`` (two hashes of the text) and ``lines`` (hashes) of every
+    distinct page of a host. A page moves once, with its lines in one row."""
+    return docs.select(
         F.coalesce(host.cast("string"), F.lit("")).alias("host"), text.alias("text")
     ).where("text IS NOT NULL").select(
         "host", F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), F.col("text")).alias("b")).alias("page"),
         _lines(F.col("text")).alias("lines"),
-    )
-    totals = pages.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("total"))
+    ).dropDuplicates(["host", "page"])
+
+
+def boilerplate(pages: DataFrame, ratio: float = 0.02, least: int = 5) -> DataFrame:
+    """``host``, ``line`` (hash), ``pages`` that hold it and ``total`` pages of the host,
+    from the distinct pages (``pages_of``); store these first, they are read twice.
+
+    A null host counts as the host ''; a null text is no page.
+    """
+    totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
     counts = (
-        pages.select("host", "page", F.explode("lines").alias("line")).distinct()
+        pages.select("host", F.explode("lines").alias("line"))
         .groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least)
     )
     return counts.join(totals, "host").where(F.col("pages") >= F.lit(ratio) * F.col("total")).select("host", "line", "pages", "total")
 
 
-def of_groups(found: DataFrame, docs: DataFrame, host: Column, text: Column, ratio: float, least: int) -> DataFrame:
+def of_groups(found: DataFrame, pages: DataFrame, docs: DataFrame, host: Column, text: Column, ratio: float, least: int) -> DataFrame:
     """The lines ``found`` (host, line) that are boilerplate if a group of near copies
-    counts as one page, among the pages and among all pages of the host."""
+    counts as one page, among the pages (``pages_of``) and among all pages of the host.
+
+    Lines that aren't among those found are dropped by a filter before they move."""
     own = docs.select(F.coalesce(host.cast("string"), F.lit("")).alias("host"), text.alias("text")).where("text IS NOT NULL")
     own = own.withColumn("id", F.xxhash64("text")).join(found.select("host").distinct(), "host", "left_semi")
-    holders = own.select("host", "id", F.explode(_lines(F.col("text"))).alias("line")).distinct().join(found.select("host", "line"), ["host", "line"], "left_semi")
     groups = cut_lineage(minhash.near_duplicates(own.select("id", "text"), "id").select("id", "component").distinct())
-    totals = own.select("host", "id").distinct().join(groups, "id").select("host", "component").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    counts = holders.join(groups, "id").select("host", "line", "component").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages"))
-    return counts.where(F.col("pages") >= least).join(totals, "host").where(F.col("pages") >= F.lit(ratio) * F.col("total")).select("host", "line", "pages", "total")
+    tested = pages.select("host", F.col("page.a").alias("id"), "lines").join(F.broadcast(bitmap_filter(found, "host", "line")))
+    likely = tested.select("host", "id", F.filter("lines", lambda x: may_hold("host", x)).alias("lines"))
+    # pages of hosts without a line found have no group
+    grouped = cut_lineage(likely.join(groups, "id").select("host", "component", "lines"))
+    totals = grouped.select("host", "component").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("total"))
+    counts = (
+        grouped.select("host", "component", F.explode("lines").alias("line")).distinct()
+        .groupBy("host", "line").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least)
+        .join(found.select("host", "line"), ["host", "line"], "left_semi")
+    )
+    return counts.join(totals, "host").where(F.col("pages") >= F.lit(ratio) * F.col("total")).select("host", "line", "pages", "total")
 
 
 def without_boilerplate(docs: DataFrame, host: Column, text: str = "text", ratio: float = 0.02, least: int = 5,
@@ -71,9 +88,10 @@ def without_boilerplate(docs: DataFrame, host: Column, text: str = "text", ratio
     nothing else becomes empty. Repeated rows are treated alike. With
     ``near_copies`` a group of near copies counts as one page.
     """
-    found = cut_lineage(boilerplate(docs, host, F.col(f"`{text}`"), 0 if near_copies else ratio, least))
+    pages = cut_lineage(pages_of(docs, host, F.col(f"`{text}`")))
+    found = cut_lineage(boilerplate(pages, 0 if near_copies else ratio, least))
     if near_copies:
-        found = cut_lineage(of_groups(found, docs, host, F.col(f"`{text}`"), ratio, least))
+        found = cut_lineage(of_groups(found, pages, docs, host, F.col(f"`{text}`"), ratio, least))
     _host, _of, _bad, _kept, _salt, _s = fresh(docs, "host", "of", "bad", "kept", "salt", "s")
     by_host = found.groupBy(F.col("host").alias(_of)).agg(F.collect_set("line").alias(_bad))
     joined = docs.withColumn(_host, F.coalesce(host.cast("string"), F.lit("")))

@@ -28,6 +28,8 @@ from docmill.session import cut_lineage
 WORDS, SHAPES, SIZE = 8192, 256, 32
 #: Labelled rows that the network learns from, at most.
 MOST_LABELS = 20_000
+#: Texts that go back from a worker at once.
+ROWS_TOGETHER = 512
 #: Tokens that a worker remembers the rows of.
 REMEMBERED = 200_000
 _ROWS = WORDS + SHAPES
@@ -227,7 +229,7 @@ def score(docs: DataFrame, model: Classifier, text: str = "text", name: str = "s
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in (whole.slice(k, ROWS_TOGETHER) for whole in batches for k in range(0, whole.num_rows, ROWS_TOGETHER)):
             x = np.array([pooled(t.as_py(), m.vectors) for t in batch.column(where)]).reshape(-1, 2 * SIZE + 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.probabilities(x))], names=[*batch.schema.names, name])
 
