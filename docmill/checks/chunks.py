@@ -5,7 +5,8 @@ from docmill import fixed
 from docmill.checks.category import RANKED_SQL, scores_sql
 from docmill.checks.common import PAGES_SQL, collapse_sql, documents, pages, strip_sql, table
 from docmill.checks.text import CLEAN_SQL
-from docmill.functions.text import chunk_id, exact_hash, jaccard, let, trigrams
+from docmill.functions.stage import computed
+from docmill.functions.text import chunk_id, exact_hash, neighbour_similarity
 from docmill.operators import chunk, dedup
 from docmill.operators.ordering import dense_index
 from docmill.plans.pipeline import build_chunks, with_display_family
@@ -75,12 +76,9 @@ SELECT page, (row_number() OVER (PARTITION BY page ORDER BY i) - 1)::INT AS seg,
 
 def ngram_jaccard(spark, folder):
     """Similarity of neighbouring windows of each document."""
-    grams = F.transform(chunk.window_split(F.col("text")), trigrams)
-    rows = documents(spark, folder).select("doc_id", F.explode(F.array(grams)).alias("g")).where(F.size("g") > 1)
-    pairs = let(F.col("g"), lambda g: F.transform(
-        F.sequence(F.lit(0), F.size(g) - 2), lambda i: F.round(jaccard(F.get(g, i), F.get(g, i + 1)), 6)
-    ))
-    return rows.select("doc_id", F.posexplode(pairs).alias("i", "similarity"))
+    rows = documents(spark, folder).select("doc_id", chunk.window_split(F.col("text")).alias("w")).where(F.size("w") > 1)
+    found = computed(rows, s=neighbour_similarity(F.col("w")))
+    return found.select("doc_id", F.posexplode(F.transform("s", lambda x: F.round(x, 6))).alias("i", "similarity"))
 
 
 _GRAMS = "list_distinct(list_transform(range(1, length(s) - 1), lambda i: substring(s, i, 3)))"

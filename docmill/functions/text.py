@@ -1,5 +1,7 @@
 """Column functions over strings."""
-from pyspark.sql import Column, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 from docmill import fixed
 
@@ -67,23 +69,41 @@ def basename(path) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
 
-def trigrams(c) -> Column:
-    """Distinct character 3-grams of the lower-cased, space-collapsed text."""
-    return let(
-        collapse_ws(F.lower(strip(c))),
-        lambda s: F.when(
-            F.length(s) >= 3,
-            F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: s.substr(i, F.lit(3)))),
-        ).otherwise(F.array().cast("array<string>")),
-    )
+def gram_codes(flat: str) -> np.ndarray:
+    """Distinct character 3-grams of a text as sorted numbers of 63 bits."""
+    points = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if points.size < 3:
+        return np.empty(0, np.uint64)
+    shift = np.uint64(21)
+    codes = ((points[:-2] << shift | points[1:-1]) << shift) | points[2:]
+    codes.sort()
+    return codes[np.concatenate(([True], codes[1:] != codes[:-1]))]
 
 
-def jaccard(a, b) -> Column:
-    """Jaccard of two gram arrays; two empty sets are equal, one empty is 0."""
-    both_empty = (F.size(a) == 0) & (F.size(b) == 0)
-    return F.when(both_empty, F.lit(1.0)).otherwise(
-        let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
-    )
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two arrays of ``gram_codes``; two empty sets are equal, one empty is 0."""
+    if not a.size and not b.size:
+        return 1.0
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    same = np.count_nonzero(both[1:] == both[:-1])
+    return same / (both.size - same)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _of_neighbours(texts: pd.Series) -> pd.Series:
+    def of_row(row):
+        grams = [gram_codes(t) for t in row]
+        return [jaccard(x, y) for x, y in zip(grams, grams[1:])]
+
+    return texts.map(lambda row: None if row is None else of_row(row))
+
+
+def neighbour_similarity(texts) -> Column:
+    """Jaccard of the 3-grams of each text of an array and the next one; case and
+    repeated white space don't count. A text's 3-grams are found once, in time
+    proportional to its length."""
+    return _of_neighbours(F.transform(texts, lambda t: collapse_ws(F.lower(strip(t)))))
 
 
 def chunk_id(doc_name, page, text) -> Column:
