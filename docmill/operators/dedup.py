@@ -6,9 +6,9 @@ the corpus in order and cut into blocks by these numbers, so a block has at most
 ``BLOCK_ROWS`` chunks however sparse the page numbers are. All blocks run at
 once from an empty window. A block is stale if the window it assumed is not the
 one its predecessor ended with. In round r a task takes the stale blocks of
-2^r neighbours in turn, each from the window that the one before really ended
+4^r neighbours in turn, each from the window that the one before really ended
 with, and skips those that assumed the right one. By induction over the blocks
-the state without stale ones is the sequential result; when 2^r covers a document
+the state without stale ones is the sequential result; when 4^r covers a document
 none is left, so the rounds are the logarithm of the longest document's blocks.
 
 A rerun stops as soon as a whole window of chunks was kept as before. Tasks
@@ -16,20 +16,21 @@ stream blocks, and hold one block and one window. What rounds find out is
 appended to a log; nothing is rewritten.
 """
 import hashlib
-import re
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from docmill import fixed
-from docmill.functions.text import exact_hash
+from docmill.functions.text import exact_hash, gram_codes
 from docmill.operators.numbering import numbered
 from docmill.operators.ordering import DOC, PAGE
 from docmill.session import cut_lineage, session_setting
 
 ORDER = [PAGE, "seg", "split"]
 BLOCK_ROWS = 1024
+#: A round takes 2 to this times as many blocks in turn as the one before.
+WIDER = 2
 #: Blocks that pass to a worker at once.
 BLOCKS_PER_BATCH = "8"
 _FOUND = "doc_name string, _blk bigint, _round int, assumed string, ended string, tail array<string>, flags array<boolean>"
@@ -46,18 +47,15 @@ def exact_dedup(chunks: DataFrame) -> DataFrame:
 
 def _make_greedy(threshold: float, window: int):
     """Function (texts, start window, earlier flags) -> (kept flags, end window)."""
-    buckets = 1024
+    buckets = 256
+    #: text -> grams and sketch of the last window, with which the next block begins
+    held: dict = {}
 
     def grams(text):
-        flat = re.sub(r"\s+", " ", text.lower().strip())
-        points = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        if points.size < 3:
-            return np.empty(0, np.uint64)
-        shift = np.uint64(21)
-        return np.unique(((points[:-2] << shift | points[1:-1]) << shift) | points[2:])
+        return gram_codes(" ".join(text.lower().split()))
 
     def sketch(g):
-        mixed = (g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)
+        mixed = (g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
         return np.bincount(mixed.astype(np.int64), minlength=buckets).astype(np.int32)
 
     def run(texts, start, earlier):
@@ -77,19 +75,26 @@ def _make_greedy(threshold: float, window: int):
                 return False
             total = size[:live] + g.size
             # the bucket overlap is never below the true overlap
-            bound = np.minimum(table[:live], s).sum(axis=1)
+            bound = np.minimum(table[:live], s).sum(axis=1, dtype=np.int32)
             maybe = np.nonzero((total == 0) | (bound + 1e-6 >= threshold * (total - bound)))[0]
-            for i in maybe:
+            # the likeliest first
+            for i in maybe[np.argsort(-bound[maybe])].tolist() if maybe.size > 1 else maybe.tolist():
                 if total[i] == 0:
                     return True
-                both = np.intersect1d(ring[i], g, assume_unique=True).size
+                every = np.concatenate([ring[i], g])
+                every.sort(kind="stable")
+                both = np.count_nonzero(every[1:] == every[:-1])
                 if both and both / (total[i] - both) >= threshold:
                     return True
             return False
 
         for text in start:
-            g = grams(text)
-            push(g, sketch(g), text)
+            if text in held:
+                g, s = held[text]
+            else:
+                g = grams(text)
+                s = sketch(g)
+            push(g, s, text)
         flags, agreed = [], 0
         for k, text in enumerate(texts):
             g = grams(text)
@@ -104,6 +109,8 @@ def _make_greedy(threshold: float, window: int):
                 if agreed >= window:
                     flags += list(earlier[k + 1:])
                     break
+        held.clear()
+        held.update((names[i], (ring[i], table[i].copy())) for i in range(min(count, window)))
         kept = [t for t, f in zip(texts, flags) if f]
         return flags, (list(start) + kept)[-window:]
 
@@ -155,11 +162,11 @@ def _walk(work: DataFrame, number: int, threshold: float, window: int) -> DataFr
     return work.sortWithinPartitions(DOC, "_super", "_blk").mapInPandas(run, _FOUND)
 
 
-def _work(texts: DataFrame, now: DataFrame, stale: DataFrame, number: int) -> DataFrame:
-    """Blocks of round ``number`` with what is known of them, those of a ``_super`` in
-    one partition: texts move once, and only of parts that have a stale block."""
-    part = F.shiftright("_blk", number).alias("_super")
-    # a row per 2^number blocks
+def _work(texts: DataFrame, now: DataFrame, stale: DataFrame, shift: int) -> DataFrame:
+    """Blocks of a round with what is known of them, the 2^shift of a ``_super`` in one
+    partition: texts move once, and only of parts that have a stale block."""
+    part = F.shiftright("_blk", shift).alias("_super")
+    # a row per 2^shift blocks
     open_parts = F.broadcast(stale.groupBy(DOC, part).agg(F.min("_blk").alias("_from")))
     opened = texts.withColumn("_super", part).join(open_parts, [DOC, "_super"]).where(F.col("_blk") >= F.col("_from")).drop("_from")
     known = now.drop("ended").join(stale.select(DOC, "_blk", "start"), [DOC, "_blk"], "left").withColumn("_super", part)
@@ -187,9 +194,10 @@ def settled(blocks: DataFrame, threshold: float, window: int) -> tuple[DataFrame
             if stale.isEmpty():
                 return now, number
             number += 1
+            shift = WIDER * number
             # partitions by (doc_name, _super) serve the join by (doc_name, _super, _blk) too
             with session_setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
-                rounds.append(cut_lineage(_walk(_work(texts, now, stale, number), number, threshold, window)))
+                rounds.append(cut_lineage(_walk(_work(texts, now, stale, shift), number, threshold, window)))
 
 
 def near_dedup(
