@@ -33,6 +33,9 @@ WORDS, SHARE = 5, 75
 TABLES, ROWS = 18, 3
 #: Rows that pass between Spark and a worker at once.
 ROWS_PER_BATCH = "500"
+#: Combined keys that a task makes, and bytes of a stored table that it reads: the
+#: rows made of them are many times as large, and are grouped before they move.
+KEYS_PER_TASK, BYTES_PER_TASK = 500_000, "4m"
 #: Signatures that agree less aren't confirmed: 4.8 standard errors under 0.75.
 LIKELY = 0.55
 #: Documents compared by signature, and shingles compared in full, in a block.
@@ -242,9 +245,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     stay as many rows. A null key takes no part and has a null component; a
     null or wordless text has no shingles and is its own component.
     """
+    spark = docs.sparkSession
     # sets of whole texts: few to a batch
-    with session_setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH):
-        return _near_duplicates(docs, key, text, size, share)
+    with session_setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH):
+        with session_setting(spark, "spark.sql.files.maxPartitionBytes", BYTES_PER_TASK):
+            return _near_duplicates(docs, key, text, size, share)
+
+
+def _combined(unique: DataFrame, own: DataFrame) -> DataFrame:
+    """(id, k): the combined keys of documents with their keys ``own`` of A, made in
+    tasks of about ``KEYS_PER_TASK``, however many documents a file or partition holds."""
+    keys = own.agg(F.sum(F.size("own"))).first()[0] or 0
+    tasks = max(keys * TABLES // KEYS_PER_TASK + 1, own.sparkSession.sparkContext.defaultParallelism)
+    return (
+        unique.select("id", "signature").repartition(tasks, "id").join(own.repartition(tasks, "id"), "id")
+        .select("id", "signature", F.explode("own").alias("o")).select("id", "signature", "o.a")
+        .select("id", F.explode(_keys(1, F.col("a"))).alias("k"))
+    )
 
 
 def _near_duplicates(docs: DataFrame, key: str, text: str, size: int, share: int) -> DataFrame:
@@ -258,10 +275,7 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, size: int, share: int
     shared = a.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a")
     own = a.join(shared, "a").groupBy("id").agg(F.collect_list(F.struct("t", "a")).alias("own"))  # at most TABLES each
     own = cut_lineage(own)
-    combined = (
-        unique.join(own, "id").select("id", "signature", F.explode("own").alias("o")).select("id", "signature", "o.a")
-        .select("id", F.explode(_keys(1, F.col("a"))).alias("k"))
-    )
+    combined = _combined(unique, own)
     tables = combined.groupBy("k").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("k", "pivot")
     rows = cut_lineage(combined.join(tables, "k"))
 
