@@ -286,18 +286,20 @@ def document_heads(pages: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def doc_meta_relations(pages: DataFrame, filename: Column | None = None) -> dict[str, DataFrame]:
-    """Relations ``docs``, ``models`` and ``components`` of raw pages."""
+    """Relations ``docs``, ``models`` and ``components`` of raw pages.
+
+    What several of them read is stored, so that pages are ordered for their seams once."""
     filename = F.col(DOC) if filename is None else filename
     facts = page_facts(pages)
-    seams = fact_seams(facts)
+    seams = cut_lineage(fact_seams(facts))
     heads = cut_lineage(document_heads(pages, facts))  # a few thousand characters per document
-    vendors = best_vendor(vendor_candidates(facts, heads, seams))
+    vendors = cut_lineage(best_vendor(vendor_candidates(facts, heads, seams)))
     docs = (
         heads.join(vendors, DOC, "left")
         .withColumn("_stated", F.coalesce("vendor", F.lit("")))
         .withColumn("product_family", product_family(F.col("family_text"), F.col("_stated"), filename))
     )
-    models, components = document_codes(facts, docs, code_counts(facts, seams))
+    models, components = document_codes(facts, docs, cut_lineage(code_counts(facts, seams)))
     named = docs.select(
         DOC,
         F.when(F.col("_stated") != "", F.col("_stated")).otherwise(vendor_from_filename(filename)).alias("vendor"),
