@@ -10,8 +10,9 @@ on. Characters that no piece holds become the byte pieces of their UTF-8.
 
 Between a character and a following space, and at a line feed that no piece
 holds, all paths meet: no piece crosses there (looked up in the vocabulary). So
-the text between two such places always gets the same ids, and the last few
-hundred thousand of these strings are remembered.
+the text between two such places always gets the same ids, and these strings
+are remembered from the second group of texts on that holds them: most come
+once and would fill a worker's memory.
 
 Decoding an encoded text gives exactly the text, whatever it holds: spaces
 stand for the sign U+2581 of the pieces, so that sign in a text is an unknown
@@ -27,9 +28,11 @@ from pyspark.sql import DataFrame, functions as F
 from docmill.llm import worker
 
 #: Remembered strings per generation (of two) and their greatest length.
-REMEMBERED, SHORT = 250_000, 48
+REMEMBERED, SHORT = 100_000, 48
+#: Marks of strings that came before, a byte each, and how many of them are set at most.
+MARKS, MOST_MARKED = 1 << 22, 1 << 19
 #: Texts that are coded together.
-TOGETHER = 512
+TOGETHER = 256
 _SPACE = "▁"
 _FACTOR, _PLACES = np.uint64(0x9E3779B97F4A7C15), 1 << 18
 
@@ -39,15 +42,29 @@ def _place(h: np.ndarray) -> np.ndarray:
 
 
 class Memory:
-    """Strings and their ids, in two generations."""
+    """Strings and their ids, in two generations, and marks by the hash of strings that
+    came before. Two strings with one mark only make one of them remembered early."""
 
     def __init__(self):
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.marks, self.marked = bytearray(MARKS), 0
 
     def turn(self) -> None:
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
+        if self.marked > MOST_MARKED:
+            self.marks, self.marked = bytearray(MARKS), 0
+
+    def forget_first(self, strings) -> None:
+        """Mark strings; those without a mark so far are not remembered."""
+        marks, known = self.marks, self.known
+        for p in strings:
+            at = hash(p) % MARKS
+            if not marks[at]:
+                marks[at] = 1
+                self.marked += 1
+                del known[p]
 
 
 class Pieces:
@@ -209,8 +226,9 @@ class Pieces:
                 out[at[j]] = np.array(self._ids(parts[at[j]], back[:, j].tolist(), 0, n), np.int32).tobytes()
         return out
 
-    def _learn(self, parts: set[str], memory: "Memory") -> None:
-        """Remember the ids of short strings; those of a word with signs behind it are put together."""
+    def _learn(self, parts: set[str], memory: "Memory") -> list[str]:
+        """Put the ids of short strings into the memory; those of a word with signs behind
+        it are put together. Returns the strings that were not in either generation."""
         known, older, signed, new = memory.known, memory.older, [], set()
         for p in parts:
             if (found := older.get(p)) is not None:
@@ -229,6 +247,7 @@ class Pieces:
         known.update(zip(new, self.search_many(new)))
         for p, core, tail in signed:
             known[p] = known[core] + known[tail]
+        return new + [p for p, _, _ in signed]
 
     @worker.acyclic
     def encode_many(self, texts: list[str]) -> list[bytes]:
@@ -242,10 +261,13 @@ class Pieces:
         split = [self.apart.findall(t) for t in texts]
         new = set(chain.from_iterable(split)).difference(known)
         long = {p: np.array(self.search(p), np.int32).tobytes() for p in new if len(p) > SHORT}
-        self._learn(new - long.keys(), memory)
+        learnt = self._learn(new - long.keys(), memory)
         if long:
-            return [b"".join([known[p] if p in known else long[p] for p in parts]) for parts in split]
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
+            coded = [b"".join([known[p] if p in known else long[p] for p in parts]) for parts in split]
+        else:
+            coded = [b"".join(map(known.__getitem__, parts)) for parts in split]
+        memory.forget_first(learnt)
+        return coded
 
     def decode(self, ids) -> str:
         n = len(self.bytes)
@@ -312,6 +334,7 @@ def round_trip(docs: DataFrame, model: Pieces, text: str = "text", ids: str = "i
                 part = batch.slice(k, TOGETHER)
                 lists = _lists(pieces.encode_many([x.as_py() or "" for x in part.column(where)]))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, texts_of(lists, table, pieces.dummy_prefix)], names=[*part.schema.names, ids, decoded])
+            worker.trim()
 
     return docs.mapInArrow(run, docs.withColumn(ids, F.expr("cast(null as array<int>)")).withColumn(decoded, F.lit("x")).schema)
 

@@ -21,10 +21,16 @@ def kept(name, make):
 
 def give_back() -> None:
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give memory that is free now back to the system; between batches, this keeps the
+    arrays of one from standing beside those of the next."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
 
 
 def acyclic(function):
